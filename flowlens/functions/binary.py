@@ -1,4 +1,7 @@
-"""Big-endian field readers over BINARY columns."""
+"""Field readers over binary headers.
+
+A header is turned into hexadecimal text once; its fields are then substrings of that text.
+"""
 
 from __future__ import annotations
 
@@ -6,16 +9,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def take(data: Column, offset: Column | int, size: int) -> Column:
-    """``size`` bytes from a 0-based offset; NULL where the data ends before that."""
+def header_hex(data: Column, offset: Column | int, size: int) -> Column:
+    """Hexadecimal text of ``size`` bytes from a 0-based offset; NULL where data ends before."""
     offset = F.lit(offset) if isinstance(offset, int) else offset
-    part = F.substring(data, offset + 1, F.lit(size))
+    part = F.hex(F.substring(data, offset + 1, F.lit(size)))
     return F.when(F.octet_length(data) >= offset + size, part)
 
 
-def unsigned(data: Column, offset: Column | int, size: int) -> Column:
-    """Unsigned big-endian integer of up to four bytes."""
-    number = F.conv(F.hex(take(data, offset, size)), 16, 10)
+def field(header: Column, start: int, size: int) -> Column:
+    """``size`` bytes of a header as hexadecimal text."""
+    return F.substring(header, 2 * start + 1, 2 * size)
+
+
+def unsigned(header: Column, start: int, size: int) -> Column:
+    """Unsigned big-endian integer of up to four bytes of a header."""
+    number = F.conv(field(header, start, size), 16, 10)
     return number.cast("bigint" if size > 3 else "int")
 
 
@@ -24,12 +32,12 @@ def rest(data: Column, offset: Column) -> Column:
     return F.substring(data, offset + 1, F.octet_length(data))
 
 
-def mac_text(data: Column, offset: int) -> Column:
+def mac_text(header: Column, start: int) -> Column:
     """Six bytes as lower-case pairs joined by colons."""
-    return F.lower(F.regexp_replace(F.hex(take(data, offset, 6)), "(..)(?!$)", "$1:"))
+    return F.lower(F.regexp_replace(field(header, start, 6), "(..)(?!$)", "$1:"))
 
 
-def ipv4_text(data: Column, offset: Column | int) -> Column:
+def ipv4_text(header: Column, start: int) -> Column:
     """Four bytes in dotted form."""
-    octets = [unsigned(data, offset + i, 1).cast("string") for i in range(4)]
-    return F.when(octets[3].isNotNull(), F.concat_ws(".", *octets))
+    octets = [unsigned(header, start + i, 1).cast("string") for i in range(4)]
+    return F.when(header.isNotNull(), F.concat_ws(".", *octets))

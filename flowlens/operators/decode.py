@@ -27,15 +27,15 @@ TCP_FLAG_BITS = {
 
 def decode_ethernet(frames: DataFrame) -> DataFrame:
     """MAC addresses and type; a frame shorter than the header keeps NULLs."""
-    data = F.col("data")
-    whole = F.octet_length(data) >= ETHERNET_HEADER
-    return frames.withColumns(
+    header = F.col("_eth")
+    read = frames.withColumn("_eth", B.header_hex(F.col("data"), 0, ETHERNET_HEADER))
+    return read.withColumns(
         {
-            "eth_src_mac": F.when(whole, B.mac_text(data, 6)),
-            "eth_dst_mac": F.when(whole, B.mac_text(data, 0)),
-            "eth_type": B.unsigned(data, 12, 2),
+            "eth_src_mac": B.mac_text(header, 6),
+            "eth_dst_mac": B.mac_text(header, 0),
+            "eth_type": B.unsigned(header, 12, 2),
         }
-    )
+    ).drop("_eth")
 
 
 def decode_ip(frames: DataFrame, offset: int = ETHERNET_HEADER) -> DataFrame:
@@ -43,48 +43,65 @@ def decode_ip(frames: DataFrame, offset: int = ETHERNET_HEADER) -> DataFrame:
 
     With an ``eth_type`` column present only IPv4 frames are read.
     """
-    data = F.col("data")
-    readable = F.octet_length(data) >= offset + IP_HEADER
+    header = F.col("_ip")
+    text = B.header_hex(F.col("data"), offset, IP_HEADER)
     if "eth_type" in frames.columns:
-        readable = readable & (F.col("eth_type") == ETHERTYPE_IPV4)
-    version_ihl = B.unsigned(data, offset, 1)
-    fields = {
-        "ip_version": F.shiftright(version_ihl, 4),
-        "ip_protocol": B.unsigned(data, offset + 9, 1),
-        "src_ip": B.ipv4_text(data, offset + 12),
-        "dst_ip": B.ipv4_text(data, offset + 16),
-        "_l4": version_ihl.bitwiseAND(15) * 4 + offset,
-    }
-    return frames.withColumns({k: F.when(readable, v) for k, v in fields.items()})
+        text = F.when(F.col("eth_type") == ETHERTYPE_IPV4, text)
+    version_ihl = B.unsigned(header, 0, 1)
+    return (
+        frames.withColumn("_ip", text)
+        .withColumns(
+            {
+                "ip_version": F.shiftright(version_ihl, 4),
+                "ip_protocol": B.unsigned(header, 9, 1),
+                "src_ip": B.ipv4_text(header, 12),
+                "dst_ip": B.ipv4_text(header, 16),
+                "_l4": version_ihl.bitwiseAND(15) * 4 + offset,
+            }
+        )
+        .drop("_ip")
+    )
 
 
 def decode_transport(packets: DataFrame) -> DataFrame:
     """TCP and UDP fields of the output of :func:`decode_ip`."""
     data, start = F.col("data"), F.col("_l4")
-    size = F.octet_length(data)
-    tcp = (F.col("ip_protocol") == PROTO_TCP) & (size >= start + TCP_HEADER)
-    udp = (F.col("ip_protocol") == PROTO_UDP) & (size >= start + UDP_HEADER)
-    either = tcp | udp
-    flags = B.unsigned(data, start + 13, 1)
-    tcp_body = start + F.shiftright(B.unsigned(data, start + 12, 1), 4) * 4
-    body = F.when(tcp, tcp_body).when(udp, start + UDP_HEADER)
-    fields = {
-        "src_port": F.when(either, B.unsigned(data, start, 2)),
-        "dst_port": F.when(either, B.unsigned(data, start + 2, 2)),
-        "tcp_seq": F.when(tcp, B.unsigned(data, start + 4, 4)),
-        "tcp_ack": F.when(tcp, B.unsigned(data, start + 8, 4)),
-        "tcp_flags": F.when(tcp, flags),
-        "udp_length": F.when(udp, B.unsigned(data, start + 4, 2)),
-        "protocol": F.when(tcp, F.lit("tcp")).when(udp, F.lit("udp")),
-        "payload": B.rest(data, body),
-        "payload_length": F.greatest(size - body, F.lit(0)),
-    }
-    fields |= {
-        name: F.when(tcp, flags.bitwiseAND(bit) != 0) for name, bit in TCP_FLAG_BITS.items()
-    }
-    # An unreadable body offset gives NULL, never an empty payload.
-    fields["payload_length"] = F.when(body.isNotNull(), fields["payload_length"])
-    return packets.withColumns(fields).drop("_l4")
+    read = packets.withColumns(
+        {
+            "_tcp": F.when(
+                F.col("ip_protocol") == PROTO_TCP, B.header_hex(data, start, TCP_HEADER)
+            ),
+            "_udp": F.when(
+                F.col("ip_protocol") == PROTO_UDP, B.header_hex(data, start, UDP_HEADER)
+            ),
+        }
+    )
+    tcp, udp = F.col("_tcp"), F.col("_udp")
+    either = F.coalesce(tcp, udp)
+    tcp_body = start + F.shiftright(B.unsigned(tcp, 12, 1), 4) * 4
+    read = read.withColumns(
+        {
+            "src_port": B.unsigned(either, 0, 2),
+            "dst_port": B.unsigned(either, 2, 2),
+            "tcp_seq": B.unsigned(tcp, 4, 4),
+            "tcp_ack": B.unsigned(tcp, 8, 4),
+            "tcp_flags": B.unsigned(tcp, 13, 1),
+            "udp_length": B.unsigned(udp, 4, 2),
+            "protocol": F.when(tcp.isNotNull(), "tcp").when(udp.isNotNull(), "udp"),
+            "_body": F.coalesce(tcp_body, F.when(udp.isNotNull(), start + UDP_HEADER)),
+        }
+    )
+    body, flags = F.col("_body"), F.col("tcp_flags")
+    read = read.withColumns(
+        {
+            **{name: flags.bitwiseAND(bit) != 0 for name, bit in TCP_FLAG_BITS.items()},
+            "payload": B.rest(data, body),
+            "payload_length": F.when(
+                body.isNotNull(), F.greatest(F.octet_length(data) - body, F.lit(0))
+            ),
+        }
+    )
+    return read.drop("_l4", "_tcp", "_udp", "_body")
 
 
 def decode_frames(frames: DataFrame, link_type: str = "ethernet") -> DataFrame:

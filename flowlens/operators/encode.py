@@ -70,7 +70,7 @@ def label_encode(
         if lists[c] is None:
             codes = distributed_codes(texts.select(F.col(c).alias("_value")), "_value")
             joined = coded.join(codes, F.col(c) == F.col("_value"), "left")
-            coded = joined.withColumn(c, F.col("code")).select(*df.columns)
+            coded = joined.withColumn(c, F.col("_code")).select(*df.columns)
     return coded
 
 
@@ -80,7 +80,7 @@ def _position(c: Column, values: list[str]) -> Column:
 
 
 def distributed_codes(df: DataFrame, column: str) -> DataFrame:
-    """``(column, code)``: 0-based rank of every distinct value, without a global window.
+    """``(column, _code)``: 0-based rank of every distinct value, without a global window.
 
     The distinct values are range-partitioned and sorted; a row's running id then holds
     its partition and its place in it, and the partition sizes (one row per partition)
@@ -100,4 +100,4 @@ def distributed_codes(df: DataFrame, column: str) -> DataFrame:
     pairs = [F.lit(v) for item in offsets.items() for v in item]
     offset = F.try_element_at(F.create_map(*pairs), part) if pairs else F.lit(0)
     within = F.col("_id").bitwiseAND((1 << 33) - 1)
-    return ordered.select(column, (offset + within).cast("bigint").alias("code"))
+    return ordered.select(column, (offset + within).cast("bigint").alias("_code"))

@@ -135,3 +135,34 @@ def generate_features(df: DataFrame, columns: list[str] | None = None) -> DataFr
     widened = columns + [f"{c}_squared" for c in columns] + [f"{c}_cubed" for c in columns]
     df = polynomial_features(df, columns)
     return time_bins(interaction_features(df, widened))
+
+
+def generated_names(columns: list[str]) -> list[str]:
+    """Names of the entries of :func:`generated_vector`."""
+    powers = columns + [f"{c}_squared" for c in columns] + [f"{c}_cubed" for c in columns]
+    return powers + [f"{a}_x_{b}" for a, b in combinations(powers, 2)]
+
+
+def generated_vector(columns: list[str]) -> Column:
+    """The numeric columns of :func:`generate_features` as one array, in the same order.
+
+    The plan stays small however many inputs there are, while thousands of separate
+    columns take longer to plan and compile than to compute. NULLs stay NULL.
+    """
+    values = F.array(*[F.col(c).cast("double") for c in columns])
+    powers = F.concat(
+        values, F.transform(values, lambda v: v * v), F.transform(values, lambda v: v * v * v)
+    )
+    n = 3 * len(columns)
+
+    def products(i: Column, all_powers: Column) -> Column:
+        first = F.get(all_powers, i)
+        return F.transform(F.slice(all_powers, i + 2, F.lit(n)), lambda v: first * v)
+
+    # A one-element array binds the powers, so that they are computed once per row.
+    return F.transform(
+        F.array(powers),
+        lambda p: F.concat(
+            p, F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n - 2)), lambda i: products(i, p)))
+        ),
+    )[0]

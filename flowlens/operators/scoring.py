@@ -199,12 +199,16 @@ def vote_wide(scores: Column, mode: str = "reference") -> tuple[Column, Column]:
             i.alias("place"),
         ),
     )
-    own = {x: F.filter(labelled, lambda s, x=x: s["label"] == x) for x in LABELS}
+    own = {x: _labelled(labelled, x) for x in LABELS}
     totals = {x: total(own[x], lambda s: s["score"]) for x in LABELS}
     firsts = {x: F.array_min(F.transform(own[x], lambda s: s["place"])) for x in LABELS}
     return _outcome(totals, firsts, weights)
 
 
+def _labelled(entries: Column, label: str) -> Column:
+    return F.filter(entries, lambda s: s["label"] == label)
+
+
 def _mean_vote(weighted: Column, weights: Column) -> tuple[Column, Column]:
     mean = F.try_divide(weighted, weights)
     label = F.when(mean.isNull(), "unknown").when(mean > 0.5, "attack").otherwise("normal")

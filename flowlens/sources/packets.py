@@ -11,6 +11,8 @@ from flowlens.operators.stats import append, latest
 from flowlens.schemas import PACKET, RAW_FRAME
 
 BUFFER = 1_000
+# Spark's own JSON format keeps milliseconds only.
+TIMESTAMPS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
 def default_name(now: datetime) -> str:
@@ -24,6 +26,8 @@ def write_packets(packets: DataFrame, path: str, fmt: str = "json", by_date: boo
     if by_date:
         out = out.withColumn("date", F.to_date("timestamp"))
         writer = out.write.partitionBy("date")
+    if fmt == "json":
+        writer = writer.option("timestampFormat", TIMESTAMPS)
     writer.mode("overwrite").format(fmt).save(path)
 
 
@@ -31,7 +35,7 @@ def read_packets(spark: SparkSession, path: str, fmt: str = "json", multi_line:
     """Packet table with the declared schema; ``multi_line`` reads one JSON array per file."""
     reader = spark.read.schema(PACKET)
     if fmt == "json":
-        reader = reader.option("multiLine", multi_line)
+        reader = reader.options(multiLine=multi_line, timestampFormat=TIMESTAMPS)
     return reader.format(fmt).load(path)
 
 
@@ -48,6 +52,8 @@ def stream_packets(
     spark: SparkSession, path: str, fmt: str = "json", schema=PACKET, **options
 ) -> DataFrame:
     """Packets arriving as files in a folder; options such as maxFilesPerTrigger pass through."""
+    if fmt == "json":
+        options = {"timestampFormat": TIMESTAMPS} | options
     return spark.readStream.schema(schema).options(**options).format(fmt).load(path)
 
 
@@ -55,5 +61,5 @@ def stream_packets_kafka(spark: SparkSession, servers: str, topic: str) -> DataF
     """Packets as JSON messages; needs Spark's Kafka connector on the class path."""
     raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
     raw = raw.option("subscribe", topic).load()
-    parsed = F.from_json(F.col("value").cast("string"), PACKET)
+    parsed = F.from_json(F.col("value").cast("string"), PACKET, {"timestampFormat": TIMESTAMPS})
     return raw.select(parsed.alias("packet")).select("packet.*")
