@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions import binary as B
+from flowlens.session import computed_once
 
 # Fixed values of the wire formats.
 ETHERNET_HEADER = 14
@@ -49,7 +50,7 @@ def decode_ip(frames: DataFrame, offset: int = ETHERNET_HEADER) -> DataFrame:
         text = F.when(F.col("eth_type") == ETHERTYPE_IPV4, text)
     version_ihl = B.unsigned(header, 0, 1)
     return (
-        frames.withColumn("_ip", text)
+        computed_once(frames, {"_ip": text})
         .withColumns(
             {
                 "ip_version": F.shiftright(version_ihl, 4),
@@ -66,7 +67,8 @@ def decode_ip(frames: DataFrame, offset: int = ETHERNET_HEADER) -> DataFrame:
 def decode_transport(packets: DataFrame) -> DataFrame:
     """TCP and UDP fields of the output of :func:`decode_ip`."""
     data, start = F.col("data"), F.col("_l4")
-    read = packets.withColumns(
+    read = computed_once(
+        packets,
         {
             "_tcp": F.when(
                 F.col("ip_protocol") == PROTO_TCP, B.header_hex(data, start, TCP_HEADER)
@@ -74,7 +76,7 @@ def decode_transport(packets: DataFrame) -> DataFrame:
             "_udp": F.when(
                 F.col("ip_protocol") == PROTO_UDP, B.header_hex(data, start, UDP_HEADER)
             ),
-        }
+        },
     )
     tcp, udp = F.col("_tcp"), F.col("_udp")
     either = F.coalesce(tcp, udp)

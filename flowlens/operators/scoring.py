@@ -1,7 +1,7 @@
 """Model registry, ensemble vote and detection records.
 
 A scorer yields ``p_attack`` per packet: one probability, or NULL where it fails. Scores
-come *wide* (an array of structs on the packet row, voted on without a shuffle) or *long*
+come *wide* (columns of the packet row, voted on without a shuffle) or *long*
 (one row per packet and model, voted on with one aggregation per packet).
 """
 
@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.schemas import MODEL
-from flowlens.session import broadcast_if_small
+from flowlens.session import broadcast_if_small, computed_once
 
 REGISTRY_BROADCAST_ROWS = 10_000
 # Labels of the vote.
@@ -147,16 +148,12 @@ def _label_of(p: Column, classes: Column) -> Column:
     return F.when(classes == 1, "unknown").when(p > 0.5, "attack").otherwise("normal")
 
 
-def model_score(
-    model: str, p_attack: Column, weight: float = 1.0, classes: int = 2
-) -> Column:
-    """One entry of the wide score array."""
-    return F.struct(
-        F.lit(model).alias("model"),
-        p_attack.cast("double").alias("p"),
-        F.lit(float(weight)).alias("weight"),
-        F.lit(classes).alias("classes"),
-    )
+class Score(NamedTuple):
+    """What one model says on a row: ``p_attack``, its weight, and its number of classes."""
+
+    p: Column
+    weight: float = 1.0
+    classes: int = 2
 
 
 def _outcome(totals: dict[str, Column], firsts: dict[str, Column], weights: Column):
@@ -176,37 +173,39 @@ def _outcome(totals: dict[str, Column], firsts: dict[str, Column], weights: Colu
     return prediction, confidence
 
 
-def vote_wide(scores: Column, mode: str = "reference") -> tuple[Column, Column]:
-    """Prediction and confidence from an array of :func:`model_score` entries, no shuffle.
+def vote_wide(df: DataFrame, scores: Sequence[Score], mode: str = "reference") -> DataFrame:
+    """Add ``prediction`` and ``confidence`` from scores that are columns of ``df``; no shuffle.
 
     ``reference`` adds ``p_attack * weight`` to the label each model voted for, also for
     "normal" votes, so one confident attack vote beats two normal ones. ``mean`` compares
     the weighted mean of ``p_attack`` with 0.5.
     """
-    valid = F.filter(scores, lambda s: (s["weight"] > 0) & s["p"].isNotNull())
-
-    def total(entries: Column, value) -> Column:
-        return F.aggregate(entries, F.lit(0.0), lambda t, s: t + value(s))
-
-    weights = total(valid, lambda s: s["weight"])
+    voters = [s for s in scores if s.weight > 0]
+    p = [s.p.cast("double") for s in voters]
+    weighted = [F.coalesce(p_i * F.lit(float(s.weight)), F.lit(0.0))
+                for p_i, s in zip(p, voters, strict=True)]
+    weights = _total([F.when(p_i.isNotNull(), float(s.weight)).otherwise(0.0)
+                      for p_i, s in zip(p, voters, strict=True)])
     if mode == "mean":
-        return _mean_vote(total(valid, lambda s: s["p"] * s["weight"]), weights)
-    labelled = F.transform(
-        valid,
-        lambda s, i: F.struct(
-            _label_of(s["p"], s["classes"]).alias("label"),
-            (s["p"] * s["weight"]).alias("score"),
-            i.alias("place"),
-        ),
-    )
-    own = {x: _labelled(labelled, x) for x in LABELS}
-    totals = {x: total(own[x], lambda s: s["score"]) for x in LABELS}
-    firsts = {x: F.array_min(F.transform(own[x], lambda s: s["place"])) for x in LABELS}
-    return _outcome(totals, firsts, weights)
+        prediction, confidence = _mean_vote(_total(weighted), weights)
+    else:
+        labels = [F.when(p_i.isNotNull(), _label_of(p_i, F.lit(s.classes)))
+                  for p_i, s in zip(p, voters, strict=True)]
+        totals = {
+            x: _total([F.when(label == x, score).otherwise(0.0)
+                       for label, score in zip(labels, weighted, strict=True)])
+            for x in LABELS
+        }
+        firsts = {
+            x: F.coalesce(*[F.when(label == x, i) for i, label in enumerate(labels)], F.lit(None))
+            for x in LABELS
+        }
+        prediction, confidence = _outcome(totals, firsts, weights)
+    return computed_once(df, {"prediction": prediction, "confidence": confidence})
 
 
-def _labelled(entries: Column, label: str) -> Column:
-    return F.filter(entries, lambda s: s["label"] == label)
+def _total(parts: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, parts, F.lit(0.0))
 
 
 def _mean_vote(weighted: Column, weights: Column) -> tuple[Column, Column]:
@@ -266,12 +265,13 @@ def detection_records(voted: DataFrame, timestamp: Column | None = None) -> Data
 
 
 def detect(
-    packets: DataFrame, scores: Column, timestamp: Column | None = None, mode: str = "reference"
+    packets: DataFrame,
+    scores: Sequence[Score],
+    timestamp: Column | None = None,
+    mode: str = "reference",
 ) -> DataFrame:
     """Vote on wide scores and keep the detection columns; map-side only."""
-    prediction, confidence = vote_wide(scores, mode)
-    voted = packets.withColumns({"prediction": prediction, "confidence": confidence})
-    return detection_records(voted, timestamp)
+    return detection_records(vote_wide(packets, scores, mode), timestamp)
 
 
 def apply_processors(

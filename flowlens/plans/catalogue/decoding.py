@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowlens.operators import decode
 from flowlens.plans.catalogue import query
 from flowlens.plans.views import WITH_PACKETS, packets
+from flowlens.session import computed_once
 
 
 def _hex(c: Column, size: int) -> Column:
@@ -49,8 +50,10 @@ def frames(spark, folder, ethernet: bool = True) -> DataFrame:
     udp = F.concat(ports, _hex(F.length("event_type") + 8, 2), F.lit("0000"), payload)
     body = F.when(proto == 6, tcp).when(proto == 17, udp).otherwise(payload)
     text = F.concat(eth, ip, body) if ethernet else F.concat(ip, body)
-    text = F.when(pid % 19 == 0, F.substring(text, 1, 20)).otherwise(text)
-    return df.select(pid.alias("frame_id"), F.unhex(text).alias("data"))
+    whole = df.select(pid.alias("frame_id"), text.alias("_text"))
+    size = F.when(F.col("frame_id") % 19 == 0, 20).otherwise(F.length("_text"))
+    data = F.unhex(F.substring("_text", F.lit(1), size))
+    return computed_once(whole, {"data": data}).drop("_text")
 
 
 # What the frames above must decode to.

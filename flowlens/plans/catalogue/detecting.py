@@ -32,9 +32,7 @@ def models(spark):
 
 
 def wide_scores():
-    return F.array(
-        *[scoring.model_score(name, model_p(a, b), weight) for name, _, weight, a, b in MODELS]
-    )
+    return [scoring.Score(model_p(a, b), weight) for _, _, weight, a, b in MODELS]
 
 
 @query("ensemble_vote", ENSEMBLE_SQL)
@@ -48,11 +46,8 @@ def ensemble_vote(spark, folder):
 @query("ensemble_vote_wide", ENSEMBLE_SQL)
 def ensemble_vote_wide(spark, folder):
     """Wide scores: the vote is a projection."""
-    prediction, confidence = scoring.vote_wide(wide_scores())
     events = table(spark, folder, "events").select(F.col("event_id").alias("packet_id"))
-    return events.select(
-        "packet_id", prediction.alias("prediction"), F.round(confidence, 6).alias("confidence")
-    )
+    return rounded(scoring.vote_wide(events, wide_scores()), ["confidence"])
 
 
 @query("ensemble_vote_mean", f"""{WITH_SCORES} select packet_id,
@@ -157,8 +152,7 @@ def attack_distribution(spark, folder):
 
 def voted(spark, folder):
     """Packets with their vote, all columns kept."""
-    prediction, confidence = scoring.vote_wide(wide_scores())
-    df = packets(spark, folder).withColumns({"prediction": prediction, "confidence": confidence})
+    df = scoring.vote_wide(packets(spark, folder), wide_scores())
     return df.withColumn("is_alert", F.col("prediction") != "normal")
 
 

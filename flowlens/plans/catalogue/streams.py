@@ -68,8 +68,8 @@ def stream_scan_counters(spark, folder):
 
 @query("stream_traffic", _traffic_sql(60_000_000))
 def stream_traffic(spark, folder):
-    prediction, _ = scoring.vote_wide(wide_scores())
-    voted = packet_stream(spark, folder).withColumn("is_alert", prediction != "normal")
+    voted = scoring.vote_wide(packet_stream(spark, folder), wide_scores())
+    voted = voted.withColumn("is_alert", F.col("prediction") != "normal")
     changes = feeds.run_available(feeds.traffic_stream(voted), "stream-traffic", mode="update")
     # A window's counts only grow, so its newest row is its largest.
     newest = changes.groupBy("window_start").agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -63,3 +63,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     and adaptive execution splits skewed partitions.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that later filters and projections read instead of repeating.
+
+    The optimiser pushes a filter below the projections that made its columns and repeats
+    their expressions there. It does not do so across a generator, so long expressions
+    used in many places are passed through a one-element ``inline``.
+    """
+    made = F.struct(*[c.alias(name) for name, c in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(made)))
