@@ -36,12 +36,29 @@ def modes(df: DataFrame, columns: list[str]) -> dict[str, str | None]:
 def category_lists(
     df: DataFrame, columns: list[str], limit: int = LITERAL_CATEGORIES
 ) -> dict[str, list | None]:
-    """Sorted distinct non-NULL values per column; None where there are more than ``limit``."""
-    lists = {}
-    for c in columns:
-        values = df.where(F.col(c).isNotNull()).select(c).distinct().limit(limit + 1).collect()
-        lists[c] = sorted(r[0] for r in values) if len(values) <= limit else None
-    return lists
+    """Sorted distinct non-NULL values per column; None where there are more than ``limit``.
+
+    Two jobs for all columns together: sketches tell the long lists, the values of the
+    others are fetched.
+    """
+    if not columns:
+        return {}
+    sizes = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    short = [c for c in columns if sizes[c] <= limit]
+    values = [
+        F.struct(F.lit(i).alias("i"), *[
+            (F.col(c) if c == other else F.lit(None).cast(df.schema[other].dataType)).alias(f"v{j}")
+            for j, other in enumerate(short)
+        ])
+        for i, c in enumerate(short)
+    ]
+    lists: dict[str, list | None] = {c: None if c not in short else [] for c in columns}
+    if short:
+        for row in df.select(F.inline(F.array(*values))).distinct().collect():
+            value = row[row["i"] + 1]
+            if value is not None:
+                lists[short[row["i"]]].append(value)
+    return {c: v if v is None else sorted(v) for c, v in lists.items()}
 
 
 def one_hot(df: DataFrame, categories: dict[str, list]) -> DataFrame:

@@ -26,11 +26,20 @@ KEYLESS_GROUPS = 4096
 CARRY = ["n", "bytes", "squares", "low", "high", "start"]
 
 
-def hot_keys(packets: DataFrame, hot_rows: int = HOT_ROWS, limit: int = HOT_KEYS) -> DataFrame:
-    """The busiest flow keys: more than ``hot_rows`` rows each, at most ``limit`` keys."""
+def hot_keys(
+    packets: DataFrame, hot_rows: int = HOT_ROWS, limit: int = HOT_KEYS
+) -> DataFrame | None:
+    """The busiest flow keys: more than ``hot_rows`` rows each, at most ``limit`` keys.
+
+    Found by a job of its own, a count that is combined before its shuffle, so that a
+    table without such keys gets the plain plan. None where there are none.
+    """
     counts = packets.where(F.col("flow_key").isNotNull()).groupBy("flow_key").count()
     busiest = counts.where(F.col("count") > hot_rows).orderBy(F.desc("count"), "flow_key")
-    return busiest.limit(limit).select("flow_key", F.lit(True).alias("_hot"))
+    keys = [(row["flow_key"], True) for row in busiest.limit(limit).collect()]
+    if not keys:
+        return None
+    return packets.sparkSession.createDataFrame(keys, "flow_key string, _hot boolean")
 
 
 def running_flows(
@@ -55,13 +64,14 @@ def running_flows(
     no_slice = F.when(F.col("flow_key").isNull(), keyless).otherwise(F.lit(0).cast("bigint"))
     time_slice = F.expr(f"t_us div {slice_us}")
 
-    if hot_rows is None:
+    hot = None if hot_rows is None else hot_keys(packets, hot_rows)
+    if hot is None:
         local = _local_stats(rows.withColumn("_slice", no_slice), timeout_us)
         session, merged = F.col("_seg") + 1, {c: F.col(f"_{c}") for c in CARRY}
         spread = sum_of_squares_sd(merged["n"], merged["bytes"], merged["squares"])
         return _with_features(local, columns, session, merged, spread)
 
-    hot = F.broadcast(hot_keys(packets, hot_rows))
+    hot = F.broadcast(hot)  # at most HOT_KEYS rows
     sliced = rows.join(hot, "flow_key", "left").withColumn(
         "_slice", F.when(F.col("_hot"), time_slice).otherwise(no_slice)
     )

@@ -181,27 +181,43 @@ def vote_wide(df: DataFrame, scores: Sequence[Score], mode: str = "reference") -
     the weighted mean of ``p_attack`` with 0.5.
     """
     voters = [s for s in scores if s.weight > 0]
-    p = [s.p.cast("double") for s in voters]
-    weighted = [F.coalesce(p_i * F.lit(float(s.weight)), F.lit(0.0))
-                for p_i, s in zip(p, voters, strict=True)]
-    weights = _total([F.when(p_i.isNotNull(), float(s.weight)).otherwise(0.0)
-                      for p_i, s in zip(p, voters, strict=True)])
+    # Each step is a projection of its own: one long expression would be repeated in every
+    # place it is used, and make code too large for the JIT compiler.
+    df = df.withColumns({f"_p{i}": s.p.cast("double") for i, s in enumerate(voters)})
+    p = [F.col(f"_p{i}") for i in range(len(voters))]
+    weight = [F.lit(float(s.weight)) for s in voters]
+    steps = {
+        "_weights": _total([F.when(a.isNotNull(), w).otherwise(0.0)
+                            for a, w in zip(p, weight, strict=True)]),
+        "_all": _total([F.coalesce(a * w, F.lit(0.0)) for a, w in zip(p, weight, strict=True)]),
+    }
+    for x in LABELS:
+        votes = [_votes_for(x, a, s.classes) for a, s in zip(p, voters, strict=True)]
+        steps[f"_sum_{x}"] = _total([F.when(v, a * w).otherwise(0.0)
+                                     for v, a, w in zip(votes, p, weight, strict=True)])
+        places = [F.when(v, i) for i, v in enumerate(votes)]
+        steps[f"_first_{x}"] = F.coalesce(*places, F.lit(None).cast("int"))
+    stepped = df.withColumns(steps)
+    prediction, confidence = _decide(mode)
+    voted = computed_once(stepped, {"prediction": prediction, "confidence": confidence})
+    return voted.drop(*steps, *[f"_p{i}" for i in range(len(voters))])
+
+
+def _votes_for(label: str, p: Column, classes: int) -> Column:
+    if classes == 1:
+        return p.isNotNull() & F.lit(label == "unknown")
+    return {"attack": p > 0.5, "normal": p <= 0.5}.get(label, F.lit(False))
+
+
+def _decide(mode: str) -> tuple[Column, Column]:
+    """The vote from the per-label sums and first places."""
     if mode == "mean":
-        prediction, confidence = _mean_vote(_total(weighted), weights)
-    else:
-        labels = [F.when(p_i.isNotNull(), _label_of(p_i, F.lit(s.classes)))
-                  for p_i, s in zip(p, voters, strict=True)]
-        totals = {
-            x: _total([F.when(label == x, score).otherwise(0.0)
-                       for label, score in zip(labels, weighted, strict=True)])
-            for x in LABELS
-        }
-        firsts = {
-            x: F.coalesce(*[F.when(label == x, i) for i, label in enumerate(labels)], F.lit(None))
-            for x in LABELS
-        }
-        prediction, confidence = _outcome(totals, firsts, weights)
-    return computed_once(df, {"prediction": prediction, "confidence": confidence})
+        return _mean_vote(F.col("_all"), F.col("_weights"))
+    return _outcome(
+        {x: F.col(f"_sum_{x}") for x in LABELS},
+        {x: F.col(f"_first_{x}") for x in LABELS},
+        F.col("_weights"),
+    )
 
 
 def _total(parts: list[Column]) -> Column:
@@ -234,14 +250,7 @@ def vote_long(scores: DataFrame, mode: str = "reference") -> DataFrame:
         sums.append(F.sum(F.when(label == x, p * w)).alias(f"_sum_{x}"))
         sums.append(F.min(F.when(label == x, F.col("model_order"))).alias(f"_first_{x}"))
     grouped = scores.groupBy("packet_id").agg(*sums)
-    if mode == "mean":
-        prediction, confidence = _mean_vote(F.col("_all"), F.col("_weights"))
-    else:
-        prediction, confidence = _outcome(
-            {x: F.col(f"_sum_{x}") for x in LABELS},
-            {x: F.col(f"_first_{x}") for x in LABELS},
-            F.col("_weights"),
-        )
+    prediction, confidence = _decide(mode)
     return grouped.select(
         "packet_id", prediction.alias("prediction"), confidence.alias("confidence")
     )

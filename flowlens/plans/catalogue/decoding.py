@@ -16,7 +16,7 @@ def _hex(c: Column, size: int) -> Column:
 
 
 def _ip_hex(c: Column) -> Column:
-    parts = F.split(c, "[.]")
+    parts = F.split(c, r"\.")
     return F.concat(*[_hex(F.element_at(parts, i), 1) for i in range(1, 5)])
 
 

@@ -13,6 +13,7 @@ from flowlens.plans.catalogue.features import (
 )
 from flowlens.plans.views import table
 from flowlens.schemas import CATEGORICAL_FEATURES, IP_FEATURES, NUMERIC_FEATURES
+from flowlens.session import materialized, work_path
 
 KEY = ["l_orderkey", "l_linenumber", "l_partkey"]
 KEY_SQL = ", ".join(KEY)
@@ -94,21 +95,21 @@ def _plain(df, columns):
 @query("impute_mean", f"{WITH_FEATS}, {FIT_SQL} select packet_id, {_select(_IMPUTED)} "
        "from feats cross join fit")
 def impute_mean(spark, folder):
-    df = features(spark, folder)
+    df = materialized(features(spark, folder), "features")
     return _plain(prep.Preprocessor.fit(df).impute(df), _IMPUTED)
 
 
 @query("minmax_ip", f"{WITH_FEATS}, {FIT_SQL} select packet_id, {_select(_MINMAX)} "
        "from feats cross join fit")
 def minmax_ip(spark, folder):
-    df = features(spark, folder)
+    df = materialized(features(spark, folder), "features")
     fitted = prep.Preprocessor.fit(df)
     return _plain(fitted.scale_addresses(fitted.impute(df)), _MINMAX)
 
 
 @query("one_hot", f"{WITH_FEATS} select packet_id, {_select(_FLAGS)} from feats")
 def one_hot(spark, folder):
-    df = features(spark, folder)
+    df = materialized(features(spark, folder), "features")
     fitted = prep.Preprocessor.fit(df)
     return _plain(fitted.encode(fitted.impute(df)), _FLAGS)
 
@@ -116,7 +117,7 @@ def one_hot(spark, folder):
 @query("standardize", f"{WITH_FEATS}, {FIT_SQL} select packet_id, {_select(_SCALED)} "
        "from feats cross join fit")
 def standardize(spark, folder):
-    df = features(spark, folder)
+    df = materialized(features(spark, folder), "features")
     fitted = prep.Preprocessor.fit(df)
     return _plain(fitted.standardize(fitted.impute(df)), _SCALED)
 
@@ -127,7 +128,7 @@ PREPROCESS_SQL = f"{WITH_FEATS}, {FIT_SQL} select packet_id, {_select(_ALL)} fro
 
 @query("preprocess", PREPROCESS_SQL)
 def preprocess(spark, folder):
-    df = features(spark, folder)
+    df = materialized(features(spark, folder), "features")
     fitted = prep.Preprocessor.fit(df)
     return _plain(fitted.transform(df), fitted.output_columns())
 
@@ -135,9 +136,7 @@ def preprocess(spark, folder):
 @query("preprocessor_saved", PREPROCESS_SQL)
 def preprocessor_saved(spark, folder):
     """The same through a saved and reloaded preprocessor."""
-    from flowlens.session import work_path
-
-    df = features(spark, folder)
+    df = materialized(features(spark, folder), "features")
     path = work_path(spark, "preprocessor")
     prep.Preprocessor.fit(df).save(spark, path)
     loaded = prep.Preprocessor.load(spark, path)
