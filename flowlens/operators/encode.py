@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.session import checkpointed
+from flowlens.session import broadcast_if_small, checkpointed
 
 # Category lists up to this length are written into the plan as literals.
 LITERAL_CATEGORIES = 10_000
+CODES_BROADCAST_ROWS = 100_000
 
 
 def unpivoted(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -86,6 +87,7 @@ def label_encode(
     for c in columns:
         if lists[c] is None:
             codes = distributed_codes(texts.select(F.col(c).alias("_value")), "_value")
+            codes = broadcast_if_small(codes, CODES_BROADCAST_ROWS)
             joined = coded.join(codes, F.col(c) == F.col("_value"), "left")
             coded = joined.withColumn(c, F.col("_code")).select(*df.columns)
     return coded

@@ -183,15 +183,28 @@ def latest(df: DataFrame, n: int | None = 1000, time: str = "t_us", tie: str = "
     return df if n is None else df.orderBy(F.desc(time), F.desc(tie)).limit(n)
 
 
+# Up to this many rows per group Spark limits groups before the shuffle by itself
+# (spark.sql.optimizer.windowGroupLimitThreshold).
+GROUP_LIMIT = 1_000
+SALTS = 64
+
+
 def latest_per_key(
     df: DataFrame, key: str, n: int = 100, time: str = "t_us", tie: str = "packet_id"
 ) -> DataFrame:
     """The last ``n`` rows of every key.
 
     Spark limits each group before the shuffle (window group limit), so a busy key sends
-    at most ``n`` rows per input partition.
+    at most ``n`` rows per input partition. For a larger ``n`` the rows of a key are first
+    ranked within hashed parts, so that one task gets at most ``SALTS * n`` of them.
     """
-    order = Window.partitionBy(key).orderBy(F.desc(time), F.desc(tie))
+    latest_first = [F.desc(time), F.desc(tie)]
+    if n > GROUP_LIMIT:
+        part = Window.partitionBy(key, "_salt").orderBy(*latest_first)
+        df = df.withColumn("_salt", F.pmod(F.xxhash64(time, tie), F.lit(SALTS)))
+        df = df.withColumn("_rank", F.row_number().over(part)).where(F.col("_rank") <= n)
+        df = df.drop("_salt", "_rank")
+    order = Window.partitionBy(key).orderBy(*latest_first)
     return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 

@@ -298,7 +298,7 @@ def column_quantiles(spark, folder):
 @query("column_quantiles_narrowed", QUANTILES_SQL)
 def column_quantiles_narrowed(spark, folder):
     """The same by narrowing, as used on tables too large for one task per column."""
-    return _quantile_rows(spark, folder, single_task_rows=1000)
+    return _quantile_rows(spark, folder, single_task_values=1000)
 
 
 @query("column_modes", "select 'l_returnflag' as name, (select l_returnflag from lineitem group by "

@@ -9,7 +9,7 @@ from flowlens.plans.catalogue import query
 from flowlens.plans.catalogue.detecting import WITH_FEEDBACK, feedback_entries, voted
 from flowlens.plans.catalogue.features import rounded
 from flowlens.plans.views import WITH_PACKETS, WITH_VOTES, packets, table
-from flowlens.session import work_path
+from flowlens.session import materialized, work_path
 from flowlens.sources import corpus, models, tables
 from flowlens.sources import packets as packet_files
 
@@ -77,7 +77,7 @@ def csv_union(spark, folder):
     for i, names in enumerate(headers):
         part = lines.where(F.col("l_linenumber") % 3 == i).select(*names)
         part.write.mode("append").csv(path, header=True)
-    _rename_parts(spark, path)
+    _add_empty_file(spark, path)
     df, _ = corpus.read_csv_corpus(spark, path)
     return df.select(
         F.col("l_orderkey").cast("bigint"), F.col("l_linenumber").cast("int"),
@@ -85,7 +85,7 @@ def csv_union(spark, folder):
     )
 
 
-def _rename_parts(spark, path):
+def _add_empty_file(spark, path):
     """An empty file among the corpus files, as left by a broken download."""
     jvm = spark.sparkContext._jvm
     empty = jvm.org.apache.hadoop.fs.Path(f"{path}/broken.csv")
@@ -153,10 +153,10 @@ def model_store(spark, folder):
     from flowlens.operators.features import extract_features
 
     df = packets(spark, folder).withColumn("timestamp", F.timestamp_micros("t_us"))
-    features = extract_features(df, keep=("packet_id", "label"))
+    features = materialized(extract_features(df, keep=("packet_id", "label")), "features")
     prepared = Preprocessor.fit(features.drop("label"))
     rows = prepared.transform(features)
-    rows = rows.withColumn("target", F.when(F.col("label") == "attack", 1.0).otherwise(0.0)).persist()
+    rows = rows.withColumn("target", F.when(F.col("label") == "attack", 1.0).otherwise(0.0))
     path = work_path(spark, "models")
     kinds = {
         "tree": DecisionTreeClassifier(labelCol="target", maxDepth=4, seed=42),
@@ -165,7 +165,6 @@ def model_store(spark, folder):
     for name, kind in kinds.items():
         fitted = feature_pipeline(prepared.output_columns(), kind).fit(rows)
         models.save_model(fitted, path, name)
-    rows.unpersist()
     loaded, registry, _ = models.load_models(spark, path)
     weights = {r["model"]: r["weight"] for r in registry.collect()}
     members = [(name, model, weights[name]) for name, model in loaded.items()]

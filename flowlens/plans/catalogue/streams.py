@@ -9,6 +9,7 @@ from flowlens.operators.features import with_flow_key
 from flowlens.plans.catalogue import query
 from flowlens.plans.catalogue.detecting import (
     DETECTION_SQL,
+    WITH_FEEDBACK,
     _shown,
     _traffic_sql,
     feedback_entries,
@@ -60,10 +61,18 @@ def stream_flow_summary(spark, folder):
     return rounded(out, [c for c in REAL_FLOW if c in out.columns])
 
 
-@query("stream_scan_counters")
+@query("stream_scan_counters", f"""{WITH_PACKETS} select
+  make_timestamp(t_us // 300000000 * 300000000) as window_start, protocol, src_ip, dst_ip,
+  count(*) filter (protocol = 'tcp' and tcp_flags & 2 <> 0 and tcp_flags & 16 = 0) as syn_packets,
+  true as tried from packets where protocol in ('tcp', 'udp') group by all""")
 def stream_scan_counters(spark, folder):
+    """The port count is a sketch, so only its presence is compared."""
     stream = feeds.scan_counter_stream(packet_stream(spark, folder), width="5 minutes")
-    return feeds.run_available(stream, "stream-scans", mode="update").drop("batch")
+    changes = feeds.run_available(stream, "stream-scans", mode="update")
+    newest = changes.groupBy("window_start", "protocol", "src_ip", "dst_ip").agg(
+        F.max("syn_packets").alias("syn_packets"), (F.max("n_ports") > 0).alias("tried")
+    )
+    return newest.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("stream_traffic", _traffic_sql(60_000_000))
@@ -126,7 +135,8 @@ def stream_counters(spark, folder):
     )
 
 
-@query("stream_retrain_check")
+@query("stream_retrain_check", f"""{WITH_FEEDBACK} select model_name, count(*) as n,
+  count(*) >= 10 and model_name <> 'm2' as due from feedback group by model_name""")
 def stream_retrain_check(spark, folder):
     """The retrain gate, checked after every micro-batch of the detection feed."""
     from flowlens.operators.feedback import retrain_due
