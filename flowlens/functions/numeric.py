@@ -21,18 +21,11 @@ def sum_of_squares_sd(n: Column, total: Column, squares: Column) -> Column:
     Integer arithmetic makes the result independent of row order. The 64-bit form is
     tried first; where it would overflow the same formula runs in wide decimals.
     """
-    narrow = F.try_subtract(F.try_multiply(n, squares), F.try_multiply(total, total))
-    return F.sqrt(F.coalesce(narrow.cast("double"), _wide_spread(n, total, squares))) / n
-
-
-def wide_sum_of_squares_sd(n: Column, total: Column, squares: Column) -> Column:
-    """As :func:`sum_of_squares_sd` for sums that are decimals already."""
-    return F.sqrt(_wide_spread(n, total, squares)) / n
-
-
-def _wide_spread(n: Column, total: Column, squares: Column) -> Column:
-    n, total, squares = n.cast(WIDE), total.cast(WIDE), squares.cast(WIDE)
-    return (n * squares - total * total).cast("double")
+    short = squares.try_cast("bigint")
+    narrow = F.try_subtract(F.try_multiply(n, short), F.try_multiply(total, total))
+    n_, total_, squares_ = n.cast(WIDE), total.cast(WIDE), squares.cast(WIDE)
+    wide = n_ * squares_ - total_ * total_
+    return F.sqrt(F.coalesce(narrow.cast("double"), wide.cast("double"))) / n
 
 
 def safe_corr(x: Column, y: Column) -> Column:

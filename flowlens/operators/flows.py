@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.functions.numeric import sum_of_squares_sd, wide_sum_of_squares_sd
+from flowlens.functions.numeric import sum_of_squares_sd
 
 TIMEOUT_S = 60.0
 HOT_ROWS = 2_000_000
@@ -56,22 +56,93 @@ def running_flows(
     the key is NULL. ``hot_rows=None`` skips the search for hot keys, for tables known to
     have none.
     """
+    x = F.col("packet_size") if size is None else size
+    rows = packets.withColumns({"_open": F.lit(False), **_one_packet(x)})
+    merged = _merge(rows, timeout_s, hot_rows, slice_s)
+    return _with_features(merged, packets.columns)
+
+
+def continue_flows(
+    packets: DataFrame,
+    open_flows: DataFrame,
+    timeout_s: float = TIMEOUT_S,
+    hot_rows: int | None = HOT_ROWS,
+    slice_s: float = SLICE_S,
+) -> tuple[DataFrame, DataFrame]:
+    """Running statistics of further packets of flows, and the sessions then open.
+
+    ``open_flows`` (see ``OPEN_FLOW``) holds one row per open session. Such a row takes
+    part as a first entry of its key that stands for all packets before. A packet older
+    than that is counted, but does not move the end of the session back.
+    """
+    x = F.col("packet_size")
+    rows = packets.where(F.col("flow_key").isNotNull())
+    rows = rows.withColumns({"_open": F.lit(False), **_one_packet(x)})
+    before = open_flows.select(
+        "flow_key",
+        F.col("last_us").alias("t_us"),
+        F.lit(True).alias("_open"),
+        *[F.col(name).alias(f"_w_{c}") for name, c in zip(OPEN_STATS, CARRY, strict=True)],
+    )
+    merged = _merge(
+        rows.unionByName(before, allowMissingColumns=True), timeout_s, hot_rows, slice_s
+    )
+    last = F.struct(~F.col("_open"), "t_us", "packet_id")
+    stats = F.struct(
+        *[F.col(f"_{c}").alias(name) for name, c in zip(OPEN_STATS, CARRY, strict=True)],
+        F.col("_last").alias("last_us"),
+    )
+    ends = merged.groupBy("flow_key").agg(F.max_by(stats, last).alias("s"))
+    running = _with_features(merged.where(~F.col("_open")), packets.columns)
+    return running, ends.select("flow_key", "s.*")
+
+
+OPEN_FLOW = (
+    "flow_key string, packets bigint, bytes bigint, squares decimal(28,0), low bigint, "
+    "high bigint, start_us bigint, last_us bigint"
+)
+OPEN_STATS = ["packets", "bytes", "squares", "low", "high", "start_us"]
+
+_COMBINE = {
+    "n": lambda a, b: a + b,
+    "bytes": lambda a, b: a + b,
+    "squares": lambda a, b: a + b,
+    "low": F.least,
+    "high": F.greatest,
+    "start": F.least,
+}
+_FOLD = {"n": F.sum, "bytes": F.sum, "squares": F.sum, "low": F.min, "high": F.max, "start": F.min}
+
+
+def _one_packet(size: Column) -> dict[str, Column]:
+    """What one packet adds to the statistics."""
+    return {
+        "_w_n": F.lit(1).cast("bigint"),
+        "_w_bytes": size,
+        "_w_squares": (size * size).cast("decimal(20,0)"),
+        "_w_low": size,
+        "_w_high": size,
+        "_w_start": F.col("t_us"),
+    }
+
+
+def _merge(
+    rows: DataFrame, timeout_s: float, hot_rows: int | None, slice_s: float
+) -> DataFrame:
+    """Rows with the running statistics ``_n`` ... ``_start``, ``_last`` and ``_session``."""
     timeout_us = round(timeout_s * 1_000_000)
     slice_us = round(slice_s * 1_000_000)
-    columns = packets.columns
-    rows = packets.withColumn("_size", F.col("packet_size") if size is None else size)
     keyless = F.pmod(F.xxhash64("packet_id"), F.lit(KEYLESS_GROUPS))
     no_slice = F.when(F.col("flow_key").isNull(), keyless).otherwise(F.lit(0).cast("bigint"))
-    time_slice = F.expr(f"t_us div {slice_us}")
 
-    hot = None if hot_rows is None else hot_keys(packets, hot_rows)
+    hot = None if hot_rows is None else hot_keys(rows, hot_rows)
     if hot is None:
         local = _local_stats(rows.withColumn("_slice", no_slice), timeout_us)
-        session, merged = F.col("_seg") + 1, {c: F.col(f"_{c}") for c in CARRY}
-        spread = sum_of_squares_sd(merged["n"], merged["bytes"], merged["squares"])
-        return _with_features(local, columns, session, merged, spread)
+        return local.withColumn("_session", F.col("_seg") + 1)
 
     hot = F.broadcast(hot)  # at most HOT_KEYS rows
+    # The entry of an open session comes before all slices of its key.
+    time_slice = F.when(F.col("_open"), -(2**62)).otherwise(F.expr(f"t_us div {slice_us}"))
     sliced = rows.join(hot, "flow_key", "left").withColumn(
         "_slice", F.when(F.col("_hot"), time_slice).otherwise(no_slice)
     )
@@ -81,53 +152,32 @@ def running_flows(
 
     # Only the first segment of a slice continues the session carried into it.
     continues = F.coalesce((F.col("_seg") == 0) & F.col("_in_n").isNotNull(), F.lit(False))
-    session = F.coalesce(F.col("_base"), F.lit(1).cast("bigint")) + F.col("_seg")
     merged = {
-        c: F.when(continues, combine(F.col(f"_in_{c}"), F.col(f"_{c}"))).otherwise(F.col(f"_{c}"))
+        f"_{c}": F.when(continues, combine(F.col(f"_in_{c}"), F.col(f"_{c}"))).otherwise(
+            F.col(f"_{c}")
+        )
         for c, combine in _COMBINE.items()
-        if c != "squares"
     }
-    narrow = sum_of_squares_sd(F.col("_n"), F.col("_bytes"), F.col("_squares"))
-    wide = wide_sum_of_squares_sd(
-        merged["n"], merged["bytes"], F.col("_in_squares") + F.col("_squares")
-    )
-    spread = F.when(continues, wide).otherwise(narrow)
-    return _with_features(joined, columns, session, merged, spread)
-
-
-_COMBINE = {
-    "n": lambda a, b: a + b,
-    "bytes": lambda a, b: a + b,
-    "squares": lambda a, b: a + b,
-    "low": F.least,
-    "high": F.greatest,
-    "start": F.least,
-}
+    base = F.coalesce(F.col("_base"), F.lit(1).cast("bigint"))
+    return joined.withColumns({**merged, "_session": base + F.col("_seg")})
 
 
 def _local_stats(rows: DataFrame, timeout_us: int) -> DataFrame:
     """Segments and running sums within each (key, slice); one shuffle on those columns."""
-    ordered = Window.partitionBy("flow_key", "_slice").orderBy("t_us", "packet_id")
+    order = [F.desc("_open"), F.col("t_us"), F.col("packet_id")]
+    ordered = Window.partitionBy("flow_key", "_slice").orderBy(*order)
     so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    gap = F.col("t_us") - F.lag("t_us").over(ordered)
+    earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    gap = F.col("t_us") - F.max("t_us").over(earlier)
     rows = rows.withColumn("_new", F.when(gap > timeout_us, 1).otherwise(0))
     rows = rows.withColumn("_seg", F.sum("_new").over(so_far))
     run = (
         Window.partitionBy("flow_key", "_slice", "_seg")
-        .orderBy("t_us", "packet_id")
+        .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    size = F.col("_size")
-    return rows.withColumns(
-        {
-            "_n": F.count(F.lit(1)).over(run),
-            "_bytes": F.sum(size).over(run),
-            "_squares": F.sum(size * size).over(run),
-            "_low": F.min(size).over(run),
-            "_high": F.max(size).over(run),
-            "_start": F.min("t_us").over(run),
-        }
-    )
+    stats = {f"_{c}": fold(f"_w_{c}").over(run) for c, fold in _FOLD.items()}
+    return rows.withColumns({**stats, "_last": F.max("t_us").over(run)})
 
 
 def _carried(local: DataFrame, timeout_us: int) -> DataFrame:
@@ -138,8 +188,9 @@ def _carried(local: DataFrame, timeout_us: int) -> DataFrame:
     """
     last = F.struct("t_us", "packet_id")
     tail = [
-        F.max_by(F.col(f"_{c}").cast("decimal(28,0)" if c == "squares" else "bigint"), last)
-        .alias(f"_tail_{c}")
+        F.max_by(F.col(f"_{c}").cast("decimal(28,0)" if c == "squares" else "bigint"), last).alias(
+            f"_tail_{c}"
+        )
         for c in CARRY
     ]
     slices = local.groupBy("flow_key", "_slice").agg(
@@ -150,7 +201,8 @@ def _carried(local: DataFrame, timeout_us: int) -> DataFrame:
     )
     key = Window.partitionBy("flow_key").orderBy("_slice")
     upto = key.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    previous_end = F.lag("_last_t").over(key)
+    earlier = key.rowsBetween(Window.unboundedPreceding, -1)
+    previous_end = F.max("_last_t").over(earlier)
     opens = previous_end.isNull() | (F.col("_first_t") - previous_end > timeout_us)
     slices = slices.withColumn("_opens", opens.cast("bigint"))
     slices = slices.withColumns(
@@ -166,9 +218,8 @@ def _carried(local: DataFrame, timeout_us: int) -> DataFrame:
         .orderBy("_slice")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    fold = {"low": F.min, "high": F.max, "start": F.min}
     slices = slices.withColumns(
-        {f"_out_{c}": fold.get(c, F.sum)(f"_tail_{c}").over(group) for c in CARRY}
+        {f"_out_{c}": fold(f"_tail_{c}").over(group) for c, fold in _FOLD.items()}
     )
     incoming = {
         f"_in_{c}": F.when(F.col("_opens") == 0, F.lag(f"_out_{c}").over(key)) for c in CARRY
@@ -176,21 +227,22 @@ def _carried(local: DataFrame, timeout_us: int) -> DataFrame:
     return slices.withColumns(incoming).select("flow_key", "_slice", "_base", *incoming)
 
 
-def _with_features(
-    rows: DataFrame, columns: list[str], session: Column, stats: dict[str, Column], sd: Column
-) -> DataFrame:
-    duration = F.greatest(F.lit(0.001), (F.col("t_us") - stats["start"]) / 1e6)
+def _with_features(rows: DataFrame, columns: list[str]) -> DataFrame:
+    n, total, squares = F.col("_n"), F.col("_bytes"), F.col("_squares")
+    # A packet behind the end of its flow leaves the end where it is.
+    end = F.greatest("t_us", "_last")
+    duration = F.greatest(F.lit(0.001), (end - F.col("_start")) / 1e6)
     features = {
-        "flow_session": session,
+        "flow_session": F.col("_session"),
         "flow_duration": duration,
-        "flow_packets": stats["n"],
-        "flow_bytes": stats["bytes"],
-        "flow_rate_pps": stats["n"] / duration,
-        "flow_rate_bps": stats["bytes"] / duration,
-        "flow_packet_size_mean": stats["bytes"] / stats["n"],
-        "flow_packet_size_std": sd,
-        "flow_packet_size_min": stats["low"],
-        "flow_packet_size_max": stats["high"],
+        "flow_packets": n,
+        "flow_bytes": total,
+        "flow_rate_pps": n / duration,
+        "flow_rate_bps": total / duration,
+        "flow_packet_size_mean": total / n,
+        "flow_packet_size_std": sum_of_squares_sd(n, total, squares),
+        "flow_packet_size_min": F.col("_low"),
+        "flow_packet_size_max": F.col("_high"),
     }
     in_flow = F.col("flow_key").isNotNull()
     return rows.select(

@@ -41,8 +41,26 @@ def packet_stream(spark, folder):
     return packets_of(events).withColumn("timestamp", F.timestamp_micros("t_us"))
 
 
-@query("stream_flow_running", f"{WITH_RUNNING} select packet_id, flow_key, {FLOW_COLUMNS} from running")
+STREAM_RUNNING_SQL = f"{WITH_RUNNING} select packet_id, flow_key, {FLOW_COLUMNS} from running"
+
+
+@query("stream_flow_running", STREAM_RUNNING_SQL)
 def stream_flow_running(spark, folder):
+    """Open flows in a table, one batch job per micro-batch."""
+    output = work_path(spark, "flow-feed")
+    stream_flows.running_flow_feed(
+        with_flow_key(packet_stream(spark, folder)),
+        output,
+        work_path(spark, "open-flows"),
+        work_path(spark, "flow-feed-checkpoint"),
+    ).awaitTermination()
+    out = spark.read.parquet(output).select("packet_id", "flow_key", *FLOW_FEATURES)
+    return rounded(out, REAL_FLOW)
+
+
+@query("stream_flow_state", STREAM_RUNNING_SQL)
+def stream_flow_state(spark, folder):
+    """Open flows in Spark's state store, one Python call per flow and micro-batch."""
     stream = stream_flows.running_flow_stream(with_flow_key(packet_stream(spark, folder)))
     out = feeds.run_available(stream, "stream-flows")
     return rounded(out.select("packet_id", "flow_key", *FLOW_FEATURES), REAL_FLOW)
