@@ -23,7 +23,7 @@ SLICE_S = 60.0
 # Rows without a key belong to no flow; they are spread over this many groups.
 KEYLESS_GROUPS = 4096
 
-CARRY = ["n", "bytes", "squares", "low", "high", "start"]
+CARRY = ["n", "bytes", "squares", "low", "high", "start", "last"]
 
 
 def hot_keys(
@@ -89,8 +89,7 @@ def continue_flows(
     )
     last = F.struct(~F.col("_open"), "t_us", "packet_id")
     stats = F.struct(
-        *[F.col(f"_{c}").alias(name) for name, c in zip(OPEN_STATS, CARRY, strict=True)],
-        F.col("_last").alias("last_us"),
+        *[F.col(f"_{c}").alias(name) for name, c in zip(OPEN_STATS, CARRY, strict=True)]
     )
     ends = merged.groupBy("flow_key").agg(F.max_by(stats, last).alias("s"))
     running = _with_features(merged.where(~F.col("_open")), packets.columns)
@@ -101,7 +100,7 @@ OPEN_FLOW = (
     "flow_key string, packets bigint, bytes bigint, squares decimal(28,0), low bigint, "
     "high bigint, start_us bigint, last_us bigint"
 )
-OPEN_STATS = ["packets", "bytes", "squares", "low", "high", "start_us"]
+OPEN_STATS = ["packets", "bytes", "squares", "low", "high", "start_us", "last_us"]
 
 _COMBINE = {
     "n": lambda a, b: a + b,
@@ -110,8 +109,17 @@ _COMBINE = {
     "low": F.least,
     "high": F.greatest,
     "start": F.least,
+    "last": F.greatest,
+}
+_FOLD = {
+    "n": F.sum,
+    "bytes": F.sum,
+    "squares": F.sum,
+    "low": F.min,
+    "high": F.max,
+    "start": F.min,
+    "last": F.max,
 }
-_FOLD = {"n": F.sum, "bytes": F.sum, "squares": F.sum, "low": F.min, "high": F.max, "start": F.min}
 
 
 def _one_packet(size: Column) -> dict[str, Column]:
@@ -123,13 +131,14 @@ def _one_packet(size: Column) -> dict[str, Column]:
         "_w_low": size,
         "_w_high": size,
         "_w_start": F.col("t_us"),
+        "_w_last": F.col("t_us"),
     }
 
 
 def _merge(
     rows: DataFrame, timeout_s: float, hot_rows: int | None, slice_s: float
 ) -> DataFrame:
-    """Rows with the running statistics ``_n`` ... ``_start``, ``_last`` and ``_session``."""
+    """Rows with the running statistics ``_n`` ... ``_last`` and ``_session``."""
     timeout_us = round(timeout_s * 1_000_000)
     slice_us = round(slice_s * 1_000_000)
     keyless = F.pmod(F.xxhash64("packet_id"), F.lit(KEYLESS_GROUPS))
@@ -177,7 +186,7 @@ def _local_stats(rows: DataFrame, timeout_us: int) -> DataFrame:
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     stats = {f"_{c}": fold(f"_w_{c}").over(run) for c, fold in _FOLD.items()}
-    return rows.withColumns({**stats, "_last": F.max("t_us").over(run)})
+    return rows.withColumns(stats)
 
 
 def _carried(local: DataFrame, timeout_us: int) -> DataFrame:
@@ -229,9 +238,8 @@ def _carried(local: DataFrame, timeout_us: int) -> DataFrame:
 
 def _with_features(rows: DataFrame, columns: list[str]) -> DataFrame:
     n, total, squares = F.col("_n"), F.col("_bytes"), F.col("_squares")
-    # A packet behind the end of its flow leaves the end where it is.
-    end = F.greatest("t_us", "_last")
-    duration = F.greatest(F.lit(0.001), (end - F.col("_start")) / 1e6)
+    # A packet behind the end of its flow leaves the end where it is, so not ``t_us``.
+    duration = F.greatest(F.lit(0.001), (F.col("_last") - F.col("_start")) / 1e6)
     features = {
         "flow_session": F.col("_session"),
         "flow_duration": duration,
