@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.session import broadcast_if_small, checkpointed
 
-# Category lists up to this length are written into the plan as literals.
-LITERAL_CATEGORIES = 10_000
+# One-hot encoding makes a column per category, so no list may be longer than this.
+MAX_CATEGORIES = 10_000
+# Label lists up to this length are written into the plan and searched in order; longer
+# ones are joined by hash.
+LITERAL_CATEGORIES = 256
 CODES_BROADCAST_ROWS = 100_000
 
 
@@ -35,16 +40,20 @@ def modes(df: DataFrame, columns: list[str]) -> dict[str, str | None]:
 
 
 def category_lists(
-    df: DataFrame, columns: list[str], limit: int = LITERAL_CATEGORIES
+    df: DataFrame,
+    columns: list[str],
+    limit: int = MAX_CATEGORIES,
+    sizes: dict[str, int] | None = None,
 ) -> dict[str, list | None]:
     """Sorted distinct non-NULL values per column; None where there are more than ``limit``.
 
     Two jobs for all columns together: sketches tell the long lists, the values of the
-    others are fetched.
+    others are fetched. ``sizes`` are sketches the caller has taken already.
     """
     if not columns:
         return {}
-    sizes = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    if sizes is None:
+        sizes = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first().asDict()
     short = [c for c in columns if sizes[c] <= limit]
     values = [
         F.struct(F.lit(i).alias("i"), *[
@@ -112,11 +121,8 @@ def distributed_codes(df: DataFrame, column: str) -> DataFrame:
     ordered = checkpointed(ordered.withColumn("_id", place))
     part = F.shiftright("_id", 33)
     sizes = ordered.groupBy(part.alias("part")).count().collect()  # one row per partition
-    first, offsets = 0, {}
-    for row in sorted(sizes, key=lambda r: r["part"]):
-        offsets[row["part"]] = first
-        first += row["count"]
-    pairs = [F.lit(v) for item in offsets.items() for v in item]
-    offset = F.try_element_at(F.create_map(*pairs), part) if pairs else F.lit(0)
+    counts = {row["part"]: row["count"] for row in sizes}
+    firsts = list(accumulate((counts.get(i, 0) for i in range(max(counts, default=0) + 1)), initial=0))
+    offset = F.get(F.array(*[F.lit(n).cast("bigint") for n in firsts]), part.cast("int"))
     within = F.col("_id").bitwiseAND((1 << 33) - 1)
     return ordered.select(column, (offset + within).cast("bigint").alias("_code"))

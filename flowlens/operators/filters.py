@@ -11,8 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlens.session import broadcast_if_small
-
 RULE_TABLE_BROADCAST_ROWS = 100_000
 RULE_FIELDS = ("src_ip", "dst_ip", "src_port", "dst_port", "protocol")
 
@@ -79,7 +77,8 @@ def rule_table_filter(
     One look-up join per packet field, so no packet row is multiplied and, while the rule
     table is small, none is shuffled. Values are compared as text.
     """
-    if rules.isEmpty():
+    size = rules.limit(broadcast_rows + 1).count()
+    if size == 0:
         return packets
     field = F.when(F.col("type") == "protocol", F.lit("protocol")).otherwise(F.col("field"))
     known = rules.where(F.col("type").isin("ip", "port", "protocol"))
@@ -92,7 +91,7 @@ def rule_table_filter(
         side = known.where(F.col("_field") == name).select(
             F.col("_value").alias(f"_value_{name}"), F.lit(True).alias(flag)
         )
-        side = broadcast_if_small(side, broadcast_rows)
+        side = F.broadcast(side) if size <= broadcast_rows else side
         kept = kept.join(side, F.col(name).cast("string") == F.col(f"_value_{name}"), "left")
         flags.append(F.col(flag).isNotNull())
     return kept.where(reduce(or_, flags)).select(*packets.columns)

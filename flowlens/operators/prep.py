@@ -37,7 +37,7 @@ class Preprocessor:
 
     @classmethod
     def fit(cls, df: DataFrame) -> Preprocessor:
-        """One aggregate over the table as it is (NULLs are ignored, not imputed first)."""
+        """Statistics of the table as it is (NULLs are ignored, not imputed first)."""
         numeric = [c for c in df.columns if c in NUMERIC_FEATURES]
         address = [c for c in df.columns if c in IP_FEATURES]
         flags = [c for c in df.columns if c in CATEGORICAL_FEATURES]
@@ -45,8 +45,9 @@ class Preprocessor:
         wanted += [F.stddev_pop(finite(F.col(c))).alias(f"sd_{c}") for c in numeric]
         wanted += [F.min(c).alias(f"low_{c}") for c in address]
         wanted += [F.max(c).alias(f"high_{c}") for c in address]
+        wanted += [F.approx_count_distinct(c).alias(f"size_{c}") for c in flags]
         row = df.agg(*wanted).first().asDict() if wanted else {}
-        categories = category_lists(df, flags)
+        categories = category_lists(df, flags, sizes={c: row[f"size_{c}"] for c in flags})
         for c, values in categories.items():
             if values is None:
                 raise ValueError(f"{c} has too many values for one column each")

@@ -174,20 +174,23 @@ def eval_metrics(spark, folder):
 
 
 def truths(spark, folder):
-    """Analyst labels for every tenth packet."""
-    df = packets(spark, folder).where(F.col("packet_id") % 10 == 0)
+    """Analysts have looked at the error and click packets."""
+    df = packets(spark, folder).where(F.col("event_type").isin("error", "click"))
     return df.select("packet_id", F.col("label").alias("actual"))
 
 
+SEEN = "event_type in ('error', 'click')"
+
+
 @query("feedback_join", f"""{WITH_VOTES} select packet_id, prediction,
-  case when packet_id % 10 = 0 then label end as actual from detections""")
+  case when {SEEN} then label end as actual from detections""")
 def feedback_join(spark, folder):
     labelled = feedback.with_feedback(detections(spark, folder), truths(spark, folder))
     return labelled.select("packet_id", "prediction", "actual")
 
 
 @query("awaiting_feedback", f"{WITH_VOTES} select packet_id, prediction from detections "
-       "where packet_id % 10 <> 0")
+       f"where not {SEEN}")
 def awaiting_feedback(spark, folder):
     waiting = feedback.awaiting_feedback(detections(spark, folder), truths(spark, folder))
     return waiting.select("packet_id", "prediction")
@@ -196,27 +199,27 @@ def awaiting_feedback(spark, folder):
 @query("fp_fn", f"""{WITH_VOTES} select count(*) as labelled,
   count(*) filter (is_alert and label = 'normal') as false_positives,
   count(*) filter (not is_alert and label <> 'normal') as false_negatives
-  from detections where packet_id % 10 = 0""")
+  from detections where {SEEN}""")
 def fp_fn(spark, folder):
     labelled = feedback.with_feedback(detections(spark, folder), truths(spark, folder))
     return feedback.error_counts(labelled)
 
 
 def feedback_entries(spark, folder):
-    """Feedback for two models: one on every tenth packet, one on every thirtieth."""
+    """Feedback for two models: one on all labelled packets, one on the UDP ones."""
     found = feedback.with_feedback(detections(spark, folder), truths(spark, folder))
     vector = F.array(ip_number(F.col("src_ip")), F.col("confidence"))
     first = feedback.feedback_rows(found, "m1", vector, F.col("actual"))
     second = feedback.feedback_rows(
-        found.where(F.col("packet_id") % 30 == 0), "m2", vector, F.col("actual")
+        found.where("protocol = 'udp'"), "m2", vector, F.col("actual")
     )
     return first.unionByName(second)
 
 
 WITH_FEEDBACK = (
     f"{WITH_VOTES}, feedback as (select 'm1' as model_name, packet_id, t_us, prediction, "
-    "label as actual from detections where packet_id % 10 = 0 union all select 'm2', packet_id, "
-    "t_us, prediction, label from detections where packet_id % 30 = 0)"
+    f"label as actual from detections where {SEEN} union all select 'm2', packet_id, "
+    f"t_us, prediction, label from detections where {SEEN} and protocol = 'udp')"
 )
 
 
@@ -228,12 +231,12 @@ def predict_with_feedback(spark, folder):
 
 
 @query("usable_feedback", f"{WITH_FEEDBACK} select model_name, packet_id, actual from feedback "
-       "where packet_id % 20 = 0 and actual <> 'attack'")
+       "where prediction = 'attack' and actual <> 'attack'")
 def usable_feedback(spark, folder):
     """Entries that lost their features or their truth drop out."""
     entries = feedback_entries(spark, folder).withColumns(
         {
-            "features": F.when(F.col("packet_id") % 20 == 0, F.col("features")),
+            "features": F.when(F.col("prediction") == "attack", F.col("features")),
             "actual": F.nullif(F.col("actual"), F.lit("attack")),
         }
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowlens.operators import evaluation, stats
+from flowlens.operators.timing import TimingLog
 from flowlens.plans.catalogue import query
 from flowlens.plans.catalogue.detecting import WITH_FEEDBACK, feedback_entries, voted
 from flowlens.plans.catalogue.features import rounded
@@ -94,13 +95,13 @@ def _add_empty_file(spark, path):
 
 
 @query("feedback_store", f"""{WITH_FEEDBACK} select model_name, packet_id, prediction, actual,
-  2 as n_features from feedback where model_name = 'm1' or packet_id % 60 = 0""")
+  2 as n_features from feedback where model_name = 'm1' or actual = 'attack'""")
 def feedback_store(spark, folder):
     """Saved per model, then one model's rows replaced."""
     entries = feedback_entries(spark, folder)
     path = work_path(spark, "feedback")
     tables.write_feedback(entries, path)
-    newer = entries.where("model_name = 'm2' and packet_id % 60 = 0")
+    newer = entries.where("model_name = 'm2' and actual = 'attack'")
     tables.write_feedback(newer, path, mode="replace")
     tables.write_feedback(entries.where("model_name = 'm3'"), path)
     back = tables.read_feedback(spark, path)
@@ -130,6 +131,27 @@ def timing_store(spark, folder):
     return spark.read.schema(schema).json(path)
 
 
+@query("timed_operations", f"""{WITH_PACKETS} select 'write_udp' as name, 2 as count,
+  true as timed, count(*) as n from packets where protocol = 'udp' union all
+  select 'write_tcp', 1, true, count(*) from packets where protocol = 'tcp'""")
+def timed_operations(spark, folder):
+    """Three writes timed, logged, rolled up, next to the rows they wrote."""
+    log, df = TimingLog(), packets(spark, folder)
+    out, path = work_path(spark, "timed"), work_path(spark, "timing-log")
+    for protocol in ("udp", "tcp", "udp"):
+        with log.track(f"write_{protocol}"):
+            part = df.where(F.col("protocol") == protocol)
+            part.write.mode("overwrite").parquet(f"{out}/name=write_{protocol}")
+    log.flush(spark, path)
+    stored = spark.read.schema("name string, duration double").json(path)
+    rollup = stats.operation_timing(stored).select(
+        "name", F.col("count").cast("int").alias("count"),
+        (F.col("total_duration") > 0).alias("timed"),
+    )
+    written = spark.read.parquet(out).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    return rollup.join(written, "name")
+
+
 @query("metrics_history", f"""{WITH_VOTES} select 'vote' as model_name, cast(k as double)
   as evaluated_at, round(avg(case when label = prediction then 1e0 else 0e0 end), 6) as accuracy
   from detections, (values (1), (2)) t(k) where k = 1 or protocol = 'tcp' group by k""")

@@ -123,6 +123,6 @@ WITH_PACKETS = f"with packets as ({PACKETS_SQL})"
 WITH_VOTES = (
     f"{WITH_PACKETS}, model_scores as ({MODEL_SCORES_SQL}), votes as ({VOTE_SQL}),\n"
     "detections as (select p.packet_id, p.t_us, p.ts, p.src_ip, p.dst_ip, p.protocol, "
-    "p.packet_size, p.label, v.prediction, v.confidence, v.prediction <> 'normal' as is_alert "
+    "p.packet_size, p.label, p.event_type, v.prediction, v.confidence, v.prediction <> 'normal' as is_alert "
     "from packets p join votes v using (packet_id))"
 )
