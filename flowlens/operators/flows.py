@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from flowlens.functions.numeric import sum_of_squares_sd
 
 TIMEOUT_S = 60.0
-HOT_ROWS = 2_000_000
+HOT_ROWS = 10_000_000
 # Keys outside the HOT_KEYS busiest hold less than 1/HOT_KEYS of all rows each, and the
 # list of hot keys never has more rows than this, so it may be broadcast.
 HOT_KEYS = 10_000
