@@ -13,7 +13,8 @@ OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = rf"^({OCTET}\.){{3}}{OCTET}$"
 HOSTNAME_LABEL = r"[a-zA-Z0-9]([a-zA-Z0-9\-]{0,61}[a-zA-Z0-9])?"
 HOSTNAME = rf"^{HOSTNAME_LABEL}(\.{HOSTNAME_LABEL})*$"
-COMMAND = r"^[a-zA-Z0-9_\-\./\s]+$"
+# All white space counts, not only that of ASCII.
+COMMAND = r"^[a-zA-Z0-9_\-\./\s\x1c-\x1f\x85\p{Z}]+$"
 DANGEROUS_COMMANDS = [
     "rm -rf /",
     "dd if=/dev/zero",

@@ -291,7 +291,7 @@ _LISTED = " or ".join(
 
 
 @query("suspicious_command", f"""select conv_id, turn, command,
-  not regexp_full_match(command, '[a-zA-Z0-9_\\-\\./\\s]+') or {_LISTED} as suspicious
+  not regexp_full_match(command, '[a-zA-Z0-9_\\-\\./\\s\\p{{Z}}]+') or {_LISTED} as suspicious
 from (select conv_id, turn, concat(role, case when turn % 3 = 0 then ' rm -rf /tmp'
       when turn % 3 = 1 then ' ls -la /' else ' | sh' end) as command from conversations
       union all select conv_id, turn, text from conversations) c""")

@@ -48,8 +48,9 @@ def test_validators(spark):
 
 
 def test_commands(spark):
-    commands = ["ls -la", "ls -l", "rm -rf /", "rm -rf /tmp", "curl | sh", "mkfs", "echo a;b", None]
-    want = [False, False, True, True, True, True, True, True]
+    commands = ["ls -la", "ls -l", "rm -rf /", "rm -rf /tmp", "curl | sh", "mkfs", "echo a;b", None,
+                "ls\u00a0-l\u3000x\x85y"]
+    want = [False, False, True, True, True, True, True, True, False]
     assert values(spark, commands, "string", N.is_suspicious_command) == want
 
 
