@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import decontaminate
+from flowlens.llm import chat, decontaminate, shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,3 +57,47 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "passages.n_words", hit.alias("n_hit"), F.size("passages.items").cast("long").alias("n_items"),
         F.sha2(F.array_join("passages.items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
     )
+
+
+def _escaped_sql(column: str) -> str:
+    out = f"replace({column}, '\\', '\\\\')"
+    for mark in chat.CONTROLS:
+        out = f"replace({out}, '{mark}', '{mark[0]}\\{mark[1:]}')"
+    return out
+
+
+@query("op9_chat_formatting", f"""
+with c as (select conv_id, turn, role as r0, text as t0, coalesce(role, '') as r, coalesce(text, '') as t from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]', 'user', '</s>[INST] ok [/INST]'
+  union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]', 'assistant', '</s>[INST] ok [/INST]')
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(r || chr(10) || t || chr(10), '' order by turn nulls first, r0 nulls first, t0 nulls first)) as turns_sha256,
+  cast(sum(case when r = 'assistant' then length(t) else 0 end) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(t, '' order by turn nulls first, r0 nulls first, t0 nulls first) filter (where r = 'assistant'), '')) as loss_sha256,
+  cast(sum({len(chat.TURN + chat.TEXT + chat.END)} + length({_escaped_sql("r")}) + length({_escaped_sql("t")})) as bigint) as formatted_chars
+from c group by conv_id""")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    fixed = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"),
+    )
+    out = chat.formatted(chat.linked(turns.unionByName(fixed)))
+    back = out.withColumn("said", chat.read_turns(F.col("formatted")))
+    back = back.withColumn("loss", F.array_join(chat.read_masked(F.col("formatted"), F.col("mask")), ""))
+    whole = F.array_join(F.transform("said", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        F.col("tree").alias("conv_id"), F.size("said").cast("long").alias("n_turns"),
+        F.sha2(whole, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+@query("op10_sharding")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    rows = shards.sharded(table(spark, folder, "documents"), 8)
+    return rows.select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
