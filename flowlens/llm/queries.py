@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import chat, decontaminate, shards, tokens
+from flowlens.llm import chat, decontaminate, language, shards, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -114,3 +114,12 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     counted = tokens.count_tokens(docs, tokenizer("byte_bpe_50k.json"), keep_text=False)
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = language.remainder("doc_id", 5) == 0
+    model = language.learn(docs.where(~held_out))
+    found = language.labelled(docs.select("doc_id", "text"), model, keep_text=False, spans=False)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
