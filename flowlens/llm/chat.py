@@ -39,42 +39,40 @@ def chosen_paths(nodes: DataFrame, *, top: int = 1) -> DataFrame:
     must be unique in their tree.
     """
     ids = nodes.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("total"))
-    known = ids.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
-    jump = _null_safe(ids, known, "parent").select(
-        "tree", "node", F.when(F.col("known"), F.col("parent")).alias("up"), "total", F.lit(1).cast("long").alias("steps")
-    )
-    jumps = [materialized(jump, "reply-jump")]
-    leaves = _null_safe(jumps[0].drop("up"), jumps[0].where("up is not null").select(
-        "tree", F.col("up").alias("node"), F.lit(True).alias("inner")).distinct(), "node").where("inner is null")
-    largest = jumps[0].groupBy("tree").count().agg(F.max("count")).head()[0] or 0
-    while jumps[-1].where("up is not null").limit(1).count() and 1 << (len(jumps) - 1) <= largest:
-        near, far = jumps[-1], jumps[-1].toDF("tree", "up", "far", "far_total", "far_steps")
-        jump = _null_safe(near, far, "up").select(
-            "tree", "node", F.col("far").alias("up"),
-            (F.col("total") + F.coalesce("far_total", F.lit(0.0))).alias("total"),
-            (F.col("steps") + F.coalesce("far_steps", F.lit(0))).alias("steps"),
+    parents = ids.select("tree", F.col("node").alias("parent"))
+    step = _joined(ids.where("parent is not null"), parents, "parent").select("tree", "node", F.col("parent").alias("up"), "total")
+    # jumps[k] leads from each node that is deep enough to the ancestor 2 ** k above it
+    jumps = [materialized(step, "reply-jump")]
+    largest = ids.groupBy("tree").count().agg(F.max("count")).head()[0] or 0
+    while jumps[-1].limit(1).count() and 2 << (len(jumps) - 1) < largest:
+        far = jumps[-1].toDF("tree", "up", "far", "far_total")
+        step = _joined(jumps[-1], far, "up").select("tree", "node", F.col("far").alias("up"), (F.col("total") + F.col("far_total")).alias("total"))
+        jumps.append(materialized(step, "reply-jump"))
+    inner = jumps[0].select("tree", F.col("up").alias("node")).distinct().withColumn("inner", F.lit(True))
+    leaves = _joined(ids, inner, "node", "left").where("inner is null")
+    walk = leaves.select("tree", F.col("node").alias("path"), "node", F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("steps"))
+    for level in range(len(jumps) - 1, -1, -1):
+        walk = _joined(walk, jumps[level], "node", "left").select(
+            "tree", "path", F.coalesce("up", "node").alias("node"), (F.col("sum") + F.coalesce("total", F.lit(0.0))).alias("sum"),
+            (F.col("steps") + F.when(F.col("up").isNotNull(), 1 << level).otherwise(0)).alias("steps"),
         )
-        jumps.append(materialized(jump, "reply-jump"))
-    ended = jumps[-1].where("up is null").select("tree", "node", "total", "steps")
-    ranked = _null_safe(leaves.select("tree", "node"), ended, "node").where("steps is not null")
-    best = Window.partitionBy("tree").orderBy(F.desc("total"), F.desc("steps"), "node")
-    chosen = ranked.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
-    paths = chosen.select("tree", F.col("node").alias("path"), "node", (F.col("steps") - 1).alias("position"))
-    for level in range(len(jumps) - 2, -1, -1):
-        step = jumps[level].where("up is not null").select("tree", "node", "up")
-        above = _null_safe(paths, step, "node").where("up is not null")
-        paths = paths.unionByName(
-            above.select("tree", "path", F.col("up").alias("node"), (F.col("position") - (1 << level)).alias("position"))
-        )
-        paths = materialized(paths, "reply-paths")
+    roots = _joined(ids, jumps[0].select("tree", "node", "up"), "node", "left").where("up is null").select("tree", "node", "total")
+    ended = _joined(walk, roots, "node").withColumn("total", F.col("sum") + F.col("total"))
+    best = Window.partitionBy("tree").orderBy(F.desc("total"), F.desc("steps"), "path")
+    chosen = ended.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    paths = chosen.select("tree", "path", F.col("path").alias("node"), F.col("steps").alias("position"))
+    paths = materialized(paths, "reply-paths")
+    for level in range(len(jumps) - 1, -1, -1):
+        above = _joined(paths.where(F.col("position") >= 1 << level), jumps[level].drop("total"), "node")
+        above = above.select("tree", "path", F.col("up").alias("node"), (F.col("position") - (1 << level)).alias("position"))
+        paths = materialized(paths.unionByName(above), "reply-paths")
     return paths
 
 
-def _null_safe(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Left join on tree and ``key``; a null tree is a tree like any other, a null key joins nothing."""
+def _joined(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join on tree and ``key``; a null tree is a tree like any other, a null key joins nothing."""
     right = right.withColumnRenamed("tree", "_tree").withColumnRenamed(key, "_key")
-    joined = left.join(right, F.col("tree").eqNullSafe(F.col("_tree")) & (left[key] == F.col("_key")), "left")
-    return joined.drop("_tree", "_key")
+    return left.join(right, F.col("tree").eqNullSafe(F.col("_tree")) & (left[key] == F.col("_key")), how).drop("_tree", "_key")
 
 
 def linked(turns: DataFrame, *, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -98,7 +96,7 @@ def formatted(nodes: DataFrame, *, top: int = 1, learn: str = "assistant") -> Da
     (first character from 0, length) of the escaped texts of the role to ``learn``.
     """
     kept = materialized(nodes.select("tree", "node", "parent", "score", "role", "text"), "reply-nodes")
-    rows = _null_safe(chosen_paths(kept, top=top), kept.select("tree", "node", "role", "text"), "node")
+    rows = _joined(chosen_paths(kept, top=top), kept.select("tree", "node", "role", "text"), "node")
     body = escaped(F.coalesce("text", F.lit("")))
     head = F.concat(F.lit(TURN), escaped(F.coalesce("role", F.lit(""))), F.lit(TEXT))
     rows = rows.select("tree", "path", "position", "role", head.alias("head"), body.alias("body"))
