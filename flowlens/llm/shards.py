@@ -95,6 +95,7 @@ def planned(rows: DataFrame, shards: int, *, range_rows: int = RANGE_ROWS, borde
     if not n:
         return Splitters([]), [(0, 0)]
     parts = int(max(16 * shards, -(-n // range_rows) * 2))
+    range_rows = min(range_rows, max(1_000, 4 * n // parts))  # ranges of like size, so like tasks
     sample = _sampled(rows, F.lit(parts * SAMPLES / total), 0).collect()
     splitters = Splitters(_quantiles([tuple(s) for s in sample], parts, None))
     for turn in range(1, 64):
