@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import chat, decontaminate, language, shards, tokens
+from flowlens.llm import chat, decontaminate, language, shards, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -123,3 +123,14 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     model = language.learn(docs.where(~held_out))
     found = language.labelled(docs.select("doc_id", "text"), model, keep_text=False, spans=False)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = language.remainder("doc_id", 4) == 2
+    labels = table(spark, folder, "labels").select("doc_id", "toxic").where(~held_out)
+    found = toxicity.scored(docs, labels, keep_text=False)
+    return found.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
