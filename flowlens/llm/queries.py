@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import chat, decontaminate, language, shards, tokens, toxicity
+from flowlens.llm import chat, decontaminate, language, near, shards, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -134,3 +134,13 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
     )
+
+
+SHINGLE_SQL = r"""select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents"""
+
+
+@query("op2_minhash_near_dedup")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    found = near.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"), words=3, percent=85)
+    return found.withColumnRenamed("id", "doc_id")
