@@ -228,7 +228,7 @@ def _led(rows: DataFrame, floor: float, close: float) -> DataFrame:
                 out_group += [group[near], group[near]]
                 out_id += [ids[near], leader[near]]
             groups = pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(out_group).view(np.int64)), pa.array(np.concatenate(out_id)), pa.array([True] * sum(map(len, out_id)))],
+                [pa.array(np.concatenate(out_group).view(np.int64)), pa.array(np.concatenate(out_id)), pa.array([True] * sum(map(len, out_id)), pa.bool_())],
                 ["key", "id", "grouped"],
             )
             yield groups
@@ -236,7 +236,7 @@ def _led(rows: DataFrame, floor: float, close: float) -> DataFrame:
             if stay.any():
                 children = _children(node[stay], sketch[stay], BRANCHES)
                 below = _nodes(pa.array(ids[stay]), children)
-                yield pa.RecordBatch.from_arrays([*below.columns, pa.array([False] * below.num_rows)], ["key", "id", "grouped"])
+                yield pa.RecordBatch.from_arrays([*below.columns, pa.array([False] * below.num_rows, pa.bool_())], ["key", "id", "grouped"])
 
     return rows.mapInArrow(lead, "key long, id long, grouped boolean")
 
