@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import chat, decontaminate, language, near, shards, tokens, toxicity
+from flowlens.llm import chat, decontaminate, language, near, repeats, shards, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -144,3 +144,13 @@ SHINGLE_SQL = r"""select doc_id, regexp_extract_all(translate(coalesce(text, '')
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     found = near.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"), words=3, percent=85)
     return found.withColumnRenamed("id", "doc_id")
+
+
+@query("op7_suffix_array_dedup")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeats.repeated_spans(table(spark, folder, "documents").select("doc_id", "text"), keep_text=False)
+    removed = F.aggregate("repeats.spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "repeats.n_bytes", removed.alias("n_removed"), F.size("repeats.spans").cast("long").alias("n_spans"),
+        "repeats.kept_sha256",
+    )
