@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import chat, decontaminate, language, near, repeats, shards, tokens, toxicity
+from flowlens.llm import chat, decontaminate, language, near, neighbours, repeats, shards, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -154,3 +154,17 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "repeats.n_bytes", removed.alias("n_removed"), F.size("repeats.spans").cast("long").alias("n_spans"),
         "repeats.kept_sha256",
     )
+
+
+@query("op4_nearest_neighbours", """
+with v as (select vec_id, embedding::double[] as e from embeddings where embedding is not null
+    and list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))
+    and list_bool_or(list_transform(embedding, lambda x: coalesce(x <> 0, false)))),
+p as (select q.vec_id as query_id, c.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.e) + 1),
+    lambda i: (q.e[i] - c.e[i]) * (q.e[i] - c.e[i])), lambda a, b: a + b)) as score
+  from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id and len(q.e) = len(c.e)),
+r as (select *, row_number() over (partition by query_id order by score, vec_id) as rank from p)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 10""")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(rows, rows.where("vec_id % 100 = 0"), 10)
