@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import chat, decontaminate, language, near, neighbours, repeats, shards, tokens, toxicity
+from flowlens.llm import chat, decontaminate, language, near, neighbours, pieces, repeats, shards, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -168,3 +168,16 @@ select query_id, cast(rank as integer) as rank, vec_id, score from r where rank
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
     return neighbours.nearest(rows, rows.where("vec_id % 100 = 0"), 10)
+
+
+@query("op6_sentencepiece")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    path = tokenizer("piece_bpe_32k.model")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
+                       F.xxhash64(F.replace(F.coalesce("text", F.lit("")), F.lit(pieces.BLANK), F.lit(" "))).alias("plain"))
+    back = pieces.decode(pieces.encode(docs, path, keep_text=False), path)
+    return back.select(
+        "doc_id", "n_bytes", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), (F.xxhash64("decoded") == F.col("plain")).alias("round_trip"),
+    )
