@@ -1,20 +1,77 @@
-"""The corpus pipeline: stages over ``documents``, each one an operator of the text subpackage."""
+"""The corpus pipeline: stages over ``documents``, each one an operator of the text subpackage.
+
+Each stage works on all rows and whole texts that the one before it kept. Null ids and texts
+pass through; an empty table gives an empty result. Stages keep the columns of ``documents``;
+the last one adds the piece ids of the texts.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from flowlens.llm import decontaminate, language, near, pieces, repeats
+from flowlens.llm.queries import table, tokenizer
 from flowlens.session import work_path
 
-STAGES: list = []
+#: A text of which no language has this share of the letters is rejected.
+MAIN_LANGUAGE = 0.5
+#: A text is dropped, not cut, if benchmark passages hold more than this share of its words.
+PASSAGE_SHARE = 0.5
+MODEL = "piece_bpe_32k.model"
+
+
+def _recounted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def one_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep texts that have letters and one main language."""
+    found = language.labelled(docs, language.learn(docs), spans=False)
+    kept = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MAIN_LANGUAGE))
+    return kept.select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates keep the document of smallest id."""
+    gone = near.near_duplicates(docs, words=5, percent=80).where(~F.col("kept")).select(F.col("id").alias("doc_id"))
+    return docs.join(gone.distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut out what an earlier document, or the same one before, already says."""
+    return _recounted(repeats.without_repeats(repeats.repeated_spans(docs))).select(docs.columns)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut out benchmark passages; documents that are mostly such passages go."""
+    found = decontaminate.find_passages(docs, table(spark, sf_dir, "benchmark"))
+    return _recounted(decontaminate.without_passages(found, drop_share=PASSAGE_SHARE)).select(docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Add ids, n_tokens, and whether decoding the ids gives the text back (blank signs as blanks)."""
+    path = tokenizer(MODEL)
+    back = pieces.decode(pieces.encode(docs, path), path)
+    plain = F.replace(F.coalesce("text", F.lit("")), F.lit(pieces.BLANK), F.lit(" "))
+    return back.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == plain).alias("round_trip"))
+
+
+STAGES = [
+    ("language", one_language),
+    ("near", near_duplicates),
+    ("repeats", repeated_passages),
+    ("benchmark", benchmark_passages),
+    ("pieces", encoded),
+]
 
-#: SQL can't express the stages.
+#: SQL can't express the language model or the encoding.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each result is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = work_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
