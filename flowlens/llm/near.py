@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,13 +27,13 @@ from flowlens.llm.components import components
 from flowlens.session import materialized
 
 POSITIONS = 128
-#: Independent trees, and branches of a node below the root. A pair of similarity s meets in
-#: a small node of one tree with probability s, so 8 trees miss (1 - s) ** 8 of such pairs.
-TREES, BRANCHES = 8, 2
-#: Documents compared exhaustively, and leaders of a larger node.
-NODE, LEADERS = 48, 2
+#: Independent trees. A pair of similarity s meets in one tree's child of the root with
+#: probability s, so 8 trees miss (1 - s) ** 8 of the pairs in small nodes.
+TREES = 8
+#: Documents compared exhaustively, followers of a leader in one group, leaders of a larger node.
+NODE, FOLLOWERS, LEADERS = 200, 48, 2
 #: Levels after which what is left of large nodes is compared block by block.
-LEVELS = 12
+LEVELS = 40
 _SEEDS = B.mix(np.arange(1, POSITIONS + 1, dtype=np.uint64))
 _FACTORS = B.mix(np.arange(1001, POSITIONS + 1001, dtype=np.uint64)) | np.uint64(1)
 
@@ -105,27 +106,21 @@ def _sketch_rows(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, POSITIONS)
 
 
-def _children(node: np.ndarray, sketch: np.ndarray, branches: int) -> list[np.ndarray]:
-    """For each branch the child node of each row: the parent, a position it chose, the value there."""
-    out = []
-    for branch in range(branches):
-        position = (B.mix(node + np.uint64(7919 * (branch + 1))) % np.uint64(POSITIONS)).astype(np.int64)
-        value = sketch[np.arange(len(node)), position].astype(np.uint64)
-        out.append(B.mix(node ^ B.mix(value << np.uint64(16) | position.astype(np.uint64))))
-    return out
-
-
-def _nodes(ids: pa.Array, nodes: list[np.ndarray]) -> pa.RecordBatch:
-    every = pa.concat_arrays([ids] * len(nodes))
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes).view(np.int64)), every], ["node", "id"])
+def _child(node: np.ndarray, sketch: np.ndarray, branch: int) -> np.ndarray:
+    """The child node of each row: its parent, a position the parent chose, the value there."""
+    position = (B.mix(node + np.uint64(7919 * (branch + 1))) % np.uint64(POSITIONS)).astype(np.int64)
+    value = sketch[np.arange(len(node)), position].astype(np.uint64)
+    return B.mix(node ^ B.mix(value << np.uint64(16) | position.astype(np.uint64)))
 
 
 def _roots(sketches: DataFrame, trees: int) -> DataFrame:
     def root(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in parts:
             sketch = _sketch_rows(rows.column("sketch"))
-            nodes = [_children(np.full(len(sketch), B.mix(np.array([t], np.uint64))[0]), sketch, 1)[0] for t in range(1, trees + 1)]
-            yield _nodes(rows.column("id"), nodes)
+            starts = B.mix(np.arange(1, trees + 1, dtype=np.uint64))
+            nodes = [_child(np.full(len(sketch), start), sketch, 0).view(np.int64) for start in starts]
+            every = pa.concat_arrays([rows.column("id")] * trees)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), every], ["node", "id"])
 
     return sketches.mapInArrow(root, "node long, id long")
 
@@ -202,10 +197,16 @@ def _groups(groups: list[np.ndarray], members: list[np.ndarray]) -> pa.RecordBat
     )
 
 
-def _led(rows: DataFrame, floor: float, close: float) -> DataFrame:
+_LED = "key long, id long, sketch binary"
+
+
+def _led(rows: DataFrame, floor: float, close: float, similarity: float) -> DataFrame:
     """Members of large nodes against their leaders: groups to confirm, and child nodes of those that stay.
 
-    A leader joins every chunk of its followers, so a group stays within ``NODE`` or so.
+    A leader joins every chunk of its followers, so a group stays within a bound. A member
+    that stays goes on in one child, or in two with a chance of 1 / similarity - 1: on
+    average documents of the wanted similarity keep meeting, and less similar ones part.
+    Rows of groups have no sketch.
     """
 
     def lead(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,58 +216,57 @@ def _led(rows: DataFrame, floor: float, close: float) -> DataFrame:
             ids = batch.column("id").to_numpy()
             node = batch.column("node").to_numpy().view(np.uint64)
             sketch = _sketch_rows(batch.column("sketch"))
-            chunks = np.maximum(1, batch.column("n").to_numpy() // (NODE - 1)).astype(np.uint64)
+            chunks = np.maximum(1, batch.column("n").to_numpy() // FOLLOWERS).astype(np.uint64)
             best = np.zeros(len(ids))
-            out_group, out_id = [], []
+            pairs = []
             for k in range(LEADERS):
-                leader = batch.column(f"leader{k}").to_numpy()
-                share = (sketch == _sketch_rows(batch.column(f"sketch{k}"))).mean(axis=1)
+                leader = pc.struct_field(batch.column(f"leader{k}"), "id").to_numpy()
+                share = (sketch == _sketch_rows(pc.struct_field(batch.column(f"leader{k}"), "sketch"))).mean(axis=1)
                 best = np.maximum(best, share)
                 part = B.mix(ids.view(np.uint64) ^ node) % chunks
-                group = B.mix(B.mix(leader.view(np.uint64)) ^ node + part)
+                group = B.mix(B.mix(leader.view(np.uint64)) ^ node + part).view(np.int64)
                 near = (share >= floor) & (ids != leader)
-                out_group += [group[near], group[near]]
-                out_id += [ids[near], leader[near]]
-            groups = pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(out_group).view(np.int64)), pa.array(np.concatenate(out_id)), pa.array([True] * sum(map(len, out_id)), pa.bool_())],
-                ["key", "id", "grouped"],
-            )
-            yield groups
-            stay = best < close
-            if stay.any():
-                children = _children(node[stay], sketch[stay], BRANCHES)
-                below = _nodes(pa.array(ids[stay]), children)
-                yield pa.RecordBatch.from_arrays([*below.columns, pa.array([False] * below.num_rows, pa.bool_())], ["key", "id", "grouped"])
+                pairs += [np.stack([group[near], ids[near]]), np.unique(np.stack([group[near], leader[near]]), axis=1)]
+            key, member = np.concatenate(pairs, axis=1)
+            none = pa.nulls(len(key), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(member), none], ["key", "id", "sketch"])
+            stay = np.flatnonzero(best < close)
+            forked = stay[B.mix(node[stay] ^ np.uint64(0xA5A5A5A5)) < np.uint64(int((1 / similarity - 1) * 2**64))]
+            below = np.r_[_child(node[stay], sketch[stay], 0), _child(node[forked], sketch[forked], 1)].view(np.int64)
+            own = pa.array(np.r_[stay, forked])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(below), batch.column("id").take(own), batch.column("sketch").take(own)], ["key", "id", "sketch"]
+            )
 
-    return rows.mapInArrow(lead, "key long, id long, grouped boolean")
+    return rows.mapInArrow(lead, _LED)
 
 
 def candidate_groups(sketches: DataFrame, *, similarity: float, trees: int = TREES) -> DataFrame:
     """(group, id): groups of bounded size that hold the similar documents, by sketch."""
     spread = 4 * math.sqrt(similarity * (1 - similarity) / POSITIONS)
     floor, close = similarity - spread, similarity - 0.05
-    active = _roots(sketches, trees)
+    roots = _roots(sketches, trees)
+    shared = roots.groupBy("node").count().where("count > 1").select("node")
+    active = materialized(roots.join(shared, "node").join(sketches, "id").select("node", "id", "sketch"), "near-nodes")
     found = []
     for level in range(LEVELS + 1):
-        size = active.groupBy("node").agg(F.count("*").alias("n"), *[
-            F.min(F.struct(F.xxhash64("node", "id", F.lit(k)).alias("h"), "id")).alias(f"l{k}") for k in range(LEADERS)])
-        size = size.where("n > 1").select("node", "n", *[F.col(f"l{k}.id").alias(f"leader{k}") for k in range(LEADERS)])
-        held = materialized(active.join(size, "node"), "near-nodes")
-        small = held.where(F.col("n") <= NODE).select("node", "id").join(sketches, "id")
+        sizes = active.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+        held = active.join(sizes, "node")
+        small = held.where(F.col("n") <= NODE)
         found.append(materialized(_small_groups(small, floor).distinct(), "near-groups"))
-        large = held.where(F.col("n") > NODE)
+        large = sizes.where(F.col("n") > NODE)
         if not large.limit(1).count():
             break
+        members = active.join(large, "node")
         if level == LEVELS:
-            found.append(_blocks(large))
+            found.append(_blocks(members))
             break
-        leaders = large.select("node", *[f"leader{k}" for k in range(LEADERS)]).distinct()
-        for k in range(LEADERS):
-            leaders = leaders.join(sketches.toDF(f"leader{k}", f"sketch{k}"), f"leader{k}")
-        members = large.select("node", "id", "n").join(sketches, "id")
-        led = materialized(_led(members.join(leaders, "node"), floor, close), "near-led")
-        found.append(led.where("grouped").select(F.col("key").alias("group"), "id").distinct())
-        active = led.where("not grouped").select(F.col("key").alias("node"), "id")
+        leaders = members.groupBy("node").agg(*[
+            F.min(F.struct(F.xxhash64("node", "id", F.lit(k)).alias("h"), "id", "sketch")).alias(f"leader{k}")
+            for k in range(LEADERS)])
+        led = materialized(_led(members.join(leaders, "node"), floor, close, similarity), "near-led")
+        found.append(led.where("sketch is null").select(F.col("key").alias("group"), "id"))
+        active = led.where("sketch is not null").withColumnRenamed("key", "node")
     groups = found[0]
     for more in found[1:]:
         groups = groups.unionByName(more)
@@ -275,7 +275,7 @@ def candidate_groups(sketches: DataFrame, *, similarity: float, trees: int = TRE
 
 def _blocks(large: DataFrame) -> DataFrame:
     """The exact way for nodes that branching can't divide: every two blocks of members are a group."""
-    blocks = F.ceil(F.col("n") / (NODE // 2)).cast("int")
+    blocks = F.ceil(F.col("n") / FOLLOWERS).cast("int")
     own = large.withColumn("block", F.pmod(F.xxhash64("id", "node"), blocks).cast("int")).withColumn("blocks", blocks)
     other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return other.select(
