@@ -92,6 +92,12 @@ def _arrow(ddl: str) -> pa.Schema:
     return pa.schema([(n, pa.list_(kinds[k[6:-1]]) if k.startswith("array") else kinds[k]) for n, k in fields])
 
 
+def _repeated(new: np.ndarray, *place: np.ndarray) -> np.ndarray:
+    """Entries that follow the first of their group at another place."""
+    first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    return ~new & np.any([x != x[first] for x in place], axis=0)
+
+
 _SENT = "bucket int, kind int, gram array<long>, whole array<long>, doc array<long>, tie array<int>, start array<int>, size array<int>"
 
 
@@ -125,7 +131,7 @@ def _sent(texts: DataFrame, window: int, buckets: int) -> DataFrame:
             group = np.cumsum(fresh) - 1
             many = np.bincount(group, new)[group] >= SLICE_PIECES
             lists = {"doc": doc, "tie": tie, "start": start, "size": count, "gram": gram.view(np.int64), "whole": whole.view(np.int64)}
-            for kind, own in ((0, new & ~many), (SEEN, ~new), (DIVIDED, new & many)):
+            for kind, own in ((0, new & ~many), (SEEN, _repeated(new, doc, tie, start)), (DIVIDED, new & many)):
                 if own.any():
                     bucket = _bucket(gram[own], buckets) if kind == 0 else _bucket(doc[own], buckets)
                     yield _rows(schema, bucket, {"kind": kind}, {k: pa.array(v[own]) for k, v in lists.items() if kind != SEEN or k not in ("gram", "whole")})
@@ -171,7 +177,7 @@ def _settled(sent: DataFrame, buckets: int) -> DataFrame:
             divided = (told | (pieces > BUCKET_PIECES))[group]
             wanted = (pieces > 1)[group]
             lists = {"doc": doc, "tie": tie, "start": start, "size": size, "gram": gram}
-            for kind, pick in ((SEEN, real & ~new), (WANTED, real & new & wanted & ~divided), (DIVIDED, real & new & divided)):
+            for kind, pick in ((SEEN, real & _repeated(new, doc, tie, start)), (WANTED, real & new & wanted & ~divided), (DIVIDED, real & new & divided)):
                 if pick.any():
                     values = {k: pa.array(v[pick]) for k, v in lists.items()}
                     out.append(_rows(schema, _bucket(doc[pick], buckets), {"kind": kind}, values))
@@ -230,12 +236,11 @@ def _pieces(texts: DataFrame, marks: DataFrame, window: int, buckets: int) -> Da
 def suffix_order(data: np.ndarray, start: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffix array of the given places by their first ``depth`` bytes: order, and whether each differs from the one before."""
     padded = np.r_[data, np.zeros(depth, np.uint8)].astype(np.uint64)
-    n = len(data)
-    eight = np.zeros(n, np.uint64)
-    for i in range(8):
-        eight = eight << np.uint64(8) | padded[i : i + n]
-    rank = np.unique(eight, return_inverse=True)[1].astype(np.int64)
-    reach = 8
+    n, reach = len(data), min(8, depth)
+    first = np.zeros(n, np.uint64)
+    for i in range(reach):
+        first = first << np.uint64(8) | padded[i : i + n]
+    rank = np.unique(first, return_inverse=True)[1].astype(np.int64)
     while reach * 2 <= depth:
         rank = _paired(rank, reach)
         reach *= 2
@@ -298,6 +303,8 @@ def _found(pieces: DataFrame, window: int, buckets: int) -> DataFrame:
         parts = (pa.concat_arrays(parts.chunks) if isinstance(parts, pa.ChunkedArray) else parts).flatten()
         order = np.lexsort((start, tie, doc))
         doc, tie, start = doc[order], tie[order], start[order]
+        once = np.r_[True, (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]) | (start[1:] != start[:-1])][: len(doc)]
+        doc, tie, start, order = doc[once], tie[once], start[once], order[once]
         texts = parts.take(pa.array(order)).to_pylist()
         levels, at, marks = Levels(window), 0, []
         sizes = np.array([len(p) for p in texts])
@@ -338,7 +345,8 @@ def repeated_spans(
     ids = df.select(F.col(key).alias("k"), size.alias("n")).groupBy("k").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
     most, total = ids.agg(F.max("rows"), F.sum("n")).head()
     buckets = int(max(24, (total or 0) // BUCKET_BYTES))
-    tie = F.crc32(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")).cast("int") if (most or 0) > 1 else F.lit(0)
+    check = F.crc32(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")) - F.lit(1 << 31)
+    tie = check.cast("int") if (most or 0) > 1 else F.lit(0)
     number = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
     texts = df.select(number.alias("id"), tie.alias("tie"), F.col(text).alias("text"))
 

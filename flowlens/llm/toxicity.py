@@ -179,17 +179,24 @@ class Restored:
             raw = b"".join(words)
             joined = np.frombuffer(raw, np.uint8)
             places = np.r_[0, np.cumsum([len(w) for w in words])]
-            extra = B.Fingerprints(joined, B.LOWER).spans(places[:-1], places[1:])
+            restored = B.Fingerprints(joined, B.LOWER)
+            extra = restored.spans(places[:-1], places[1:])
+        self.row = np.r_[row[plain], np.concatenate(more_rows)].astype(np.int64)
+        self.prints = np.r_[prints[plain], extra]
         # the beginnings of longer words count too: many forms of a word share one
-        begins, begin_rows = [], []
-        low_end, low_start = squeezed[end[plain]], squeezed[start[plain]]
-        for i, size in enumerate(BEGINNINGS):
-            longer = low_end - low_start > size
-            at_start = low_start[longer]
-            begins.append(B.mix(whole.spans(at_start, at_start + size) + np.uint64(i + 1)))
-            begin_rows.append(row[plain][longer])
-        self.row = np.r_[row[plain], np.concatenate(more_rows), np.concatenate(begin_rows)].astype(np.int64)
-        self.prints = np.r_[prints[plain], extra, np.concatenate(begins)]
+        starts, ends, sources = [squeezed[start[plain]]], [squeezed[end[plain]]], [whole]
+        if words:
+            starts, ends, sources = [*starts, places[:-1]], [*ends, places[1:]], [whole, restored]
+        begins, begin_rows, at_row = [], [], 0
+        for first, last, source in zip(starts, ends, sources, strict=True):
+            own = self.row[at_row : at_row + len(first)]
+            at_row += len(first)
+            for i, size in enumerate(BEGINNINGS):
+                longer = last - first > size
+                begins.append(B.mix(source.spans(first[longer], first[longer] + size) + np.uint64(i + 1)))
+                begin_rows.append(own[longer])
+        self.row = np.r_[self.row, np.concatenate(begin_rows)]
+        self.prints = np.r_[self.prints, np.concatenate(begins)]
         self.n, self.strange = rows.num_rows, len(words)
 
     @staticmethod
