@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 # The accepted text shapes and the listed dangerous commands.
 OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-IPV4 = rf"^({OCTET}\.){{3}}{OCTET}$"
+# ``\z``: a line break at the end is part of the text (the hostname rule lets one pass).
+IPV4 = rf"^({OCTET}\.){{3}}{OCTET}\z"
 HOSTNAME_LABEL = r"[a-zA-Z0-9]([a-zA-Z0-9\-]{0,61}[a-zA-Z0-9])?"
 HOSTNAME = rf"^{HOSTNAME_LABEL}(\.{HOSTNAME_LABEL})*$"
 # All white space counts, not only that of ASCII.
@@ -29,8 +30,8 @@ DANGEROUS_COMMANDS = [
 SCRUBBED = ";<>&|"
 
 IPV6_GROUPS = r"[0-9a-fA-F]{1,4}(:[0-9a-fA-F]{1,4})*"
-IPV6 = rf"^(({IPV6_GROUPS})?::({IPV6_GROUPS})?|{IPV6_GROUPS})$"
-IPV4_TAIL = rf"^(.*:)(({OCTET}\.){{3}}{OCTET})$"
+IPV6 = rf"^(({IPV6_GROUPS})?::({IPV6_GROUPS})?|{IPV6_GROUPS})\z"
+IPV4_TAIL = rf"^(.*:)(({OCTET}\.){{3}}{OCTET})\z"
 
 
 def is_valid_ip(c: Column) -> Column:

@@ -55,20 +55,11 @@ def category_lists(
     if sizes is None:
         sizes = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first().asDict()
     short = [c for c in columns if sizes[c] <= limit]
-    values = [
-        F.struct(F.lit(i).alias("i"), *[
-            (F.col(c) if c == other else F.lit(None).cast(df.schema[other].dataType)).alias(f"v{j}")
-            for j, other in enumerate(short)
-        ])
-        for i, c in enumerate(short)
-    ]
-    lists: dict[str, list | None] = {c: None if c not in short else [] for c in columns}
-    if short:
-        for row in df.select(F.inline(F.array(*values))).distinct().collect():
-            value = row[row["i"] + 1]
-            if value is not None:
-                lists[short[row["i"]]].append(value)
-    return {c: v if v is None else sorted(v) for c, v in lists.items()}
+    lists: dict[str, list | None] = dict.fromkeys(columns)
+    if short:  # short by the sketches, so each set fits an aggregation buffer
+        row = df.agg(*[F.collect_set(c).alias(str(i)) for i, c in enumerate(short)]).first()
+        lists |= {c: sorted(row[i]) for i, c in enumerate(short)}
+    return lists
 
 
 def one_hot(df: DataFrame, categories: dict[str, list]) -> DataFrame:

@@ -9,15 +9,17 @@ per hot slice carries the open session from slice to slice.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.numeric import sum_of_squares_sd
+from flowlens.session import materialized
 
 TIMEOUT_S = 60.0
 HOT_ROWS = 10_000_000
-# Keys outside the HOT_KEYS busiest hold less than 1/HOT_KEYS of all rows each, and the
-# list of hot keys never has more rows than this, so it may be broadcast.
+# A list of up to this many hot keys is broadcast; a longer one is joined by shuffle.
 HOT_KEYS = 10_000
 SLICE_S = 60.0
 # Rows without a key belong to no flow; they are spread over this many groups.
@@ -29,17 +31,19 @@ CARRY = ["n", "bytes", "squares", "low", "high", "start", "last"]
 def hot_keys(
     packets: DataFrame, hot_rows: int = HOT_ROWS, limit: int = HOT_KEYS
 ) -> DataFrame | None:
-    """The busiest flow keys: more than ``hot_rows`` rows each, at most ``limit`` keys.
+    """The flow keys of more than ``hot_rows`` rows each, with a broadcast hint up to ``limit`` keys.
 
     Found by a job of its own, a count that is combined before its shuffle, so that a
     table without such keys gets the plain plan. None where there are none.
     """
     counts = packets.where(F.col("flow_key").isNotNull()).groupBy("flow_key").count()
-    busiest = counts.where(F.col("count") > hot_rows).orderBy(F.desc("count"), "flow_key")
-    keys = [(row["flow_key"], True) for row in busiest.limit(limit).collect()]
+    busy = counts.where(F.col("count") > hot_rows).select("flow_key", F.lit(True).alias("_hot"))
+    keys = [tuple(row) for row in busy.limit(limit + 1).collect()]
     if not keys:
         return None
-    return packets.sparkSession.createDataFrame(keys, "flow_key string, _hot boolean")
+    if len(keys) > limit:
+        return materialized(busy, "hot-keys")
+    return F.broadcast(packets.sparkSession.createDataFrame(keys, "flow_key string, _hot boolean"))
 
 
 def running_flows(
@@ -68,16 +72,18 @@ def continue_flows(
     timeout_s: float = TIMEOUT_S,
     hot_rows: int | None = HOT_ROWS,
     slice_s: float = SLICE_S,
+    held: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Running statistics of further packets of flows, and the sessions then open.
 
     ``open_flows`` (see ``OPEN_FLOW``) holds one row per open session. Such a row takes
     part as a first entry of its key that stands for all packets before. A packet older
-    than that is counted, but does not move the end of the session back.
+    than that is counted, but does not move the end of the session back. Packets without
+    a key get NULL statistics. ``held`` is applied to the frame that both results read, for
+    a caller that wants to persist it.
     """
     x = F.col("packet_size")
-    rows = packets.where(F.col("flow_key").isNotNull())
-    rows = rows.withColumns({"_open": F.lit(False), **_one_packet(x)})
+    rows = packets.withColumns({"_open": F.lit(False), **_one_packet(x)})
     before = open_flows.select(
         "flow_key",
         F.col("last_us").alias("t_us"),
@@ -87,11 +93,13 @@ def continue_flows(
     merged = _merge(
         rows.unionByName(before, allowMissingColumns=True), timeout_s, hot_rows, slice_s
     )
+    if held is not None:
+        merged = held(merged)
     last = F.struct(~F.col("_open"), "t_us", "packet_id")
     stats = F.struct(
         *[F.col(f"_{c}").alias(name) for name, c in zip(OPEN_STATS, CARRY, strict=True)]
     )
-    ends = merged.groupBy("flow_key").agg(F.max_by(stats, last).alias("s"))
+    ends = merged.where(F.col("flow_key").isNotNull()).groupBy("flow_key").agg(F.max_by(stats, last).alias("s"))
     running = _with_features(merged.where(~F.col("_open")), packets.columns)
     return running, ends.select("flow_key", "s.*")
 
@@ -149,7 +157,6 @@ def _merge(
         local = _local_stats(rows.withColumn("_slice", no_slice), timeout_us)
         return local.withColumn("_session", F.col("_seg") + 1)
 
-    hot = F.broadcast(hot)  # at most HOT_KEYS rows
     # The entry of an open session comes before all slices of its key.
     time_slice = F.when(F.col("_open"), -(2**62)).otherwise(F.expr(f"t_us div {slice_us}"))
     sliced = rows.join(hot, "flow_key", "left").withColumn(
@@ -268,15 +275,24 @@ def flow_sessions(packets: DataFrame, **options) -> DataFrame:
     )
 
 
-def flow_summary(packets: DataFrame, size: Column | None = None, **options) -> DataFrame:
-    """One row per flow session: packets, bytes, duration, rates and size statistics."""
+def flow_summary(
+    packets: DataFrame, size: Column | None = None, timeout_s: float = TIMEOUT_S
+) -> DataFrame:
+    """One row per flow session: packets, bytes, duration, rates and size statistics.
+
+    One shuffle on the key, by Spark's session windows. With
+    ``spark.sql.sessionWindow.merge.sessions.in.local.partition`` on, a busy key sends one
+    partial session per input partition instead of its packets.
+    """
     if size is not None:
         packets = packets.withColumn("packet_size", size)
-    sessions = flow_sessions(packets.where(F.col("flow_key").isNotNull()), **options)
+    rows = packets.where(F.col("flow_key").isNotNull()).withColumn("_time", F.timestamp_micros("t_us"))
+    gap = f"{round(timeout_s * 1_000_000)} microseconds"
     span = F.greatest(F.lit(0.001), (F.max("t_us") - F.min("t_us")) / 1e6)
     x = F.col("packet_size")
+    nth = F.row_number().over(Window.partitionBy("flow_key").orderBy("start_us"))
     return (
-        sessions.groupBy("flow_key", "flow_session")
+        rows.groupBy("flow_key", F.session_window("_time", gap))
         .agg(
             F.min("t_us").alias("start_us"),
             F.max("t_us").alias("end_us"),
@@ -292,6 +308,8 @@ def flow_summary(packets: DataFrame, size: Column | None = None, **options) -> D
             {
                 "flow_rate_pps": F.col("flow_packets") / F.col("flow_duration"),
                 "flow_rate_bps": F.col("flow_bytes") / F.col("flow_duration"),
+                "flow_session": nth.cast("bigint"),
             }
         )
+        .drop("session_window")
     )

@@ -183,7 +183,7 @@ def vote_wide(df: DataFrame, scores: Sequence[Score], mode: str = "reference") -
     voters = [s for s in scores if s.weight > 0]
     # Each step is a projection of its own: one long expression would be repeated in every
     # place it is used, and make code too large for the JIT compiler.
-    df = df.withColumns({f"_p{i}": s.p.cast("double") for i, s in enumerate(voters)})
+    df = df.withColumns({f"_p{i}": _given(s.p) for i, s in enumerate(voters)})
     p = [F.col(f"_p{i}") for i in range(len(voters))]
     weight = [F.lit(float(s.weight)) for s in voters]
     steps = {
@@ -203,6 +203,11 @@ def vote_wide(df: DataFrame, scores: Sequence[Score], mode: str = "reference") -
     return voted.drop(*steps, *[f"_p{i}" for i in range(len(voters))])
 
 
+def _given(p: Column) -> Column:
+    """A score, or NULL where the scorer failed: NaN is no probability."""
+    return F.nanvl(p.cast("double"), F.lit(None).cast("double"))
+
+
 def _votes_for(label: str, p: Column, classes: int) -> Column:
     if classes == 1:
         return p.isNotNull() & F.lit(label == "unknown")
@@ -241,7 +246,7 @@ def vote_long(scores: DataFrame, mode: str = "reference") -> DataFrame:
 
     One aggregation per packet with all labels as columns, so one shuffle.
     """
-    p, w = F.col("p_attack").cast("double"), F.col("weight")
+    p, w = _given(F.col("p_attack")), F.col("weight")
     valid = (w > 0) & p.isNotNull()
     classes = F.col("classes") if "classes" in scores.columns else F.lit(2)
     label = F.when(valid, _label_of(p, classes))

@@ -103,7 +103,8 @@ def scan_report(packets: DataFrame) -> DataFrame:
 
 def scan_suspects(packets: DataFrame, threshold: int, protocol: str = "tcp") -> DataFrame:
     """Pairs with about ``threshold`` or more distinct ports, by a constant-size sketch."""
-    seen = packets.where((F.col("protocol") == protocol) & (F.col("dst_port") != 0))
+    named = _truthy_text("src_ip") & _truthy_text("dst_ip")
+    seen = packets.where((F.col("protocol") == protocol) & named & (F.col("dst_port") != 0))
     return (
         seen.groupBy("src_ip", "dst_ip")
         .agg(F.approx_count_distinct("dst_port", 0.02).alias("n_ports"))

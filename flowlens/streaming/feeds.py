@@ -25,7 +25,9 @@ def scan_counter_stream(
 
     The port sketch has a fixed size, so state grows with active pairs, not with ports.
     """
+    named = [F.col(c).isNotNull() & (F.col(c) != "") for c in ("src_ip", "dst_ip")]
     seen = packets.withWatermark(time, delay).where(F.col("protocol").isin("tcp", "udp"))
+    seen = seen.where(named[0] & named[1])
     return (
         seen.groupBy(F.window(time, width).alias("bucket"), "protocol", "src_ip", "dst_ip")
         .agg(
