@@ -32,8 +32,9 @@ POSITIONS = 128
 TREES = 8
 #: Documents compared exhaustively, followers of a leader in one group, leaders of a larger node.
 NODE, FOLLOWERS, LEADERS = 200, 48, 2
-#: Levels after which what is left of large nodes is compared block by block.
-LEVELS = 40
+#: When comparing what is left of large nodes block by block makes at most so many rows, or
+#: after so many levels, it is done that way, which is exact.
+LEFT, LEVELS = 30_000, 40
 _SEEDS = B.mix(np.arange(1, POSITIONS + 1, dtype=np.uint64))
 _FACTORS = B.mix(np.arange(1001, POSITIONS + 1001, dtype=np.uint64)) | np.uint64(1)
 
@@ -69,37 +70,47 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     return out
 
 
-def _sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of 16-bit minwise values per set that isn't empty."""
+def _sketches(sets: list[np.ndarray], trees: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each set that isn't empty: 16-bit minwise values, and the root's child in every tree.
+
+    A tree's root chose one position. Its children are told apart by the whole 64-bit
+    value, so documents that share none don't meet there however many there are.
+    """
     full = [s for s in sets if len(s)]
-    if not full:
-        return np.zeros((0, POSITIONS), np.uint16)
-    prints = np.concatenate(full)
-    at = np.r_[0, np.cumsum([len(s) for s in full])[:-1]]
     out = np.empty((len(full), POSITIONS), np.uint16)
-    for i in range(POSITIONS):
-        lowest = np.minimum.reduceat((prints ^ _SEEDS[i]) * _FACTORS[i], at)
-        out[:, i] = B.mix(lowest) >> np.uint64(48)
-    return out
+    roots = np.empty((len(full), trees), np.uint64)
+    if full:
+        prints = np.concatenate(full)
+        at = np.r_[0, np.cumsum([len(s) for s in full])[:-1]]
+        for i in range(POSITIONS):
+            lowest = B.mix(np.minimum.reduceat((prints ^ _SEEDS[i]) * _FACTORS[i], at))
+            out[:, i] = lowest >> np.uint64(48)
+            if i < trees:
+                roots[:, i] = B.mix(lowest + np.uint64(i))
+    return out, roots
 
 
-def signatures(documents: DataFrame, *, key: str, text: str, words: int) -> DataFrame:
-    """id, n_shingles, two prints of the whole set, and the sketch (null for an empty set)."""
+def signatures(documents: DataFrame, *, key: str, text: str, words: int, trees: int = TREES) -> DataFrame:
+    """id, n_shingles, two prints of the whole set, and the sketch and root children (null for an empty set)."""
 
     def sign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in B.slices(parts, text):
             sets = shingle_sets(rows.column(text), words)
             sums = [int(s.sum(dtype=np.uint64)) for s in sets]
             folds = [int(np.bitwise_xor.reduce(B.mix(s))) if len(s) else 0 for s in sets]
-            rest = iter(_sketches(sets))
+            sketch, roots = _sketches(sets, trees)
+            full = np.array([len(s) > 0 for s in sets])
+            place = pa.array(np.cumsum(full) - 1, mask=~full)
+            raw = pa.array([r.tobytes() for r in sketch], pa.binary()).take(place)
+            nodes = B.list_array(pa.array(roots.reshape(-1).view(np.int64)), np.arange(len(roots) + 1) * trees).take(place)
             yield pa.RecordBatch.from_arrays(
                 [rows.column(key).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array(np.array(sums, np.uint64).view(np.int64)), pa.array(np.array(folds, np.uint64).view(np.int64)),
-                 pa.array([next(rest).tobytes() if len(s) else None for s in sets], pa.binary())],
-                ["id", "n_shingles", "sum", "fold", "sketch"],
+                 pa.array(np.array(sums, np.uint64).view(np.int64)), pa.array(np.array(folds, np.uint64).view(np.int64)), raw, nodes],
+                ["id", "n_shingles", "sum", "fold", "sketch", "roots"],
             )
 
-    return documents.select(key, text).mapInArrow(sign, "id long, n_shingles long, sum long, fold long, sketch binary")
+    kinds = "id long, n_shingles long, sum long, fold long, sketch binary, roots array<long>"
+    return documents.select(key, text).mapInArrow(sign, kinds)
 
 
 def _sketch_rows(column: pa.Array) -> np.ndarray:
@@ -113,18 +124,6 @@ def _child(node: np.ndarray, sketch: np.ndarray, branch: int) -> np.ndarray:
     return B.mix(node ^ B.mix(value << np.uint64(16) | position.astype(np.uint64)))
 
 
-def _roots(sketches: DataFrame, trees: int) -> DataFrame:
-    def root(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in parts:
-            sketch = _sketch_rows(rows.column("sketch"))
-            starts = B.mix(np.arange(1, trees + 1, dtype=np.uint64))
-            nodes = [_child(np.full(len(sketch), start), sketch, 0).view(np.int64) for start in starts]
-            every = pa.concat_arrays([rows.column("id")] * trees)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), every], ["node", "id"])
-
-    return sketches.mapInArrow(root, "node long, id long")
-
-
 def keyed(parts: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """The rows of each key as one table; rows must come sorted by key."""
     held: list[pa.RecordBatch] = []
@@ -241,24 +240,27 @@ def _led(rows: DataFrame, floor: float, close: float, similarity: float) -> Data
     return rows.mapInArrow(lead, _LED)
 
 
-def candidate_groups(sketches: DataFrame, *, similarity: float, trees: int = TREES) -> DataFrame:
-    """(group, id): groups of bounded size that hold the similar documents, by sketch."""
+def candidate_groups(signed: DataFrame, *, similarity: float) -> DataFrame:
+    """(group, id): groups of bounded size that hold the similar documents, by sketch.
+
+    ``signed`` has id, sketch and roots, one row per distinct set.
+    """
     spread = 4 * math.sqrt(similarity * (1 - similarity) / POSITIONS)
     floor, close = similarity - spread, similarity - 0.05
-    roots = _roots(sketches, trees)
+    sketches, roots = signed.select("id", "sketch"), signed.select("id", F.explode("roots").alias("node"))
     shared = roots.groupBy("node").count().where("count > 1").select("node")
     active = materialized(roots.join(shared, "node").join(sketches, "id").select("node", "id", "sketch"), "near-nodes")
     found = []
     for level in range(LEVELS + 1):
-        sizes = active.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-        held = active.join(sizes, "node")
-        small = held.where(F.col("n") <= NODE)
-        found.append(materialized(_small_groups(small, floor).distinct(), "near-groups"))
+        sizes = materialized(active.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "near-sizes")
+        small = active.join(sizes.where(F.col("n") <= NODE), "node")
+        found.append(materialized(_small_groups(small, floor), "near-groups"))
         large = sizes.where(F.col("n") > NODE)
-        if not large.limit(1).count():
+        left = large.agg(F.sum(F.col("n") * F.ceil(F.col("n") / FOLLOWERS))).head()[0]
+        if not left:
             break
         members = active.join(large, "node")
-        if level == LEVELS:
+        if left <= LEFT or level == LEVELS:
             found.append(_blocks(members))
             break
         leaders = members.groupBy("node").agg(*[
@@ -323,16 +325,16 @@ def near_duplicates(
     empty set is linked with nothing. Rows of one id count as one document; a row without an
     id is linked with nothing, has no component and is kept. Other columns play no part.
     """
-    signed = materialized(signatures(documents, key=key, text=text, words=words), "near-signatures")
+    signed = materialized(signatures(documents, key=key, text=text, words=words, trees=trees), "near-signatures")
     full = signed.where("id is not null and n_shingles > 0")
     same = ["n_shingles", "sum", "fold"]
     first = full.groupBy(*same).agg(F.min("id").alias("rep"))
     member = materialized(full.select("id", *same).join(first, same).select("id", "rep"), "near-members")
     sketches = materialized(
-        full.select("id", "sketch").join(first.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]),
+        full.select("id", "sketch", "roots").join(first.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]),
         "near-sketches",
     )
-    groups = materialized(candidate_groups(sketches, similarity=percent / 100, trees=trees), "near-candidates")
+    groups = materialized(candidate_groups(sketches, similarity=percent / 100), "near-candidates")
     links = confirmed_links(groups, documents, key=key, text=text, words=words, percent=percent)
     # rows of one id but different sets belong together too
     again = member.groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")

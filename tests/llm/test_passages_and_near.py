@@ -105,8 +105,8 @@ def test_near_duplicates_in_large_nodes(spark, monkeypatch):
     monkeypatch.setattr(near, "NODE", 3)
     rows = edges.documents()
     want = classes({r[0]: shingles(r[1], 5) for r in rows}, 80)
-    for levels in (40, 0):
-        monkeypatch.setattr(near, "LEVELS", levels)
+    for left in (0, 10**9):
+        monkeypatch.setattr(near, "LEFT", left)
         got = near.near_duplicates(edges.frame(spark), words=5, percent=80).collect()
         assert {r.id: r.component_id for r in got} == want
 
