@@ -36,13 +36,18 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
         if not batch.num_rows:
             continue
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-        ends = np.cumsum(sizes.astype(np.int64))
-        start = 0
-        while start < batch.num_rows:
-            base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
-            yield batch.slice(start, stop - start)
-            start = stop
+        yield from cut(batch, sizes, limit)
+
+
+def cut(batch: pa.RecordBatch, sizes: np.ndarray, limit: int) -> Iterator[pa.RecordBatch]:
+    """The rows of one batch in slices whose sizes add up to at most ``limit``, or of one row."""
+    ends = np.cumsum(sizes.astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -71,7 +76,7 @@ class Fingerprints:
     def __init__(self, data: np.ndarray, fold: np.ndarray | None = None):
         n = len(data)
         if len(self._powers) < n + 1:
-            size = 1 << int(n + 1).bit_length()
+            size = n + (1 << 18)
             kind = type(self)
             kind._powers = np.cumprod(np.r_[U64(1), np.full(size - 1, self._BASE, U64)], dtype=U64)
             inverse = pow(self._BASE, -1, 1 << 64)

@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 from flowlens.llm import batches as B
 
-#: Symbols matched at a time, and words a worker remembers.
-MATCHED, REMEMBERED = 400_000, 300_000
+#: Symbols matched at a time, words a worker remembers, and ids decoded at a time.
+MATCHED, REMEMBERED, DECODED = 250_000, 200_000, 300_000
 BLANK = "▁"
 _NONE = np.iinfo(np.int64).max
 
@@ -276,9 +276,12 @@ def decode(documents: DataFrame, path: str, *, ids: str = "ids", out: str = "dec
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
-        for rows in parts:
-            column = rows.column(ids)
-            sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+        def lengths(rows: pa.RecordBatch) -> np.ndarray:
+            return pc.fill_null(pc.list_value_length(rows.column(ids)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+        for rows in (part for batch in parts for part in B.cut(batch, lengths(batch), DECODED)):
+            column, sizes = rows.column(ids), lengths(rows)
             own = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             raw = gather(vocab.raw, vocab.raw_at[own], vocab.lengths[own]).tobytes()
             ends = np.r_[0, np.cumsum(vocab.lengths[own])][np.r_[0, np.cumsum(sizes)]].tolist()
