@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 
 from flowlens.llm import batches as B
 
+#: Bytes of text encoded together.
+SLICE_BYTES = 2 << 20
 #: Symbols matched at a time, words a worker remembers, and ids decoded at a time.
 MATCHED, REMEMBERED, DECODED = 250_000, 200_000, 300_000
 BLANK = "▁"
@@ -259,7 +261,7 @@ def encode(documents: DataFrame, path: str, *, text: str = "text", out: str = "i
     names = [f.name for f in kept]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in B.slices(parts, text):
+        for rows in B.slices(parts, text, SLICE_BYTES):
             ids, at = encoded_texts(rows.column(text), path)
             yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), B.list_array(pa.array(ids, pa.int32()), at)], [*names, out])
 
