@@ -358,10 +358,11 @@ def split_sizes(spark, folder):
     return parts.groupBy("event_type", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("split_rows")
+@query("split_rows", """select event_id, event_type, true as in_one_part from events""")
 def split_rows(spark, folder):
+    """Every row once, in one of the three parts (their sizes: ``split_sizes``)."""
     parts = split.stratified_split(table(spark, folder, "events"), "event_type", "event_id")
-    return parts.select("event_id", "event_type", "split")
+    return parts.select("event_id", "event_type", F.col("split").isin(*split.PARTS).alias("in_one_part"))
 
 
 @query("oversample_counts", """select label, max(n) over () as n from
@@ -387,9 +388,21 @@ def oversample_toxic_counts(spark, folder):
     return stats.class_balance(balanced, "toxic")
 
 
-@query("oversample_rows")
+@query("oversample_rows", """with n as (select label, count(*) as n from embeddings group by label)
+  select label, max(n) over () - n as n_synthetic, true as of_its_width, true as within_its_class from n""")
 def oversample_rows(spark, folder):
-    return oversampled(spark, folder).where("synthetic").select("label", "embedding")
+    """Synthetic rows per class; every component lies between the least and the greatest of its class."""
+    rows = oversampled(spark, folder)
+    parts = rows.select("label", "synthetic", F.size("embedding").alias("width"), F.posexplode("embedding").alias("at", "x"))
+    sides = parts.groupBy("label", "at").agg(*[
+        f(F.when(F.col("synthetic") == made, F.col("x"))).alias(name)
+        for made, f, name in ((False, F.min, "low"), (False, F.max, "high"), (True, F.min, "least"), (True, F.max, "most"))])
+    inside = (F.coalesce("least", "low") >= F.col("low") - 1e-9) & (F.coalesce("most", "high") <= F.col("high") + 1e-9)
+    inside = sides.groupBy("label").agg(F.every(inside).alias("within_its_class"))
+    counts = rows.groupBy("label").agg(
+        F.count_if("synthetic").alias("n_synthetic"), F.every(F.size("embedding") == 64).alias("of_its_width")
+    )
+    return counts.join(inside, "label")
 
 
 def _score_sql(expression: str, digits: int) -> str:

@@ -8,22 +8,34 @@ from pyspark.sql import DataFrame, SparkSession
 from flowlens.operators.scoring import registry
 
 
-def save_model(model: PipelineModel, folder: str, name: str) -> str:
+#: Weights and places of the models, one small JSON folder per model.
+REGISTRY = "_registry"
+_ENTRY = "model string, weight double, place int"
+
+
+def save_model(model: PipelineModel, folder: str, name: str, weight: float = 1.0, place: int = 0) -> str:
+    """Save a pipeline, and its weight and place in the vote."""
     path = f"{folder.rstrip('/')}/{name}"
     model.write().overwrite().save(path)
+    spark = SparkSession.getActiveSession()
+    entry = spark.createDataFrame([(name, float(weight), place)], _ENTRY).coalesce(1)
+    entry.write.mode("overwrite").json(f"{folder.rstrip('/')}/{REGISTRY}/{name}")
     return path
 
 
 def load_models(
     spark: SparkSession, folder: str
 ) -> tuple[dict[str, PipelineModel], DataFrame, list[str]]:
-    """Models by name, their registry (weight 1 each), and the folders that failed to load."""
+    """Models by name, their registry with stored weights and places, and the folders that failed to load.
+
+    A model saved without an entry has weight 1 and place 0; places of one number are by name.
+    """
     parent = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     system = parent.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     paths = {}
     if system.exists(parent):
         for status in system.listStatus(parent):
-            if status.isDirectory():
+            if status.isDirectory() and status.getPath().getName() != REGISTRY:
                 paths[status.getPath().getName()] = status.getPath().toString()
     models, failed = {}, []
     for name, path in sorted(paths.items()):
@@ -31,5 +43,10 @@ def load_models(
             models[name] = PipelineModel.load(path)
         except Exception:  # a folder that is no saved pipeline is skipped and reported
             failed.append(name)
-    rows = [(name, "mllib", 1.0, paths[name]) for name in models]
+    stored = {}
+    if system.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{REGISTRY}")):
+        entries = spark.read.schema(_ENTRY).json(f"{folder.rstrip('/')}/{REGISTRY}/*")
+        stored = {r["model"]: (r["place"], r["weight"]) for r in entries.collect()}
+    models = dict(sorted(models.items(), key=lambda m: (stored.get(m[0], (0, 1.0))[0], m[0])))
+    rows = [(name, "mllib", stored.get(name, (0, 1.0))[1], paths[name]) for name in models]
     return models, registry(spark, rows), failed
