@@ -1,7 +1,7 @@
 """Texts inside a task: Arrow columns as byte arrays, words, and rolling fingerprints.
 
 Spark partitions and moves the rows; these helpers only look at one Arrow batch at a time and
-work on slices of a few megabytes of text, so a task's memory follows the slice (or the
+work on slices of about a megabyte of text, so a task's memory follows the slice (or the
 longest single text) and not the partition.
 """
 
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 U64 = np.uint64
 
 
@@ -37,6 +37,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             continue
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         yield from cut(batch, sizes, limit)
+        pa.default_memory_pool().release_unused()  # several workers share an executor's memory
 
 
 def cut(batch: pa.RecordBatch, sizes: np.ndarray, limit: int) -> Iterator[pa.RecordBatch]:

@@ -250,22 +250,38 @@ def encoded_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.r_[0, np.cumsum(per_text)]
 
 
-def encode(documents: DataFrame, path: str, *, text: str = "text", out: str = "ids", keep_text: bool = True) -> DataFrame:
+def _decoded(ids: np.ndarray, sizes: np.ndarray, vocab: Vocabulary) -> list[str]:
+    """The text of each run of ids."""
+    raw = gather(vocab.raw, vocab.raw_at[ids], vocab.lengths[ids]).tobytes()
+    ends = np.r_[0, np.cumsum(vocab.lengths[ids])][np.r_[0, np.cumsum(sizes)]].tolist()
+    return [raw[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def encode(
+    documents: DataFrame, path: str, *, text: str = "text", out: str = "ids", keep_text: bool = True, decoded: str | None = None
+) -> DataFrame:
     """Add the piece ids of each text, as the model at ``path`` gives them without begin or end.
 
     Null and empty texts have no ids. A character without a piece becomes its UTF-8 bytes'
-    pieces. The model's own blank sign counts as a blank. An existing ``out`` is replaced.
+    pieces. The model's own blank sign counts as a blank. With ``decoded`` the text that the
+    ids give back is added under that name, in the same pass. Existing columns of these
+    names are replaced.
     """
-    df = documents.drop(out)
+    more = [decoded] if decoded else []
+    df = documents.drop(out, *more)
     kept = [f for f in df.schema.fields if keep_text or f.name != text]
     names = [f.name for f in kept]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in B.slices(parts, text, SLICE_BYTES):
             ids, at = encoded_texts(rows.column(text), path)
-            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), B.list_array(pa.array(ids, pa.int32()), at)], [*names, out])
+            columns = [*(rows.column(c) for c in names), B.list_array(pa.array(ids, pa.int32()), at)]
+            if decoded:
+                columns.append(pa.array(_decoded(ids, np.diff(at), vocabulary(path)), pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, [*names, out, *more])
 
-    return df.mapInArrow(run, T.StructType([*kept, T.StructField(out, T.ArrayType(T.IntegerType()))]))
+    added = [T.StructField(out, T.ArrayType(T.IntegerType())), *(T.StructField(c, T.StringType()) for c in more)]
+    return df.mapInArrow(run, T.StructType([*kept, *added]))
 
 
 def decode(documents: DataFrame, path: str, *, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -285,9 +301,7 @@ def decode(documents: DataFrame, path: str, *, ids: str = "ids", out: str = "dec
         for rows in (part for batch in parts for part in B.cut(batch, lengths(batch), DECODED)):
             column, sizes = rows.column(ids), lengths(rows)
             own = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            raw = gather(vocab.raw, vocab.raw_at[own], vocab.lengths[own]).tobytes()
-            ends = np.r_[0, np.cumsum(vocab.lengths[own])][np.r_[0, np.cumsum(sizes)]].tolist()
-            texts = [raw[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.string())], [*names, out])
+            texts = pa.array(_decoded(own, sizes, vocab), pa.string())
+            yield pa.RecordBatch.from_arrays([*rows.columns, texts], [*names, out])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))

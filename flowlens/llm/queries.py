@@ -176,7 +176,7 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     docs = docs.select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
                        F.xxhash64(F.replace(F.coalesce("text", F.lit("")), F.lit(pieces.BLANK), F.lit(" "))).alias("plain"))
-    back = pieces.decode(pieces.encode(docs, path, keep_text=False), path)
+    back = pieces.encode(docs, path, keep_text=False, decoded="decoded")
     return back.select(
         "doc_id", "n_bytes", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"),
         F.sha2("decoded", 256).alias("decoded_sha256"), (F.xxhash64("decoded") == F.col("plain")).alias("round_trip"),
