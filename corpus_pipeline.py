@@ -52,7 +52,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Add ids, n_tokens, and whether decoding the ids gives the text back (blank signs as blanks)."""
     path = tokenizer(MODEL)
-    back = pieces.decode(pieces.encode(docs, path), path)
+    back = pieces.encode(docs, path, decoded="decoded")
     plain = F.replace(F.coalesce("text", F.lit("")), F.lit(pieces.BLANK), F.lit(" "))
     return back.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == plain).alias("round_trip"))
 
