@@ -21,9 +21,9 @@ from pyspark.sql import types as T
 from flowlens.llm import batches as B
 
 #: Bytes of text encoded together.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Symbols matched at a time, words a worker remembers, and ids decoded at a time.
-MATCHED, REMEMBERED, DECODED = 250_000, 200_000, 300_000
+MATCHED, REMEMBERED, DECODED = 150_000, 200_000, 300_000
 BLANK = "▁"
 _NONE = np.iinfo(np.int64).max
 
