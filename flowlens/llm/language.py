@@ -27,7 +27,7 @@ SWITCH = 12.0
 SCRIPT_SHARE = 0.001
 UNKNOWN = "und"
 #: Word scores (words x languages) that are decoded together.
-DECODED = 6_000_000
+DECODED = 3_000_000
 # First and last code points of scripts.
 SCRIPTS = {
     "latin": [(0x41, 0x24F), (0x1E00, 0x1EFF)], "greek": [(0x370, 0x3FF), (0x1F00, 0x1FFF)],

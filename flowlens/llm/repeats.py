@@ -28,7 +28,7 @@ from flowlens.session import materialized
 
 GRAM = 32
 #: Bytes of text per bucket of texts or anchors.
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 2 << 20
 #: Different pieces of one anchor in a slice, or in a bucket, from which its windows are sent one by one.
 SLICE_PIECES, BUCKET_PIECES = 8, 2_000
 #: Bytes of the pieces that get one suffix array.
@@ -154,6 +154,7 @@ def _settled(sent: DataFrame, buckets: int) -> DataFrame:
     schema = _arrow(_MARKS)
 
     def settle(table: pa.Table) -> pa.Table:
+        B.release()
         out = []
         for kind in (SEEN, DIVIDED):
             own = table.filter(pa.compute.equal(table.column("kind"), kind))
@@ -208,6 +209,7 @@ def _pieces(texts: DataFrame, marks: DataFrame, window: int, buckets: int) -> Da
     schema = _arrow(_PIECES)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        B.release()
         out = []
         if left.num_rows and right.num_rows:
             own = _Texts(left)
@@ -298,6 +300,7 @@ def _found(pieces: DataFrame, window: int, buckets: int) -> DataFrame:
     schema = _arrow(_MARKS)
 
     def find(table: pa.Table) -> pa.Table:
+        B.release()
         doc, tie, start = (_flat(table, k, np.int64) for k in ("doc", "tie", "start"))
         parts = table.column("piece").combine_chunks()
         parts = (pa.concat_arrays(parts.chunks) if isinstance(parts, pa.ChunkedArray) else parts).flatten()
@@ -371,6 +374,7 @@ def repeated_spans(
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        B.release()
         texts = _Texts(left)
         doc, tie, start, size = (_flat(right, k, np.int64) for k in ("doc", "tie", "start", "size"))
         cover = np.zeros(len(texts.data), bool)
