@@ -3,9 +3,13 @@
 Each distinct shingle set gets a sketch of minwise values. In every tree a document's path
 starts with one chosen sketch position, and a node holds the documents with equal values
 along its path. Nodes of at most ``NODE`` documents are compared exhaustively by sketch; in a
-larger node the members are compared with a few leaders drawn by hash, those that lie close to
-one leave the node, and the others branch on further positions. Whatever sketches call
-similar is put into groups of bounded size, in which links are confirmed on the full sets.
+larger node the members are compared with a few leaders, those that lie close to one leave
+the node, and the others branch on further positions. Whatever sketches call similar is put
+into groups of bounded size, in which links are confirmed on the full sets.
+
+A member that left was compared with few others, so this pass only gathers most of the links.
+In a second pass over the large nodes nobody leaves unless compared with all of the node; what
+keeps it small is that nodes within one component are dropped, by confirmed links alone.
 
 Every table is in proportion to the documents: no node emits its pairs, a group emits a
 spanning forest of its links, and equal sets are one document from the start.
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 
 from flowlens.llm import batches as B
 from flowlens.llm.components import components
-from flowlens.session import materialized
+from flowlens.session import broadcast_if_small, materialized
 
 POSITIONS = 128
 #: Independent trees. A pair of similarity s meets in one tree's child of the root with
@@ -32,9 +36,13 @@ POSITIONS = 128
 TREES = 8
 #: Documents compared exhaustively, followers of a leader in one group, leaders of a larger node.
 NODE, FOLLOWERS, LEADERS = 200, 48, 2
+#: Members of a large node to which all others are compared to find a central one.
+SAMPLE = 12
 #: When comparing what is left of large nodes block by block makes at most so many rows, or
 #: after so many levels, it is done that way, which is exact.
 LEFT, LEVELS = 30_000, 40
+#: Up to so many ids of the second pass are broadcast to pick their texts.
+ASKED = 100_000
 _SEEDS = B.mix(np.arange(1, POSITIONS + 1, dtype=np.uint64))
 _FACTORS = B.mix(np.arange(1001, POSITIONS + 1001, dtype=np.uint64)) | np.uint64(1)
 
@@ -160,7 +168,8 @@ def _forest(n: int, pairs: np.ndarray) -> np.ndarray:
 
 
 def _small_groups(rows: DataFrame, floor: float) -> DataFrame:
-    """Groups (group, id) of documents that sketches link within small nodes."""
+    """Groups (group, id) of documents that sketches link within small nodes, if of different labels."""
+    labelled = "label" in rows.columns
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups, members = [], []
@@ -172,6 +181,9 @@ def _small_groups(rows: DataFrame, floor: float) -> DataFrame:
             sketch = _sketch_rows(node.column("sketch"))
             i, j = np.triu_indices(n, 1)
             near = (sketch[i] == sketch[j]).sum(axis=1) >= floor * POSITIONS
+            if labelled:
+                label = node.column("label").to_numpy()
+                near &= label[i] != label[j]
             if not near.any():
                 continue
             component = _forest(n, np.stack([i[near], j[near]], axis=1))
@@ -196,6 +208,13 @@ def _groups(groups: list[np.ndarray], members: list[np.ndarray]) -> pa.RecordBat
     )
 
 
+def _below(stay: np.ndarray, node: np.ndarray, sketch: np.ndarray, similarity: float) -> tuple[pa.Array, pa.Array]:
+    """Rows that stay, some of them twice, and their child nodes."""
+    forked = stay[B.mix(node[stay] ^ np.uint64(0xA5A5A5A5)) < np.uint64(int((1 / similarity - 1) * 2**64))]
+    below = np.r_[_child(node[stay], sketch[stay], 0), _child(node[forked], sketch[forked], 1)].view(np.int64)
+    return pa.array(np.r_[stay, forked]), pa.array(below)
+
+
 _LED = "key long, id long, sketch binary"
 
 
@@ -229,24 +248,61 @@ def _led(rows: DataFrame, floor: float, close: float, similarity: float) -> Data
             key, member = np.concatenate(pairs, axis=1)
             none = pa.nulls(len(key), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(member), none], ["key", "id", "sketch"])
-            stay = np.flatnonzero(best < close)
-            forked = stay[B.mix(node[stay] ^ np.uint64(0xA5A5A5A5)) < np.uint64(int((1 / similarity - 1) * 2**64))]
-            below = np.r_[_child(node[stay], sketch[stay], 0), _child(node[forked], sketch[forked], 1)].view(np.int64)
-            own = pa.array(np.r_[stay, forked])
+            own, below = _below(np.flatnonzero(best < close), node, sketch, similarity)
+            yield pa.RecordBatch.from_arrays([below, batch.column("id").take(own), batch.column("sketch").take(own)], ["key", "id", "sketch"])
+
+    return rows.mapInArrow(lead, _LED)
+
+
+def _central(members: DataFrame) -> DataFrame:
+    """Per large node its leaders: the member most like a sample of the node, and others drawn by hash.
+
+    The original of a family of copies is nearer to them than they are to each other.
+    """
+    sample = members.where(F.pmod(F.xxhash64("id", "node"), "n") < SAMPLE).groupBy("node")
+    sample = sample.agg(F.slice(F.collect_list("sketch"), 1, 2 * SAMPLE).alias("sample"))
+
+    def best(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            node = batch.column("node").to_numpy()
+            sketch = _sketch_rows(batch.column("sketch")) if batch.num_rows else None
+            rows, scores = [], []
+            for value, first in zip(*np.unique(node, return_index=True), strict=True):
+                own = np.flatnonzero(node == value)
+                some = np.frombuffer(b"".join(batch.column("sample")[int(first)].as_py()), np.uint16).reshape(-1, POSITIONS)
+                score = sum((sketch[own] == other).sum(axis=1) for other in some)
+                rows.append(own[score.argmax()])
+                scores.append(int(score.max()))
+            at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(below), batch.column("id").take(own), batch.column("sketch").take(own)], ["key", "id", "sketch"]
+                [batch.column("node").take(at), pa.array(scores, pa.int64()), batch.column("id").take(at), batch.column("sketch").take(at)],
+                ["node", "score", "id", "sketch"],
             )
 
-    return rows.mapInArrow(lead, _LED)
+    scored = members.join(sample, "node").select("node", "id", "sketch", "sample")
+    scored = scored.mapInArrow(best, "node long, score long, id long, sketch binary")
+    first = scored.groupBy("node").agg(F.max(F.struct("score", "id", "sketch")).alias("central"))
+    drawn = members.groupBy("node").agg(*[
+        F.min(F.struct(F.xxhash64("node", "id", F.lit(k)).alias("h"), "id", "sketch")).alias(f"leader{k}")
+        for k in range(LEADERS)])
+    lead = F.struct(F.lit(0).cast("long").alias("h"), "central.id", "central.sketch")
+    return drawn.join(first, "node", "left").withColumn(
+        "leader0", F.when(F.col("central").isNotNull(), lead).otherwise(F.col("leader0"))
+    ).drop("central")
+
+
+def _limits(similarity: float) -> tuple[float, float]:
+    """Shares of equal values above which sketches are candidates, and above which a member leaves."""
+    return similarity - 4 * math.sqrt(similarity * (1 - similarity) / POSITIONS), similarity - 0.05
 
 
 def candidate_groups(signed: DataFrame, *, similarity: float) -> DataFrame:
-    """(group, id): groups of bounded size that hold the similar documents, by sketch.
+    """(group, id): groups of bounded size that hold most of the similar documents, by sketch.
 
-    ``signed`` has id, sketch and roots, one row per distinct set.
+    ``signed`` has id, sketch and roots, one row per distinct set. Of root nodes with at most
+    ``NODE`` members nothing is left out; for larger ones see ``remaining_groups``.
     """
-    spread = 4 * math.sqrt(similarity * (1 - similarity) / POSITIONS)
-    floor, close = similarity - spread, similarity - 0.05
+    floor, close = _limits(similarity)
     sketches, roots = signed.select("id", "sketch"), signed.select("id", F.explode("roots").alias("node"))
     shared = roots.groupBy("node").count().where("count > 1").select("node")
     active = materialized(roots.join(shared, "node").join(sketches, "id").select("node", "id", "sketch"), "near-nodes")
@@ -263,10 +319,7 @@ def candidate_groups(signed: DataFrame, *, similarity: float) -> DataFrame:
         if left <= LEFT or level == LEVELS:
             found.append(_blocks(members))
             break
-        leaders = members.groupBy("node").agg(*[
-            F.min(F.struct(F.xxhash64("node", "id", F.lit(k)).alias("h"), "id", "sketch")).alias(f"leader{k}")
-            for k in range(LEADERS)])
-        led = materialized(_led(members.join(leaders, "node"), floor, close, similarity), "near-led")
+        led = materialized(_led(members.join(_central(members), "node"), floor, close, similarity), "near-led")
         found.append(led.where("sketch is null").select(F.col("key").alias("group"), "id"))
         active = led.where("sketch is not null").withColumnRenamed("key", "node")
     groups = found[0]
@@ -275,6 +328,90 @@ def candidate_groups(signed: DataFrame, *, similarity: float) -> DataFrame:
     return groups.distinct()
 
 
+def _mixed(active: DataFrame) -> DataFrame:
+    """Nodes whose members are not all in one component: node, n, and how many are alone (or first) in theirs."""
+    sizes = active.groupBy("node").agg(
+        F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.count_if(F.col("id") == F.col("label")).alias("alone")
+    )
+    return materialized(sizes.where("low <> high").select("node", "n", "alone"), "near-mixed")
+
+
+def remaining_groups(signed: DataFrame, found: DataFrame, *, similarity: float) -> DataFrame | None:
+    """Groups (group, id) of what may still link components within large nodes; None if nothing may.
+
+    ``found`` has id and component by confirmed links. Every member of a large node branches
+    on. Where most belong to components, up to ``LEADERS`` of those that don't are compared
+    with all members and leave. Nodes within one component are dropped.
+    """
+    floor, _ = _limits(similarity)
+    named = signed.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("label"), "roots")
+    named = named.select("id", "label", F.explode("roots").alias("node"))
+    wide = _mixed(named).where(F.col("n") > NODE).select("node")
+    if not wide.limit(1).count():
+        return None
+    active = materialized(named.join(wide, "node").join(signed.select("id", "sketch"), "id").select("node", "id", "label", "sketch"), "near-wide")
+    more = []
+    for level in range(LEVELS + 1):
+        sizes = _mixed(active)
+        if level:
+            more.append(materialized(_small_groups(active.join(sizes.where(F.col("n") <= NODE), "node"), floor), "near-groups"))
+        large = sizes.where(F.col("n") > NODE)
+        left = large.agg(F.sum(F.col("n") * F.ceil(F.col("n") / FOLLOWERS))).head()[0]
+        if not left:
+            break
+        members = active.join(large, "node")
+        if left <= LEFT or level == LEVELS:
+            more.append(_blocks(members))
+            break
+        leaders = members.where("id = label and 2 * alone <= n").groupBy("node").agg(*[
+            F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "label", "sketch")).alias(f"leader{k}")
+            for k in range(LEADERS)])
+        parted = materialized(_parted(members.join(leaders, "node", "left"), floor, similarity), "near-parted")
+        more.append(parted.where("sketch is null").select(F.col("key").alias("group"), "id"))
+        active = parted.where("sketch is not null").withColumnRenamed("key", "node")
+    groups = more[0]
+    for other in more[1:]:
+        groups = groups.unionByName(other)
+    groups = materialized(groups.distinct(), "near-remaining")
+    return groups if groups.limit(1).count() else None
+
+
+def _parted(rows: DataFrame, floor: float, similarity: float) -> DataFrame:
+    """Groups of leaders with the members of other labels near them, and child nodes of all but the leaders."""
+
+    def part(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            if not batch.num_rows:
+                continue
+            ids, label = batch.column("id").to_numpy(), batch.column("label").to_numpy()
+            node = batch.column("node").to_numpy().view(np.uint64)
+            sketch = _sketch_rows(batch.column("sketch"))
+            # powers of two: nodes of different size give equal groups more often
+            chunks = np.uint64(1) << np.log2(np.maximum(1, batch.column("n").to_numpy() / FOLLOWERS)).astype(np.uint64)
+            stays = np.ones(len(ids), bool)
+            for k in range(LEADERS):
+                own = np.flatnonzero(batch.column(f"leader{k}").is_valid().to_numpy(zero_copy_only=False))
+                if not len(own):
+                    continue
+                led = batch.column(f"leader{k}").take(pa.array(own))
+                leader = pc.struct_field(led, "id").to_numpy()
+                share = (sketch[own] == _sketch_rows(pc.struct_field(led, "sketch"))).mean(axis=1)
+                stays[own[ids[own] == leader]] = False
+                near = (share >= floor) & (label[own] != pc.struct_field(led, "label").to_numpy())
+                own, leader = own[near], leader[near]
+                chunk = chunks[own] << np.uint64(32) | B.mix(ids[own].view(np.uint64)) % chunks[own]
+                group = B.mix(B.mix(leader.view(np.uint64)) + B.mix(chunk)).view(np.int64)
+                key, member = np.concatenate([np.stack([group, ids[own]]), np.unique(np.stack([group, leader]), axis=1)], axis=1)
+                none = pa.nulls(len(key), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key), pa.array(member), pa.nulls(len(key), pa.int64()), none], ["key", "id", "label", "sketch"]
+                )
+            own, below = _below(np.flatnonzero(stays), node, sketch, similarity)
+            yield pa.RecordBatch.from_arrays([below, *(batch.column(c).take(own) for c in ("id", "label", "sketch"))], ["key", "id", "label", "sketch"])
+
+    return rows.mapInArrow(part, "key long, id long, label long, sketch binary")
+
+
 def _blocks(large: DataFrame) -> DataFrame:
     """The exact way for nodes that branching can't divide: every two blocks of members are a group."""
     blocks = F.ceil(F.col("n") / FOLLOWERS).cast("int")
@@ -338,8 +475,15 @@ def near_duplicates(
     links = confirmed_links(groups, documents, key=key, text=text, words=words, percent=percent)
     # rows of one id but different sets belong together too
     again = member.groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
-    links = links.select("a", "b").union(again.select("low", "high"))
-    found = components(links).withColumnRenamed("id", "rep")
+    links = materialized(links.select("a", "b").union(again.select("low", "high")), "near-links")
+    found = components(links)
+    groups = remaining_groups(sketches, found, similarity=percent / 100)
+    if groups is not None:
+        asked = broadcast_if_small(groups.select(F.col("id").alias(key)).distinct(), ASKED)
+        some = documents.select(F.col(key).cast("long").alias(key), text).join(asked, key, "left_semi")
+        more = confirmed_links(groups, some, key=key, text=text, words=words, percent=percent)
+        found = components(links.union(more.select("a", "b")))
+    found = found.withColumnRenamed("id", "rep")
     component = member.join(found, "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     rows = signed.select("id", "n_shingles").join(component, "id", "left")
     rows = rows.withColumn("component_id", F.coalesce("component_id", "id"))

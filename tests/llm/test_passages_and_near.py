@@ -1,5 +1,6 @@
 """Benchmark passages, near-duplicates and components against plain Python."""
 
+import random
 import re
 from itertools import pairwise
 
@@ -111,6 +112,32 @@ def test_near_duplicates_in_large_nodes(spark, monkeypatch):
         assert {r.id: r.component_id for r in got} == want
 
 
+def families():
+    """A star (copies linked to the original, hardly to each other) and a chain without an original."""
+    rng = random.Random(5)
+    texts = []
+    for copies, step, whole in ((70, 4, True), (60, 3, False)):
+        base = [f"w{rng.randrange(10**9)}" for _ in range(300)]
+        texts += [" ".join(base)] if whole else []
+        for i in range(copies):
+            copy = list(base)
+            copy[i * step : i * step + 12] = [f"e{rng.randrange(10**9)}" for _ in range(12)]
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    return [(i, t, None, None, None) for i, t in enumerate(texts)]
+
+
+def test_near_duplicates_of_families_in_large_nodes(spark, monkeypatch):
+    """Nothing is lost between followers of one leader, or between one that is led and one that is not."""
+    rows = families()
+    want = classes({r[0]: shingles(r[1], 3) for r in rows}, 85)
+    assert len(set(want.values())) == 2
+    for name, value in (("NODE", 12), ("FOLLOWERS", 3), ("LEFT", 0)):
+        monkeypatch.setattr(near, name, value)
+    got = near.near_duplicates(edges.frame(spark, rows), words=3, percent=85).collect()
+    assert {r.id: r.component_id for r in got} == want
+
+
 def test_near_duplicates_without_ids_twice_and_of_nothing(spark):
     rows = [(None, "a b c d e f", None, None, None), (1, "a b c d e f", None, None, None), (1, "z y x", None, None, None), (2, "z y x", None, None, None)]
     got = sorted((r.id or 0, r.component_id or 0, r.kept) for r in near.near_duplicates(edges.frame(spark, rows), words=3).collect())
