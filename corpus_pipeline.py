@@ -18,6 +18,8 @@ from flowlens.session import work_path
 MAIN_LANGUAGE = 0.5
 #: A text is dropped, not cut, if benchmark passages hold more than this share of its words.
 PASSAGE_SHARE = 0.5
+#: What counts as a letter in ``language.labelled``.
+LETTER = r"[\p{L}\p{Nl}\p{No}]"
 MODEL = "piece_bpe_32k.model"
 
 
@@ -26,8 +28,11 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 
 def one_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep texts that have letters and one main language."""
-    found = language.labelled(docs, language.learn(docs), spans=False)
+    """Keep texts that have letters and one main language; all with letters if no row has a language."""
+    model = language.learn(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(LETTER))
+    found = language.labelled(docs, model, spans=False)
     kept = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MAIN_LANGUAGE))
     return kept.select(docs.columns)
 

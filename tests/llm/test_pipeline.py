@@ -4,6 +4,7 @@ import public_tokenizers
 from sentencepiece import SentencePieceProcessor
 
 import corpus_pipeline as pipeline
+from flowlens.llm import language
 from tests.llm import edges
 from tests.llm.test_passages_and_near import classes, hits, shingles
 from tests.llm.test_repeats_and_pieces import spans
@@ -62,3 +63,12 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     edges.frame(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_no_row_has_a_language(spark):
+    rows = [(i, t, None, s, n) for i, t, _, s, n in edges.documents()] + [(-1, "12 _ 3", None, None, 0), (-2, "² ½", None, None, 0)]
+    want = {i: t for i, t, *_ in rows if t and language._ANY_LETTER.search(t)}
+    assert want and -1 not in want and -2 in want
+    kept = pipeline.one_language(spark, edges.frame(spark, rows), "")
+    assert kept.columns == edges.frame(spark).columns
+    assert {r.doc_id: r.text for r in kept.collect()} == want
