@@ -14,11 +14,18 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
 U64 = np.uint64
 
 
+def name(column: str) -> Column:
+    """A column by its name, whatever dots or back-quotes that holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the n + 1 places where its texts begin; null: empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")

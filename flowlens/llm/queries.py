@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import chat, decontaminate, language, near, neighbours, pieces, repeats, shards, tokens, toxicity
+from flowlens.llm import chat, decontaminate, language, lines, near, negatives, neighbours, phrases, pieces, repeats, shards, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -181,3 +181,69 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_bytes", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"),
         F.sha2("decoded", 256).alias("decoded_sha256"), (F.xxhash64("decoded") == F.col("plain")).alias("round_trip"),
     )
+
+
+LOW_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("op11_line_dedup", f"""
+with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+e as (select doc_id, unnest(ls) as line, unnest(range(len(ls))) as i from d),
+k as (select *, {LOW_SQL.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} as key from e),
+m as (select key, max(doc_id) as top from k where length(key) >= 40 group by key having count(distinct doc_id) >= 5)
+select doc_id, count(*) as n_lines, count(*) filter (where doc_id <> top) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by i) filter (where top is null or doc_id = top), '')) as kept_sha256
+from k left join m using (key) group by doc_id""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    kept = lines.without_lines(docs, lines.dropped_lines(docs))
+    return kept.select(
+        "doc_id", "lines.n_lines", "lines.n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256")
+    )
+
+
+@query("op12_phrase_collocations", f"""
+with t as (select coalesce(lang, 'und') as lang, doc_id, {LOW_SQL.format("coalesce(text, '')")} as text from documents),
+p as (select lang, unnest(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]')) as piece from t),
+w as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as ws from p),
+g as (select lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) as phrase
+  from w, (select unnest([1, 2, 3]) as k) s where len(ws) >= k),
+f as (select lang, k, phrase, count(*) as a from g group by all),
+n as (select lang, sum(a)::bigint as n from f where k = 1 group by lang),
+c as (select *, string_split(phrase, ' ') as ws from f where k > 1 and a >= 10),
+cut as (select c.lang, c.k, c.phrase, c.a, c.ws, j, array_to_string(ws[1:j], ' ') as head, array_to_string(ws[j + 1:], ' ') as tail
+  from c, (select unnest([1, 2]) as j) s where j < c.k),
+s as (select cut.*, h.a as l, q.a as r, (cut.a::hugeint * cut.a::hugeint * 1000000) // (h.a::hugeint * q.a::hugeint) as score
+  from cut join f h on h.lang = cut.lang and h.phrase = head and h.k = j
+  join f q on q.lang = cut.lang and q.phrase = tail and q.k = cut.k - j),
+b as (select *, row_number() over (partition by lang, k, phrase order by score, j) as best from s),
+o as (select lang, phrase, max(a) as longer from (
+    select lang, array_to_string(ws[1:2], ' ') as phrase, a from c where k = 3
+    union all select lang, array_to_string(ws[2:3], ' '), a from c where k = 3) x group by all),
+x as (select b.lang, b.phrase, b.a, l, r, score from b left join o on b.k = 2 and o.lang = b.lang and o.phrase = b.phrase
+  where best = 1 and (longer is null or 100 * longer < 50 * b.a)),
+y as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from x)
+select lang, rank, phrase, a, l, r, n, score::bigint as score from y join n using (lang) where rank <= 2000""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents").select("text", "lang"))
+
+
+@query("op13_hard_negatives", """
+with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings where label is not null and embedding is not null
+    and list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))),
+s as (select q.vec_id as anchor_id, c.vec_id as id, q.label = c.label as same,
+    list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::bigint as score
+  from e q join e c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v)),
+p as (select anchor_id, id as positive_id, score as positive_score from (
+    select *, row_number() over (partition by anchor_id order by score desc, id) as r from s where same) x where r <= 5),
+n as (select p.*, s.id as negative_id, score as negative_score,
+    row_number() over (partition by p.anchor_id, positive_id order by score desc, s.id) as rank
+  from p join s on s.anchor_id = p.anchor_id and not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score)
+select anchor_id, positive_id, rank::integer as rank, negative_id, positive_score, negative_score from n where rank <= 10""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").select("vec_id", "label", "embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.withColumn("label", moved)
+    return negatives.hard_negatives(rows, rows.where("vec_id % 100 = 0"))
