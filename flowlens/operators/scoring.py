@@ -121,10 +121,12 @@ def python_scorer(predict: Callable[[pd.DataFrame], pd.Series], schema: str) ->
     return lambda df: df.mapInPandas(batches, f"{schema}, p_attack double")
 
 
-def attack_probability(column: str) -> Column:
+def attack_probability(column: str, classes: int = 2) -> Column:
+    """The probability of class 1, or with more classes of any but class 0, the harmless one."""
     from pyspark.ml.functions import vector_to_array
 
-    return vector_to_array(F.col(column))[1]
+    parts = vector_to_array(F.col(column))
+    return parts[1] if classes == 2 else 1 - parts[0]
 
 
 def best_class(probabilities: Column, labels: Sequence[str] | None = None) -> tuple[Column, Column]:
