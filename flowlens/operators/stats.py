@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.operators.filters import syn_only
+from flowlens.session import broadcast_if_small, materialized
 
 STAT_DIMENSIONS = ("protocol", "src_ip", "dst_ip", "src_port", "dst_port")
 
@@ -101,15 +102,27 @@ def scan_report(packets: DataFrame) -> DataFrame:
     return ports.unionByName(syn, allowMissingColumns=True)
 
 
+#: Relative standard error of the port sketch, and how many of them count as doubt.
+SKETCH_ERROR, DOUBT = 0.02, 6
+#: Pairs in doubt that are broadcast to find their packets.
+DOUBTFUL_PAIRS = 100_000
+
+
 def scan_suspects(packets: DataFrame, threshold: int, protocol: str = "tcp") -> DataFrame:
-    """Pairs with about ``threshold`` or more distinct ports, by a constant-size sketch."""
+    """Pairs with ``threshold`` or more distinct ports, by a constant-size sketch.
+
+    ``n_ports`` is exact for the pairs whose sketch is within ``DOUBT`` standard errors of the
+    threshold: only their packets are read again and counted. For the others it is the sketch's.
+    """
     named = _truthy_text("src_ip") & _truthy_text("dst_ip")
     seen = packets.where((F.col("protocol") == protocol) & named & (F.col("dst_port") != 0))
-    return (
-        seen.groupBy("src_ip", "dst_ip")
-        .agg(F.approx_count_distinct("dst_port", 0.02).alias("n_ports"))
-        .where(F.col("n_ports") >= threshold)
-    )
+    pair = ["src_ip", "dst_ip"]
+    about = seen.groupBy(*pair).agg(F.approx_count_distinct("dst_port", SKETCH_ERROR).alias("n_ports"))
+    high, low = threshold * (1 + DOUBT * SKETCH_ERROR) + 1, threshold * (1 - DOUBT * SKETCH_ERROR) - 1
+    about = materialized(about.where(F.col("n_ports") >= low), "suspects")
+    doubtful = broadcast_if_small(about.where(F.col("n_ports") < high).select(*pair), DOUBTFUL_PAIRS)
+    exact = seen.join(doubtful, pair, "left_semi").groupBy(*pair).agg(F.count_distinct("dst_port").alias("n_ports"))
+    return about.where(F.col("n_ports") >= high).unionByName(exact.where(F.col("n_ports") >= threshold))
 
 
 def distinct_ports(packets: DataFrame) -> DataFrame:

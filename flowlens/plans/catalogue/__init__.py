@@ -28,6 +28,7 @@ def load() -> None:
         detecting,
         features,
         learning,
+        live,
         preparation,
         storage,
         streams,

@@ -179,12 +179,13 @@ def null_nonfinite(spark, folder):
     return prep.null_nonfinite(ratios(spark, folder))
 
 
-@query("inf_to_mean", f"""with r as ({RATIO_SQL} where l_linenumber <> 3) select {KEY_SQL},
-  round(case when isinf(ratio) then m else ratio end, 6) as ratio from r cross join
-  (select avg(ratio) as m from r where isfinite(ratio)) a""")
+@query("inf_to_mean", f"""with r as ({RATIO_SQL}) select {KEY_SQL},
+  round(case when isinf(ratio) then m when isnan(ratio) then null else ratio end, 6) as ratio, isnan(ratio) as is_nan
+  from r cross join (select avg(ratio) as m from r where isfinite(ratio)) a""")
 def inf_to_mean(spark, folder):
-    df = ratios(spark, folder).where("l_linenumber <> 3")
-    return rounded(prep.infinite_to_mean(df, ["ratio"]), ["ratio"])
+    """NaN rows stay NaN; they are shown as such."""
+    df = prep.infinite_to_mean(ratios(spark, folder), ["ratio"]).withColumn("is_nan", F.isnan("ratio"))
+    return rounded(df.withColumn("ratio", F.nanvl("ratio", F.lit(None).cast("double"))), ["ratio"])
 
 
 @query("fill_median", f"with {GAPS_SQL} select {KEY_SQL}, " + ", ".join(

@@ -133,12 +133,12 @@ def timing_store(spark, folder):
 
 @query("timed_operations", f"""{WITH_PACKETS} select 'write_udp' as name, 2 as count,
   true as timed, count(*) as n from packets where protocol = 'udp' union all
-  select 'write_tcp', 1, true, count(*) from packets where protocol = 'tcp'""")
+  select 'write_' || protocol, 1, true, count(*) from packets where protocol in ('tcp', 'icmp') group by protocol""")
 def timed_operations(spark, folder):
-    """Three writes timed, logged, rolled up, next to the rows they wrote."""
+    """Four writes timed, logged, rolled up, next to the rows they wrote."""
     log, df = TimingLog(), packets(spark, folder)
     out, path = work_path(spark, "timed"), work_path(spark, "timing-log")
-    for protocol in ("udp", "tcp", "udp"):
+    for protocol in ("udp", "tcp", "icmp", "udp"):
         with log.track(f"write_{protocol}"):
             part = df.where(F.col("protocol") == protocol)
             part.write.mode("overwrite").parquet(f"{out}/name=write_{protocol}")

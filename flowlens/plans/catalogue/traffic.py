@@ -83,13 +83,10 @@ def scan_union(spark, folder):
 
 @query("scan_suspects", f"""{WITH_PACKETS} select src_ip, dst_ip from packets
   where protocol = 'tcp' and dst_port <> 0 group by src_ip, dst_ip
-  having count(distinct dst_port) > 11""")
+  having count(distinct dst_port) >= 10""")
 def scan_suspects(spark, folder):
-    """Pairs the sketch reports at 10 ports, without those whose exact count lies within its error."""
-    df = packets(spark, folder)
-    exact = stats.port_scan(df).select("src_ip", "dst_ip", F.col("n_ports").alias("exact"))
-    found = stats.scan_suspects(df, threshold=10).join(exact, ["src_ip", "dst_ip"])
-    return found.where("exact not between 9 and 11").select("src_ip", "dst_ip")
+    """Pairs of 10 ports and more; those within the sketch's error are counted again."""
+    return stats.scan_suspects(packets(spark, folder), threshold=10).select("src_ip", "dst_ip")
 
 
 @query("distinct_ports",

@@ -147,3 +147,59 @@ def test_versions_are_whole_and_append_only(spark):
     assert loaded.get([one])[0][1] is loaded.models[one.path]
     loaded.get([two])
     assert list(loaded.models) == [two.path]
+
+
+def test_equal_results_after_a_restart_in_the_middle(spark, published):
+    rows = packets(300, seed=4)
+    batch = table(spark, rows)
+    fitted = Preprocessor.fit(extract_features(batch))
+    want = score_and_vote(batch, fitted, [(n, fixed_model(e), w) for n, e, w in MODELS])
+    names = [work_path(spark, f"restart-{x}") for x in ("detections", "alerts", "checkpoint")]
+    path = written(spark, rows[:170], [60])
+
+    def fail(number):
+        if number == 1:
+            raise RuntimeError("lost after the second micro-batch was written")
+
+    with pytest.raises(Exception, match="lost after"):
+        feed(spark, path, fitted, published, names, after_batch=fail)
+    table(spark, rows[170:]).coalesce(1).write.mode("append").parquet(path)
+    feed(spark, path, fitted, published, names)
+    assert rows_of(spark.read.parquet(names[0]).drop("batch")) == rows_of(want)
+
+
+def test_retraining_publishes_or_leaves_the_version_before(spark):
+    from flowlens.plans.retraining import retrain_if_due
+    from flowlens.sources import tables
+
+    folder, feedback = work_path(spark, "retrain-models"), work_path(spark, "retrain-feedback")
+    one = versions.publish(fixed_model("0.75"), folder, "m", weight=0.5, at_s=0.0)
+    rng = random.Random(1)
+    rows = []
+    for i in range(90):
+        label = ("normal", "attack", "probe")[i % 3]
+        rows.append(("m", i, float(i), [float(i % 3) + rng.random() / 2, rng.random()], "normal", label, 0.5))
+    entries = spark.createDataFrame(rows, "model_name string, packet_id long, timestamp double, features array<double>, prediction string, actual string, confidence double")
+    small = {"trees": [3], "depths": [3], "folds": 2}
+
+    def attempt(now, **grid):
+        return retrain_if_due(spark, "m", feedback, folder, now, ["x", "y"], **(small | grid))
+
+    assert attempt(4000.0).reason == "no feedback"
+    tables.write_feedback(entries.limit(5), feedback)
+    assert attempt(4000.0).reason == "5 usable entries"
+    tables.write_feedback(entries, feedback, mode="replace")
+    assert attempt(100.0).reason == "too soon"
+    failed = attempt(4000.0, depths=[99])  # deeper than a forest can be
+    assert failed.version is None and failed.reason
+    assert versions.newest(spark, folder) == [one] and tables.feedback_files(spark, feedback, "m")
+    done = attempt(4000.0)
+    assert (done.version.version, done.version.labels, done.version.weight) == (2, ["normal", "attack", "probe"], 0.5)
+    assert not tables.feedback_files(spark, feedback, "m")
+    (_, model), = versions.Loaded().get([done.version])
+    scored = model.transform(spark.createDataFrame([(0.2, 0.5), (1.2, 0.5), (2.2, 0.5)], "x double, y double"))
+    assert [r.prediction for r in scored.collect()] == [0.0, 1.0, 2.0]
+    from flowlens.operators.scoring import attack_probability
+
+    shares = [r[0] for r in scored.select(attack_probability("probability", 3)).collect()]
+    assert shares[0] < 0.5 < min(shares[1:])
