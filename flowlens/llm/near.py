@@ -2,14 +2,14 @@
 
 Each distinct shingle set gets a sketch of minwise values. In every tree a document's path
 starts with one chosen sketch position, and a node holds the documents with equal values
-along its path. Nodes of at most ``NODE`` documents are compared exhaustively by sketch; in a
-larger node the members are compared with a few leaders, those that lie close to one leave
-the node, and the others branch on further positions. Whatever sketches call similar is put
-into groups of bounded size, in which links are confirmed on the full sets.
+along its path. Nodes of up to ``WHOLE`` documents are compared exhaustively by sketch, larger
+than ``NODE`` in blocks; only what is larger still branches on further positions. Whatever
+sketches call similar is put into groups of bounded size, in which links are confirmed on the
+full sets.
 
-A member that left was compared with few others, so this pass only gathers most of the links.
-In a second pass over the large nodes nobody leaves unless compared with all of the node; what
-keeps it small is that nodes within one component are dropped, by confirmed links alone.
+The trees are taken in two rounds. The links of the first round give components; in the second
+one, nodes within one component are dropped, and only members that look like one of another
+component are confirmed.
 
 Every table is in proportion to the documents: no node emits its pairs, a group emits a
 spanning forest of its links, and equal sets are one document from the start.
@@ -22,7 +22,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,14 +33,15 @@ POSITIONS = 128
 #: Independent trees. A pair of similarity s meets in one tree's child of the root with
 #: probability s, so 8 trees miss (1 - s) ** 8 of the pairs in small nodes.
 TREES = 8
-#: Documents compared exhaustively, followers of a leader in one group, leaders of a larger node.
-NODE, FOLLOWERS, LEADERS = 200, 48, 2
-#: Members of a large node to which all others are compared to find a central one.
-SAMPLE = 12
-#: When comparing what is left of large nodes block by block makes at most so many rows, or
-#: after so many levels, it is done that way, which is exact.
-LEFT, LEVELS = 30_000, 40
-#: Up to so many ids of the second pass are broadcast to pick their texts.
+#: Trees of the first round.
+FIRST = 2
+#: Documents compared in one task; in blocks, so many of one node; levels of branching at most.
+NODE, WHOLE, LEVELS = 4_096, 65_536, 40
+#: Documents, and shingles of theirs, in one part of a group; every two parts are confirmed together.
+PART, PART_SHINGLES = 2_048, 1_000_000
+#: Groups of more documents are confirmed by rows of bits, so many columns at a time.
+FEW, COLUMNS = 24, 1 << 14
+#: Up to so many ids of candidates are broadcast to pick their texts.
 ASKED = 100_000
 _SEEDS = B.mix(np.arange(1, POSITIONS + 1, dtype=np.uint64))
 _FACTORS = B.mix(np.arange(1001, POSITIONS + 1001, dtype=np.uint64)) | np.uint64(1)
@@ -102,8 +102,8 @@ def signatures(documents: DataFrame, *, key: str, text: str, words: int, trees:
     """id, n_shingles, two prints of the whole set, and the sketch and root children (null for an empty set)."""
 
     def sign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in B.slices(parts, text):
-            sets = shingle_sets(rows.column(text), words)
+        for rows in B.slices(parts, "text"):
+            sets = shingle_sets(rows.column("text"), words)
             sums = [int(s.sum(dtype=np.uint64)) for s in sets]
             folds = [int(np.bitwise_xor.reduce(B.mix(s))) if len(s) else 0 for s in sets]
             sketch, roots = _sketches(sets, trees)
@@ -112,13 +112,14 @@ def signatures(documents: DataFrame, *, key: str, text: str, words: int, trees:
             raw = pa.array([r.tobytes() for r in sketch], pa.binary()).take(place)
             nodes = B.list_array(pa.array(roots.reshape(-1).view(np.int64)), np.arange(len(roots) + 1) * trees).take(place)
             yield pa.RecordBatch.from_arrays(
-                [rows.column(key).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                [rows.column("key").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array(np.array(sums, np.uint64).view(np.int64)), pa.array(np.array(folds, np.uint64).view(np.int64)), raw, nodes],
                 ["id", "n_shingles", "sum", "fold", "sketch", "roots"],
             )
 
     kinds = "id long, n_shingles long, sum long, fold long, sketch binary, roots array<long>"
-    return documents.select(key, text).mapInArrow(sign, kinds)
+    rows = documents.select(B.name(key).alias("key"), B.name(text).alias("text"))
+    return rows.mapInArrow(sign, kinds)
 
 
 def _sketch_rows(column: pa.Array) -> np.ndarray:
@@ -151,55 +152,69 @@ def keyed(parts: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _forest(n: int, pairs: np.ndarray) -> np.ndarray:
-    """The smallest member of each of n items' components."""
-    root = list(range(n))
+def _merged(root: np.ndarray, i: int, others: np.ndarray) -> list[int]:
+    """Joins i's tree with those of ``others``; of each tree that was another one, one member."""
+    trees, first = np.unique(root[others], return_index=True)
+    new = trees != root[i]
+    if new.any():
+        root[np.isin(root, np.r_[trees, root[i]])] = min(trees.min(), root[i])
+    return others[first[new]].tolist()
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
 
-    for i, j in pairs.tolist():
-        a, b = find(i), find(j)
-        root[max(a, b)] = min(a, b)
-    return np.array([find(i) for i in range(n)], np.int64)
+def _alike(sketch: np.ndarray, label: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Trees of what sketches call alike, and which rows are alike to one of another label."""
+    n = len(sketch)
+    floor = similarity - 4 * math.sqrt(similarity * (1 - similarity) / POSITIONS)
+    # one bit of each value tells most pairs apart that have little in common
+    bits = np.packbits((sketch & 1).astype(bool), axis=1).view(np.uint64)
+    agree = (1 + similarity) / 2
+    apart = POSITIONS * (1 - agree) + 6 * math.sqrt(POSITIONS * agree * (1 - agree))
+    root, mixed = np.arange(n), np.zeros(n, bool)
+    for i in range(n - 1):
+        some = i + 1 + np.flatnonzero(np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(axis=1, dtype=np.int64) <= apart)
+        some = some[np.count_nonzero(sketch[some] == sketch[i], axis=1) >= floor * POSITIONS]
+        if len(some):
+            _merged(root, i, some)
+            other = some[label[some] != label[i]]
+            mixed[other] = True
+            mixed[i] |= len(other) > 0
+    return root, mixed
 
 
-def _small_groups(rows: DataFrame, floor: float) -> DataFrame:
-    """Groups (group, id) of documents that sketches link within small nodes, if of different labels."""
-    labelled = "label" in rows.columns
+def _parts(sizes: np.ndarray) -> np.ndarray:
+    """The part of each row: at most ``PART`` rows and about ``PART_SHINGLES`` shingles in one."""
+    return np.arange(len(sizes)) // PART + (np.cumsum(sizes) - sizes) // PART_SHINGLES
+
+
+def _groups_of(cells: DataFrame, similarity: float) -> DataFrame:
+    """Groups (group, id) of documents that sketches link within a cell, if of different labels."""
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups, members = [], []
-        for node in keyed(parts, "node"):
-            n = node.num_rows
-            if n < 2:
-                continue
-            ids = node.column("id").to_numpy()
-            sketch = _sketch_rows(node.column("sketch"))
-            i, j = np.triu_indices(n, 1)
-            near = (sketch[i] == sketch[j]).sum(axis=1) >= floor * POSITIONS
-            if labelled:
-                label = node.column("label").to_numpy()
-                near &= label[i] != label[j]
-            if not near.any():
+        for cell in keyed(parts, "cell"):
+            if cell.num_rows < 2:
                 continue
-            component = _forest(n, np.stack([i[near], j[near]], axis=1))
-            for root in np.unique(component):
-                own = np.sort(ids[component == root])
-                if len(own) > 1:
-                    name = B.mix(own.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)
-                    groups.append(np.full(len(own), name))
-                    members.append(own)
-            if sum(map(len, members[-1:])) and len(members) > 5_000:
+            ids, label, sizes = (cell.column(c).to_numpy() for c in ("id", "label", "n_shingles"))
+            root, mixed = _alike(_sketch_rows(cell.column("sketch")), label, similarity)
+            for tree in np.unique(root[mixed]):
+                own = np.flatnonzero(mixed & (root == tree))
+                own = own[np.argsort(ids[own])]
+                part = _parts(sizes[own])
+                blocks = np.unique(part).tolist()
+                for i in blocks:
+                    for j in blocks[blocks.index(i) + (len(blocks) > 1) :]:
+                        some = ids[own[(part == i) | (part == j)]]
+                        # equal groups of several trees have one name
+                        name = B.mix(some.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)
+                        groups.append(np.full(len(some), name))
+                        members.append(some)
+            if len(members) > 5_000:
                 yield _groups(groups, members)
                 groups, members = [], []
         if members:
             yield _groups(groups, members)
 
-    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(compare, "group long, id long")
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "group long, id long")
 
 
 def _groups(groups: list[np.ndarray], members: list[np.ndarray]) -> pa.RecordBatch:
@@ -215,237 +230,111 @@ def _below(stay: np.ndarray, node: np.ndarray, sketch: np.ndarray, similarity: f
     return pa.array(np.r_[stay, forked]), pa.array(below)
 
 
-_LED = "key long, id long, sketch binary"
-
-
-def _led(rows: DataFrame, floor: float, close: float, similarity: float) -> DataFrame:
-    """Members of large nodes against their leaders: groups to confirm, and child nodes of those that stay.
+def candidate_groups(signed: DataFrame, found: DataFrame | None, *, similarity: float, trees: tuple[int, int]) -> DataFrame:
+    """(group, id): groups of bounded size that hold what is similar by sketch and not yet in one component.
 
-    A leader joins every chunk of its followers, so a group stays within a bound. A member
-    that stays goes on in one child, or in two with a chance of 1 / similarity - 1: on
-    average documents of the wanted similarity keep meeting, and less similar ones part.
-    Rows of groups have no sketch.
-    """
-
-    def lead(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
-            if not batch.num_rows:
-                continue
-            ids = batch.column("id").to_numpy()
-            node = batch.column("node").to_numpy().view(np.uint64)
-            sketch = _sketch_rows(batch.column("sketch"))
-            chunks = np.maximum(1, batch.column("n").to_numpy() // FOLLOWERS).astype(np.uint64)
-            best = np.zeros(len(ids))
-            pairs = []
-            for k in range(LEADERS):
-                leader = pc.struct_field(batch.column(f"leader{k}"), "id").to_numpy()
-                share = (sketch == _sketch_rows(pc.struct_field(batch.column(f"leader{k}"), "sketch"))).mean(axis=1)
-                best = np.maximum(best, share)
-                part = B.mix(ids.view(np.uint64) ^ node) % chunks
-                group = B.mix(B.mix(leader.view(np.uint64)) ^ node + part).view(np.int64)
-                near = (share >= floor) & (ids != leader)
-                pairs += [np.stack([group[near], ids[near]]), np.unique(np.stack([group[near], leader[near]]), axis=1)]
-            key, member = np.concatenate(pairs, axis=1)
-            none = pa.nulls(len(key), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(member), none], ["key", "id", "sketch"])
-            own, below = _below(np.flatnonzero(best < close), node, sketch, similarity)
-            yield pa.RecordBatch.from_arrays([below, batch.column("id").take(own), batch.column("sketch").take(own)], ["key", "id", "sketch"])
-
-    return rows.mapInArrow(lead, _LED)
-
-
-def _central(members: DataFrame) -> DataFrame:
-    """Per large node its leaders: the member most like a sample of the node, and others drawn by hash.
-
-    The original of a family of copies is nearer to them than they are to each other.
+    ``signed`` has id, n_shingles, sketch and roots, one row per distinct set; ``found`` id and
+    component of those in links. Of a tree's nodes of up to ``WHOLE`` members nothing is left
+    out; in larger ones documents of the wanted similarity go on meeting in one child on average.
     """
-    sample = members.where(F.pmod(F.xxhash64("id", "node"), "n") < SAMPLE).groupBy("node")
-    sample = sample.agg(F.slice(F.collect_list("sketch"), 1, 2 * SAMPLE).alias("sample"))
-
-    def best(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
-            node = batch.column("node").to_numpy()
-            sketch = _sketch_rows(batch.column("sketch")) if batch.num_rows else None
-            rows, scores = [], []
-            for value, first in zip(*np.unique(node, return_index=True), strict=True):
-                own = np.flatnonzero(node == value)
-                some = np.frombuffer(b"".join(batch.column("sample")[int(first)].as_py()), np.uint16).reshape(-1, POSITIONS)
-                score = sum((sketch[own] == other).sum(axis=1) for other in some)
-                rows.append(own[score.argmax()])
-                scores.append(int(score.max()))
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node").take(at), pa.array(scores, pa.int64()), batch.column("id").take(at), batch.column("sketch").take(at)],
-                ["node", "score", "id", "sketch"],
-            )
-
-    scored = members.join(sample, "node").select("node", "id", "sketch", "sample")
-    scored = scored.mapInArrow(best, "node long, score long, id long, sketch binary")
-    first = scored.groupBy("node").agg(F.max(F.struct("score", "id", "sketch")).alias("central"))
-    drawn = members.groupBy("node").agg(*[
-        F.min(F.struct(F.xxhash64("node", "id", F.lit(k)).alias("h"), "id", "sketch")).alias(f"leader{k}")
-        for k in range(LEADERS)])
-    lead = F.struct(F.lit(0).cast("long").alias("h"), "central.id", "central.sketch")
-    return drawn.join(first, "node", "left").withColumn(
-        "leader0", F.when(F.col("central").isNotNull(), lead).otherwise(F.col("leader0"))
-    ).drop("central")
-
-
-def _limits(similarity: float) -> tuple[float, float]:
-    """Shares of equal values above which sketches are candidates, and above which a member leaves."""
-    return similarity - 4 * math.sqrt(similarity * (1 - similarity) / POSITIONS), similarity - 0.05
-
-
-def candidate_groups(signed: DataFrame, *, similarity: float) -> DataFrame:
-    """(group, id): groups of bounded size that hold most of the similar documents, by sketch.
-
-    ``signed`` has id, sketch and roots, one row per distinct set. Of root nodes with at most
-    ``NODE`` members nothing is left out; for larger ones see ``remaining_groups``.
-    """
-    floor, close = _limits(similarity)
-    sketches, roots = signed.select("id", "sketch"), signed.select("id", F.explode("roots").alias("node"))
-    shared = roots.groupBy("node").count().where("count > 1").select("node")
-    active = materialized(roots.join(shared, "node").join(sketches, "id").select("node", "id", "sketch"), "near-nodes")
-    found = []
-    for level in range(LEVELS + 1):
-        sizes = materialized(active.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "near-sizes")
-        small = active.join(sizes.where(F.col("n") <= NODE), "node")
-        found.append(materialized(_small_groups(small, floor), "near-groups"))
-        large = sizes.where(F.col("n") > NODE)
-        left = large.agg(F.sum(F.col("n") * F.ceil(F.col("n") / FOLLOWERS))).head()[0]
-        if not left:
-            break
-        members = active.join(large, "node")
-        if left <= LEFT or level == LEVELS:
-            found.append(_blocks(members))
-            break
-        led = materialized(_led(members.join(_central(members), "node"), floor, close, similarity), "near-led")
-        found.append(led.where("sketch is null").select(F.col("key").alias("group"), "id"))
-        active = led.where("sketch is not null").withColumnRenamed("key", "node")
-    groups = found[0]
-    for more in found[1:]:
-        groups = groups.unionByName(more)
-    return groups.distinct()
-
-
-def _mixed(active: DataFrame) -> DataFrame:
-    """Nodes whose members are not all in one component: node, n, and how many are alone (or first) in theirs."""
-    sizes = active.groupBy("node").agg(
-        F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.count_if(F.col("id") == F.col("label")).alias("alone")
-    )
-    return materialized(sizes.where("low <> high").select("node", "n", "alone"), "near-mixed")
-
-
-def remaining_groups(signed: DataFrame, found: DataFrame, *, similarity: float) -> DataFrame | None:
-    """Groups (group, id) of what may still link components within large nodes; None if nothing may.
-
-    ``found`` has id and component by confirmed links. Every member of a large node branches
-    on. Where most belong to components, up to ``LEADERS`` of those that don't are compared
-    with all members and leave. Nodes within one component are dropped.
-    """
-    floor, _ = _limits(similarity)
-    named = signed.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("label"), "roots")
-    named = named.select("id", "label", F.explode("roots").alias("node"))
-    wide = _mixed(named).where(F.col("n") > NODE).select("node")
-    if not wide.limit(1).count():
-        return None
-    active = materialized(named.join(wide, "node").join(signed.select("id", "sketch"), "id").select("node", "id", "label", "sketch"), "near-wide")
+    named = signed.select("id", "roots")
+    named = named.withColumn("label", F.col("id")) if found is None else named.join(found, "id", "left").withColumn("label", F.coalesce("component", "id"))
+    nodes = F.slice("roots", trees[0] + 1, trees[1] - trees[0])
+    active = named.select("id", "label", F.explode(nodes).alias("node"))
     more = []
     for level in range(LEVELS + 1):
-        sizes = _mixed(active)
-        if level:
-            more.append(materialized(_small_groups(active.join(sizes.where(F.col("n") <= NODE), "node"), floor), "near-groups"))
-        large = sizes.where(F.col("n") > NODE)
-        left = large.agg(F.sum(F.col("n") * F.ceil(F.col("n") / FOLLOWERS))).head()[0]
-        if not left:
-            break
-        members = active.join(large, "node")
-        if left <= LEFT or level == LEVELS:
-            more.append(_blocks(members))
+        sizes = active.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+        active = materialized(active.join(sizes.where("low <> high").select("node", "n"), "node"), "near-nodes")
+        last = level == LEVELS
+        blocks = F.when(F.col("n") <= NODE, 1).otherwise(F.ceil(2 * F.col("n") / NODE)).cast("int")
+        whole = active if last else active.where(F.col("n") <= WHOLE)
+        dealt = whole.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", "node"), "blocks").cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        cell = F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"))
+        cells = dealt.select(cell.alias("cell"), "id", "label").join(signed.select("id", "n_shingles", "sketch"), "id")
+        more.append(materialized(_groups_of(cells, similarity), "near-groups"))
+        large = active.where(F.col("n") > WHOLE)
+        if last or not large.limit(1).count():
             break
-        leaders = members.where("id = label and 2 * alone <= n").groupBy("node").agg(*[
-            F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "label", "sketch")).alias(f"leader{k}")
-            for k in range(LEADERS)])
-        parted = materialized(_parted(members.join(leaders, "node", "left"), floor, similarity), "near-parted")
-        more.append(parted.where("sketch is null").select(F.col("key").alias("group"), "id"))
-        active = parted.where("sketch is not null").withColumnRenamed("key", "node")
+        active = _branched(large.join(signed.select("id", "sketch"), "id"), similarity)
     groups = more[0]
     for other in more[1:]:
         groups = groups.unionByName(other)
-    groups = materialized(groups.distinct(), "near-remaining")
-    return groups if groups.limit(1).count() else None
+    return groups.distinct()
 
 
-def _parted(rows: DataFrame, floor: float, similarity: float) -> DataFrame:
-    """Groups of leaders with the members of other labels near them, and child nodes of all but the leaders."""
+def _branched(rows: DataFrame, similarity: float) -> DataFrame:
+    """Members of nodes in the children they go on in: one, or two with a chance of 1 / similarity - 1."""
 
-    def part(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def branch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            if not batch.num_rows:
-                continue
-            ids, label = batch.column("id").to_numpy(), batch.column("label").to_numpy()
             node = batch.column("node").to_numpy().view(np.uint64)
-            sketch = _sketch_rows(batch.column("sketch"))
-            # powers of two: nodes of different size give equal groups more often
-            chunks = np.uint64(1) << np.log2(np.maximum(1, batch.column("n").to_numpy() / FOLLOWERS)).astype(np.uint64)
-            stays = np.ones(len(ids), bool)
-            for k in range(LEADERS):
-                own = np.flatnonzero(batch.column(f"leader{k}").is_valid().to_numpy(zero_copy_only=False))
-                if not len(own):
-                    continue
-                led = batch.column(f"leader{k}").take(pa.array(own))
-                leader = pc.struct_field(led, "id").to_numpy()
-                share = (sketch[own] == _sketch_rows(pc.struct_field(led, "sketch"))).mean(axis=1)
-                stays[own[ids[own] == leader]] = False
-                near = (share >= floor) & (label[own] != pc.struct_field(led, "label").to_numpy())
-                own, leader = own[near], leader[near]
-                chunk = chunks[own] << np.uint64(32) | B.mix(ids[own].view(np.uint64)) % chunks[own]
-                group = B.mix(B.mix(leader.view(np.uint64)) + B.mix(chunk)).view(np.int64)
-                key, member = np.concatenate([np.stack([group, ids[own]]), np.unique(np.stack([group, leader]), axis=1)], axis=1)
-                none = pa.nulls(len(key), pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(member), pa.nulls(len(key), pa.int64()), none], ["key", "id", "label", "sketch"]
-                )
-            own, below = _below(np.flatnonzero(stays), node, sketch, similarity)
-            yield pa.RecordBatch.from_arrays([below, *(batch.column(c).take(own) for c in ("id", "label", "sketch"))], ["key", "id", "label", "sketch"])
-
-    return rows.mapInArrow(part, "key long, id long, label long, sketch binary")
-
-
-def _blocks(large: DataFrame) -> DataFrame:
-    """The exact way for nodes that branching can't divide: every two blocks of members are a group."""
-    blocks = F.ceil(F.col("n") / FOLLOWERS).cast("int")
-    own = large.withColumn("block", F.pmod(F.xxhash64("id", "node"), blocks).cast("int")).withColumn("blocks", blocks)
-    other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return other.select(
-        F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("group"), "id"
-    ).distinct()
+            own, below = _below(np.arange(batch.num_rows), node, _sketch_rows(batch.column("sketch")), similarity)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(own), batch.column("label").take(own), below], ["id", "label", "node"])
+
+    return rows.mapInArrow(branch, "id long, label long, node long")
+
+
+def _links_of_few(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int, int, int]]:
+    """A forest of the links between a few sets: two places, common and whole."""
+    root = np.arange(len(sets))
+    for i in range(len(sets)):
+        for j in range(i + 1, len(sets)):
+            small, large = sorted((len(sets[i]), len(sets[j])))
+            if root[i] == root[j] or 100 * small < percent * large or not small:
+                continue
+            both = np.concatenate([sets[i], sets[j]])
+            both.sort(kind="stable")
+            common = int((both[1:] == both[:-1]).sum())
+            whole = len(both) - common
+            if 100 * common >= percent * whole:
+                _merged(root, i, np.array([j]))
+                yield i, j, common, whole
+
+
+def _links_of_many(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int, int, int]]:
+    """The same for many sets, by rows of bits for the shingles that several of them have."""
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(n), sizes)
+    _, shingle, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    owner, shingle = owner[shared[shingle]], (np.cumsum(shared) - 1)[shingle[shared[shingle]]]
+    width = int(shared.sum())
+    rows = []
+    for start in range(0, max(width, 1), COLUMNS):
+        inside = (shingle >= start) & (shingle < start + COLUMNS)
+        dense = np.zeros((n, -(-min(COLUMNS, max(width - start, 1)) // 64) * 64), bool)
+        dense[owner[inside], shingle[inside] - start] = True
+        rows.append(np.packbits(dense, axis=1).view(np.uint64))
+    bits = np.concatenate(rows, axis=1)
+    root = np.arange(n)
+    for i in range(n - 1):
+        rest = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+        low, high = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
+        rest = rest[(100 * low >= percent * high) & (low > 0)]
+        common = np.zeros(len(rest), np.int64)
+        for at in range(0, len(rest), 256):
+            common[at : at + 256] = np.bitwise_count(bits[rest[at : at + 256]] & bits[i]).sum(axis=1, dtype=np.int64)
+        whole = sizes[rest] + sizes[i] - common
+        near = 100 * common >= percent * whole
+        if near.any():
+            seen = {int(j): (int(c), int(w)) for j, c, w in zip(rest[near], common[near], whole[near], strict=True)}
+            for j in _merged(root, i, rest[near]):
+                yield i, j, *seen[j]
 
 
 def confirmed_links(groups: DataFrame, documents: DataFrame, *, key: str, text: str, words: int, percent: int) -> DataFrame:
     """Links (a, b, common, whole) that connect the members of each group as far as their full sets allow."""
-    texts = documents.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    asked = broadcast_if_small(groups.select("id").distinct(), ASKED)
+    texts = documents.select(B.name(key).cast("long").alias("id"), B.name(text).alias("text")).join(asked, "id", "left_semi")
     rows = groups.join(texts, "id").select("group", "id", "text").repartition("group").sortWithinPartitions("group", "id")
 
     def confirm(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in keyed(B.slices(parts, "text"), "group"):
             ids = group.column("id").to_pylist()
             sets = [s for c in group.column("text").chunks for s in shingle_sets(c, words)]
-            root = list(range(len(ids)))
-            links = []
-            for i in range(len(ids)):
-                for j in range(i + 1, len(ids)):
-                    small, large = sorted((len(sets[i]), len(sets[j])))
-                    if root[i] == root[j] or 100 * small < percent * large or not small:
-                        continue
-                    both = np.concatenate([sets[i], sets[j]])
-                    both.sort(kind="stable")
-                    common = int((both[1:] == both[:-1]).sum())
-                    whole = len(both) - common
-                    if 100 * common >= percent * whole:
-                        links.append((ids[i], ids[j], common, whole))
-                        old, new = max(root[i], root[j]), min(root[i], root[j])
-                        root = [new if r == old else r for r in root]
+            found = list((_links_of_few if len(ids) <= FEW else _links_of_many)(sets, percent))
+            links = [(ids[i], ids[j], common, whole) for i, j, common, whole in found]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[k] for x in links], pa.int64()) for k in range(4)], ["a", "b", "common", "whole"]
             )
@@ -468,21 +357,17 @@ def near_duplicates(
     first = full.groupBy(*same).agg(F.min("id").alias("rep"))
     member = materialized(full.select("id", *same).join(first, same).select("id", "rep"), "near-members")
     sketches = materialized(
-        full.select("id", "sketch", "roots").join(first.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]),
+        full.select("id", "n_shingles", "sketch", "roots").join(first.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]),
         "near-sketches",
     )
-    groups = materialized(candidate_groups(sketches, similarity=percent / 100), "near-candidates")
-    links = confirmed_links(groups, documents, key=key, text=text, words=words, percent=percent)
     # rows of one id but different sets belong together too
     again = member.groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
-    links = materialized(links.select("a", "b").union(again.select("low", "high")), "near-links")
-    found = components(links)
-    groups = remaining_groups(sketches, found, similarity=percent / 100)
-    if groups is not None:
-        asked = broadcast_if_small(groups.select(F.col("id").alias(key)).distinct(), ASKED)
-        some = documents.select(F.col(key).cast("long").alias(key), text).join(asked, key, "left_semi")
-        more = confirmed_links(groups, some, key=key, text=text, words=words, percent=percent)
-        found = components(links.union(more.select("a", "b")))
+    links, found = again.select(F.col("low").alias("a"), F.col("high").alias("b")), None
+    for part in ((0, min(FIRST, trees)), (min(FIRST, trees), trees)):
+        groups = materialized(candidate_groups(sketches, found, similarity=percent / 100, trees=part), "near-candidates")
+        more = confirmed_links(groups, documents, key=key, text=text, words=words, percent=percent)
+        links = materialized(links.unionByName(more.select("a", "b")), "near-links")
+        found = components(links)
     found = found.withColumnRenamed("id", "rep")
     component = member.join(found, "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     rows = signed.select("id", "n_shingles").join(component, "id", "left")

@@ -4,6 +4,8 @@ import random
 import re
 from itertools import pairwise
 
+import numpy as np
+
 from flowlens.llm import decontaminate, near
 from flowlens.llm.components import components
 from tests.llm import edges
@@ -102,13 +104,14 @@ def test_near_duplicates_match_all_pairs(spark):
 
 
 def test_near_duplicates_in_large_nodes(spark, monkeypatch):
-    """Nodes of more than three documents are led and branched; leftovers are compared block by block."""
-    monkeypatch.setattr(near, "NODE", 3)
+    """Nodes of more than three documents are compared block by block, or branch on."""
+    monkeypatch.setattr(near, "NODE", 4)
     rows = edges.documents()
     want = classes({r[0]: shingles(r[1], 5) for r in rows}, 80)
-    for left in (0, 10**9):
-        monkeypatch.setattr(near, "LEFT", left)
-        got = near.near_duplicates(edges.frame(spark), words=5, percent=80).collect()
+    docs = edges.frame(spark).withColumnRenamed("source", "a.b").withColumnRenamed("lang", "label")
+    for whole in (10**9, 6):
+        monkeypatch.setattr(near, "WHOLE", whole)
+        got = near.near_duplicates(docs, words=5, percent=80).collect()
         assert {r.id: r.component_id for r in got} == want
 
 
@@ -128,14 +131,64 @@ def families():
 
 
 def test_near_duplicates_of_families_in_large_nodes(spark, monkeypatch):
-    """Nothing is lost between followers of one leader, or between one that is led and one that is not."""
+    """Neither a star nor a chain falls apart, compared in blocks or after branching."""
     rows = families()
     want = classes({r[0]: shingles(r[1], 3) for r in rows}, 85)
     assert len(set(want.values())) == 2
-    for name, value in (("NODE", 12), ("FOLLOWERS", 3), ("LEFT", 0)):
-        monkeypatch.setattr(near, name, value)
-    got = near.near_duplicates(edges.frame(spark, rows), words=3, percent=85).collect()
-    assert {r.id: r.component_id for r in got} == want
+    for node, whole in ((12, 10**9), (8, 40)):
+        monkeypatch.setattr(near, "NODE", node)
+        monkeypatch.setattr(near, "WHOLE", whole)
+        got = near.near_duplicates(edges.frame(spark, rows), words=3, percent=85).collect()
+        assert {r.id: r.component_id for r in got} == want
+
+
+def test_links_by_bits_equal_links_by_pairs(monkeypatch):
+    """Forests of the same components whatever the way, and exact counts; parts cover every pair."""
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**63, 90).astype(np.uint64)
+    sets = [np.zeros(0, np.uint64)]
+    for _ in range(150):
+        own = base[rng.random(90) < rng.choice([0.95, 0.9, 0.5])]
+        sets.append(np.sort(np.r_[own, rng.integers(0, 2**63, rng.integers(0, 9)).astype(np.uint64)]))
+    monkeypatch.setattr(near, "COLUMNS", 64)
+
+    def trees(links):
+        root = np.arange(len(sets))
+        for i, j, common, whole in links:
+            assert common == len(np.intersect1d(sets[i], sets[j])) and whole == len(sets[i]) + len(sets[j]) - common
+            assert 100 * common >= 85 * whole and root[i] != root[j]
+            near._merged(root, i, np.array([j]))
+        return root.tolist()
+
+    few = trees(near._links_of_few(sets, 85))
+    assert trees(near._links_of_many(sets, 85)) == few
+    assert 5 < len(set(few)) < 140
+    monkeypatch.setattr(near, "PART", 7)
+    monkeypatch.setattr(near, "PART_SHINGLES", 500)
+    part = near._parts(np.array([len(s) for s in sets]))
+    assert (np.bincount(part) <= 7).all() and part.max() > 20
+
+
+def test_recall_on_a_family_around_the_limit(spark):
+    """Fifteen hundred copies, alike at 0.75 to 0.95, next to texts of one common sentence."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(1500):
+        copy = list(base)
+        for _ in range(rng.randint(1, 4)):
+            at = rng.randrange(148)
+            copy[at] = f"e{i}x{at}"
+        texts.append(" ".join(copy))
+    texts += [" ".join(base[:12] + [f"o{i}y{k}" for k in range(60)]) for i in range(300)]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    sets = [np.array(sorted({hash(x) for x in shingles(t, 3)}), np.int64).view(np.uint64) for t in texts]
+    sets = [np.sort(s) for s in sets]
+    root = np.arange(len(sets))
+    for i, j, _, _ in near._links_of_many(sets, 85):
+        near._merged(root, i, np.array([j]))
+    got = {r.id: r.component_id for r in near.near_duplicates(edges.frame(spark, rows), words=3, percent=85).collect()}
+    assert got == dict(enumerate(root.tolist()))
 
 
 def test_near_duplicates_without_ids_twice_and_of_nothing(spark):
