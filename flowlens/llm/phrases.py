@@ -28,7 +28,7 @@ from flowlens.session import materialized
 #: Occurrences of a candidate; share of them, in per cent, in a longer candidate that drops it.
 LEAST, WITHIN = 10, 50
 #: Bytes of text in a shard.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: A filter has at most 2 to so many bits: 32 MB.
 FILTER_BITS = 28
 #: What ends a piece, and what parts words.
