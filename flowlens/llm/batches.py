@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections.abc import Iterable, Iterator
+import functools
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
@@ -26,6 +28,25 @@ def name(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def any_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For operators whose Arrow tasks look columns up by name: dots and back-quotes in names do no harm.
+
+    Such columns of the first frame go through the operator under plain names.
+    """
+
+    @functools.wraps(operator)
+    def run(documents: DataFrame, *args, **options) -> DataFrame:
+        plain = {c: f"plain_{uuid.uuid4().hex}" for c in documents.columns if "." in c or "`" in c}
+        if not plain:
+            return operator(documents, *args, **options)
+        options = {k: plain.get(v, v) if isinstance(v, str) else v for k, v in options.items()}
+        out = operator(documents.toDF(*[plain.get(c, c) for c in documents.columns]), *args, **options)
+        back = {v: k for k, v in plain.items()}
+        return out.toDF(*[back.get(c, c) for c in out.columns])
+
+    return run
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the n + 1 places where its texts begin; null: empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")

@@ -142,6 +142,7 @@ def _joined(a: dict | None, b: dict) -> dict:
     return {"n_words": b["n_words"], "spans": spans, "items": sorted({*a["items"], *b["items"]})}
 
 
+@B.any_names
 def find_passages(
     documents: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id",
     item_text: str = "text", window: int = 10, keep_text: bool = True, out: str = "passages",
@@ -184,6 +185,7 @@ def find_passages(
     return df
 
 
+@B.any_names
 def without_passages(found: DataFrame, *, text: str = "text", passages: str = "passages", drop_share: float = 0.5) -> DataFrame:
     """Cut the spans out of the texts; rows of which over ``drop_share`` of the words are hit go.
 

@@ -8,12 +8,12 @@ with most bytes in spans.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +37,7 @@ SCRIPTS = {
     "hangul": [(0x1100, 0x11FF), (0xAC00, 0xD7AF)], "kana": [(0x3040, 0x30FF)], "han": [(0x3400, 0x9FFF)],
 }
 _LETTERS = B.byte_class((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
-_ANY_LETTER = re.compile(r"[^\W\d_]")
+_ANY_LETTER = regex.compile(r"\p{L}")
 
 
 def _script_of(points: np.ndarray) -> np.ndarray:
@@ -165,6 +165,7 @@ def viterbi(scores: np.ndarray, at: np.ndarray, switch: float) -> np.ndarray:
     return labels
 
 
+@B.any_names
 def labelled(documents: DataFrame, model: Model, *, text: str = "text", switch: float = SWITCH, keep_text: bool = True, spans: bool = True) -> DataFrame:
     """Add lang_pred, score (share of the letter bytes in that language's spans) and lang_spans.
 

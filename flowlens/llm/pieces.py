@@ -257,6 +257,7 @@ def _decoded(ids: np.ndarray, sizes: np.ndarray, vocab: Vocabulary) -> list[str]
     return [raw[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
+@B.any_names
 def encode(
     documents: DataFrame, path: str, *, text: str = "text", out: str = "ids", keep_text: bool = True, decoded: str | None = None
 ) -> DataFrame:
@@ -284,6 +285,7 @@ def encode(
     return df.mapInArrow(run, T.StructType([*kept, *added]))
 
 
+@B.any_names
 def decode(documents: DataFrame, path: str, *, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add the text of each list of ids; null or empty lists give the empty text.
 

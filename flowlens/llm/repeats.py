@@ -332,6 +332,7 @@ def _found(pieces: DataFrame, window: int, buckets: int) -> DataFrame:
     return pieces.groupBy("bucket").applyInArrow(find, _MARKS)
 
 
+@B.any_names
 def repeated_spans(
     documents: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 100, keep_text: bool = True,
     out: str = "repeats",
@@ -411,6 +412,7 @@ def _alike(texts: _Texts) -> list[np.ndarray]:
     return [order[first + np.minimum(k, size - 1)] for k in range(int(size.max(initial=1)))]
 
 
+@B.any_names
 def without_repeats(found: DataFrame, *, text: str = "text", repeats: str = "repeats") -> DataFrame:
     """Cut the spans out of the texts, leaving characters whole; rows of which only blanks are left go.
 

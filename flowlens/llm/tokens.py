@@ -171,6 +171,7 @@ def heavy_hitters(documents: DataFrame, path: str, *, text: str = "text", limit:
     return found.groupBy("pre_token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pre_token").limit(limit)
 
 
+@B.any_names
 def count_tokens(
     documents: DataFrame, path: str, *, text: str = "text", n_bytes: str = "n_bytes", n_tokens: str = "n_tokens",
     keep_text: bool = True, table_size: int = TABLE_SIZE,

@@ -322,6 +322,7 @@ def learn(labelled: DataFrame, costs: np.ndarray, *, text: str = "text", label:
     return Evidence(prints[used], weights[used], float(fitted.intercept), costs)
 
 
+@B.any_names
 def scored(
     documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic",
     out: str = "score", max_labelled: int = MAX_LABELLED, keep_text: bool = True,
