@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.llm import decontaminate, language, near, pieces, repeats
+from flowlens.llm.batches import name
 from flowlens.llm.queries import table, tokenizer
 from flowlens.session import work_path
 
@@ -19,10 +20,14 @@ MAIN_LANGUAGE = 0.5
 #: A text is dropped, not cut, if benchmark passages hold more than this share of its words.
 PASSAGE_SHARE = 0.5
 #: What counts as a letter in ``language.labelled``.
-LETTER = r"[\p{L}\p{Nl}\p{No}]"
+LETTER = r"\p{L}"
 MODEL = "piece_bpe_32k.model"
 
 
+def _columns(docs: DataFrame) -> list:
+    return [name(c) for c in docs.columns]
+
+
 def _recounted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long"))
 
@@ -34,24 +39,24 @@ def one_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
         return docs.where(F.col("text").rlike(LETTER))
     found = language.labelled(docs, model, spans=False)
     kept = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MAIN_LANGUAGE))
-    return kept.select(docs.columns)
+    return kept.select(*_columns(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates keep the document of smallest id."""
     gone = near.near_duplicates(docs, words=5, percent=80).where(~F.col("kept")).select(F.col("id").alias("doc_id"))
-    return docs.join(gone.distinct(), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone.distinct(), "doc_id", "left_anti").select(*_columns(docs))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut out what an earlier document, or the same one before, already says."""
-    return _recounted(repeats.without_repeats(repeats.repeated_spans(docs))).select(docs.columns)
+    return _recounted(repeats.without_repeats(repeats.repeated_spans(docs))).select(*_columns(docs))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut out benchmark passages; documents that are mostly such passages go."""
     found = decontaminate.find_passages(docs, table(spark, sf_dir, "benchmark"))
-    return _recounted(decontaminate.without_passages(found, drop_share=PASSAGE_SHARE)).select(docs.columns)
+    return _recounted(decontaminate.without_passages(found, drop_share=PASSAGE_SHARE)).select(*_columns(docs))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +64,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = tokenizer(MODEL)
     back = pieces.encode(docs, path, decoded="decoded")
     plain = F.replace(F.coalesce("text", F.lit("")), F.lit(pieces.BLANK), F.lit(" "))
-    return back.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == plain).alias("round_trip"))
+    return back.select(*_columns(docs), "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == plain).alias("round_trip"))
 
 
 STAGES = [
@@ -77,8 +82,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each result is written and read again."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = work_path(spark, f"pipeline-{name}")
+    for label, stage in STAGES:
+        path = work_path(spark, f"pipeline-{label}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
