@@ -136,10 +136,6 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-SHINGLE_SQL = r"""select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-  'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents"""
-
-
 @query("op2_minhash_near_dedup")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     found = near.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"), words=3, percent=85)
