@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowlens.operators import encode, oversample, prep, quantiles, selection, split, stats
+from flowlens.operators import encode, nearest, oversample, prep, quantiles, selection, split, stats
 from flowlens.plans.catalogue import query
 from flowlens.plans.catalogue.features import (
     EXTRACT_SQL,
@@ -389,21 +389,48 @@ def oversample_toxic_counts(spark, folder):
     return stats.class_balance(balanced, "toxic")
 
 
+@query("class_neighbours", """with d as (select a.label, a.vec_id, list_distance(a.embedding::double[], b.embedding::double[]) as d
+  from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id)
+  select label, vec_id, rank, round(d, 6) as distance from (select *, row_number() over
+    (partition by vec_id order by d) as rank from d) r where rank <= 5""")
+def class_neighbours(spark, folder):
+    """The distances of every vector's five nearest ones of its class, by cells of at most 256 vectors."""
+    found, rows = vector_neighbours(spark, folder)
+    lines = found.join(rows, ["label", "embedding"]).select("label", "vec_id", F.posexplode("near").alias("at", "x"))
+    distance = F.round(F.sqrt(F.col("x")["d"]), 6)
+    return lines.select("label", "vec_id", (F.col("at") + 1).cast("bigint").alias("rank"), distance.alias("distance"))
+
+
+def vector_neighbours(spark, folder):
+    """Each vector's neighbours, a vector of several rows as often as it has rows; and all rows."""
+    rows = table(spark, folder, "embeddings").where(F.col("label").isNotNull() & F.col("embedding").isNotNull())
+    rows = rows.select("label", "vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    points = rows.groupBy("label", "embedding").agg(F.count(F.lit(1)).alias("_rows"), F.lit(1).cast("bigint").alias("_copies"))
+    found = nearest.nearest_in_class(points, "label", "embedding", k=5, cell_rows=256)
+    one_each = F.flatten(F.transform("near", lambda x: F.array_repeat(x, F.least(x["n"], F.lit(5)).cast("int"))))
+    return found.withColumn("near", F.slice(one_each, 1, 5)), rows
+
+
 @query("oversample_rows", """with n as (select label, count(*) as n from embeddings group by label)
-  select label, max(n) over () - n as n_synthetic, true as of_its_width, true as within_its_class from n""")
+  select label, max(n) over () - n as n_synthetic, true as of_its_width, true as between_neighbours from n""")
 def oversample_rows(spark, folder):
-    """Synthetic rows per class; every component lies between the least and the greatest of its class."""
-    rows = oversampled(spark, folder)
-    parts = rows.select("label", "synthetic", F.size("embedding").alias("width"), F.posexplode("embedding").alias("at", "x"))
-    sides = parts.groupBy("label", "at").agg(*[
-        f(F.when(F.col("synthetic") == made, F.col("x"))).alias(name)
-        for made, f, name in ((False, F.min, "low"), (False, F.max, "high"), (True, F.min, "least"), (True, F.max, "most"))])
-    inside = (F.coalesce("least", "low") >= F.col("low") - 1e-9) & (F.coalesce("most", "high") <= F.col("high") + 1e-9)
-    inside = sides.groupBy("label").agg(F.every(inside).alias("within_its_class"))
-    counts = rows.groupBy("label").agg(
-        F.count_if("synthetic").alias("n_synthetic"), F.every(F.size("embedding") == 64).alias("of_its_width")
+    """Synthetic rows per class; each lies between a row of its class and one of its five nearest.
+
+    What the nearest ones are is compared with SQL by ``class_neighbours``.
+    """
+    vectors = table(spark, folder, "embeddings")
+    rows = oversample.balance_classes(vectors, "label", "embedding", "vec_id", traced=True)
+    found, _ = vector_neighbours(spark, folder)
+    found = found.select("label", F.col("embedding").alias("base"), F.transform("near", lambda x: x["v"]).alias("near"))
+    rows = rows.join(found, ["label", "base"], "left")
+    length = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x))
+    detour = length("base", "embedding") + length("embedding", "other") - length("base", "other")
+    between = F.array_contains("near", F.col("other")) & (detour <= 1e-6)
+    return rows.groupBy("label").agg(
+        F.count_if("synthetic").alias("n_synthetic"),
+        F.every(F.size("embedding") == 64).alias("of_its_width"),
+        F.coalesce(F.every(F.when(F.col("synthetic"), F.coalesce(between, F.lit(False)))), F.lit(True)).alias("between_neighbours"),
     )
-    return counts.join(inside, "label")
 
 
 def _score_sql(expression: str, digits: int) -> str:

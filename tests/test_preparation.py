@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowlens.operators import encode, features, oversample, prep, quantiles, selection, split
+from flowlens.operators import encode, features, nearest, oversample, prep, quantiles, selection, split
 
 INF, NAN = float("inf"), float("nan")
 
@@ -179,15 +179,74 @@ def test_oversampling(spark, cell_rows):
     assert sorted(map(repr, again.collect())) == sorted(map(repr, rows_out))
 
 
-def test_neighbours_are_the_nearest():
+def _brute(vectors, rows, k):
+    """The sorted distances of each vector's k nearest rows, copies included."""
+    found = []
+    for i, v in enumerate(vectors):
+        far = np.sqrt(((vectors - v) ** 2).sum(axis=1))
+        counts = rows.copy()
+        counts[i] -= 1
+        order = np.argsort(far)[: k + 1]
+        found.append(np.repeat(far[order], np.minimum(counts[order], k))[:k])
+    return found
+
+
+def _neighbour_distances(spark, vectors, rows, k, cell_rows, label=1):
+    data = [(label, [float(x) for x in v], int(n), 1) for v, n in zip(vectors, rows, strict=True)]
+    points = spark.createDataFrame(data, "label int, features array<double>, _rows bigint, _copies bigint")
+    out = nearest.nearest_in_class(points.repartition(4), "label", "features", k, cell_rows=cell_rows).collect()
+    assert len(out) == len(vectors)
+    return {
+        tuple(r["features"]): (
+            [x["d"] ** 0.5 for x in r["near"] for _ in range(min(x["n"], k))][:k],
+            [tuple(x["v"]) for x in r["near"]],
+        )
+        for r in out
+    }
+
+
+@pytest.mark.parametrize("width, n, cell_rows", [(2, 600, 40), (6, 300, 1000), (3, 3, 2), (2, 1, 5), (8, 300, 80)])
+def test_neighbours_are_exact(spark, width, n, cell_rows):
+    rng = np.random.default_rng(width)
+    vectors = rng.normal(size=(n, width)) + rng.integers(0, 3, size=(n, 1)) * 20
+    rows = np.where(rng.random(n) < 0.1, 7, 1)
+    got = _neighbour_distances(spark, vectors, rows, 5, cell_rows)
+    for v, expected in zip(vectors, _brute(vectors, rows, 5), strict=True):
+        assert got[tuple(v)][0] == pytest.approx(list(expected), abs=1e-9)
+
+
+def test_neighbours_do_not_depend_on_the_cells(spark):
+    grid = np.array([(x, y) for x in range(12) for y in range(12)], dtype=float)  # ties everywhere
+    ones = np.ones(len(grid), dtype=int)
+    assert _neighbour_distances(spark, grid, ones, 3, 10) == _neighbour_distances(spark, grid, ones, 3, 500)
+
+
+def test_neighbours_of_twenty_thousand_vectors(spark):
+    rng = np.random.default_rng(1)
+    vectors = rng.normal(size=(20_000, 4)) * [1, 1, 1, 0.1] + rng.integers(0, 40, size=(20_000, 1))
+    got = _neighbour_distances(spark, vectors, np.ones(20_000, dtype=int), 5, 1_000)
+    for i, (found, far) in enumerate(nearest.nearest(vectors, vectors, 6)):
+        assert found[0] == i
+        assert got[tuple(vectors[i])][0] == pytest.approx(list(np.sqrt(far[1:])), abs=1e-9)
+
+
+def test_synthetic_rows_are_the_same_for_any_cells(spark):
+    rng = np.random.default_rng(4)
+    data = [(i, int(i % 4 == 0), [float(x) for x in rng.normal(size=3)]) for i in range(400)]
+    df = spark.createDataFrame(data, "id bigint, label int, features array<double>")
+    made = [
+        sorted(map(repr, oversample.balance_classes(df, "label", cell_rows=c, traced=True).where("synthetic").collect()))
+        for c in (9, 2_048)
+    ]
+    assert len(made[0]) == 200 and made[0] == made[1]
+
+
+def test_nearest_equals_differences():
     rng = np.random.default_rng(0)
-    vectors = rng.normal(size=(40, 3))
-    near = oversample._nearest(vectors, np.ones(40, dtype=int), 5, block=7)
-    for i, found in enumerate(near):
+    vectors = rng.normal(size=(40, 3)) + 1e6  # products alone would lose the distances
+    for i, (found, _) in enumerate(nearest.nearest(vectors, vectors, 6, block=7)):
         distance = ((vectors - vectors[i]) ** 2).sum(axis=1)
-        assert set(found) == set(np.argsort(distance)[1:6])
-    copies = oversample._nearest(vectors, np.array([9] + [1] * 39), 5)
-    assert list(copies[0]) == [0] * 5  # the copies of a vector are its neighbours
+        assert list(found) == list(np.argsort(distance, kind="stable")[:6])
 
 
 def test_one_class_is_left_alone(spark):
