@@ -92,14 +92,19 @@ def detection_feed(
     return writer.start()
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_available(
+    stream: DataFrame, name: str, mode: str = "append", path: str | None = None, checkpoint: str | None = None
+) -> DataFrame:
     """Run a stream over the input there is and return what it wrote.
 
+    With the ``path`` and ``checkpoint`` of an earlier run it goes on where that one ended.
+
     Append mode writes parquet files. The other modes keep only the newest batch of
     changed rows per batch number, which a reader then folds by key.
     """
     spark = stream.sparkSession
-    path, checkpoint = work_path(spark, name), work_path(spark, f"{name}-checkpoint")
+    path = path or work_path(spark, name)
+    checkpoint = checkpoint or work_path(spark, f"{name}-checkpoint")
     if mode == "append":
         writer = stream.writeStream.format("parquet").option("path", path)
     else:

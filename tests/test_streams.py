@@ -1,3 +1,4 @@
+import pytest
 from test_flows import SCHEMA, brute_force, spark_result
 
 from flowlens.operators import flows
@@ -107,3 +108,37 @@ def test_duplicates_across_batches(spark, tmp_path):
     stream = files(spark, tmp_path / "in", parts).withColumn("timestamp", F.timestamp_micros("t_us"))
     out = feeds.run_available(feeds.without_duplicates(stream), "once")
     assert sorted(r["packet_id"] for r in out.collect()) == [1, 2, 3, 4, 5, 6]
+
+
+def test_closed_and_open_flows_are_all_flows(spark, tmp_path):
+    """Late and repeated packets, one behind the watermark, a restart, and flows without sizes."""
+    size_free = (11, "e", BASE + 175 * S, None)
+    parts = [
+        [PARTS[0][0], *PARTS[0][2:]],
+        [PARTS[0][1], *PARTS[1]],  # packet 2 comes late
+        [*PARTS[2], PARTS[0][2], PARTS[2][1], size_free],  # packets 3 and 8 come again
+        [(12, "d", BASE + 2000 * S, 5)],
+        [(13, "a", BASE + 1 * S, 5), (14, "d", BASE + 2030 * S, 7)],  # packet 13 is too late
+    ]
+    path, checkpoint = f"{tmp_path}/out", f"{tmp_path}/checkpoint"
+    for i in range(len(parts)):
+        stream = files(spark, tmp_path / "in", [parts[i]] if i else parts[:1])
+        closing = stream_flows.closed_flow_stream(stream, delay="300 seconds", repeated=True)
+        closed = feeds.run_available(closing, "closed", path=path, checkpoint=checkpoint)
+        got = closed.unionByName(stream_flows.open_flows(spark, checkpoint))
+        seen = {r[0]: r for part in parts[: i + 1] for r in part if r[0] != 13}
+        want = flows.flow_summary(spark.createDataFrame(list(seen.values()), SCHEMA))
+        columns = sorted(got.columns)
+        assert sorted(map(repr, got.select(columns).collect())) == sorted(map(repr, want.select(columns).collect()))
+    assert closed.count() and stream_flows.open_flows(spark, checkpoint).count() == 1
+
+
+def test_open_flows_of_another_stream_are_refused(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    timed = files(spark, tmp_path / "in", PARTS).withColumn("time", F.timestamp_micros("t_us"))
+    once = feeds.without_duplicates(timed, "time")
+    checkpoint = f"{tmp_path}/checkpoint"
+    feeds.run_available(once, "once", checkpoint=checkpoint)
+    with pytest.raises(ValueError, match="no sessions"):
+        stream_flows.open_flows(spark, checkpoint)
