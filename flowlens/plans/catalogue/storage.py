@@ -64,10 +64,11 @@ def load_into_buffer(spark, folder):
 
 
 @query("csv_union", """select l_orderkey, l_linenumber, case when l_linenumber % 3 <> 2 then l_quantity
-  end as l_quantity, case when l_linenumber % 3 <> 1 then l_returnflag end as l_returnflag
-  from lineitem""")
+  end as l_quantity, case when l_linenumber % 3 <> 1 then l_returnflag end as l_returnflag,
+  1::bigint as skipped_files, cast(null as varchar) as broken_row from lineitem
+  union all select -1, -1, 7, null, 1, '7.0,-1,-1,more'""")
 def csv_union(spark, folder):
-    """CSV files with three headers, one empty file, columns united by name."""
+    """CSV files with three headers, one empty file and one row too long, columns united by name."""
     lines = table(spark, folder, "lineitem")
     path = work_path(spark, "corpus")
     headers = [
@@ -78,20 +79,23 @@ def csv_union(spark, folder):
     for i, names in enumerate(headers):
         part = lines.where(F.col("l_linenumber") % 3 == i).select(*names)
         part.write.mode("append").csv(path, header=True)
-    _add_empty_file(spark, path)
-    df, _ = corpus.read_csv_corpus(spark, path)
+    _add_file(spark, f"{path}/empty.csv", "")  # as left by a broken download
+    _add_file(spark, f"{path}/long.csv", "l_quantity,l_orderkey,l_linenumber\n7.0,-1,-1,more\n")
+    df, skipped = corpus.read_csv_corpus(spark, path, broken="broken_row")
     return df.select(
         F.col("l_orderkey").cast("bigint"), F.col("l_linenumber").cast("int"),
         F.col("l_quantity").cast("double"), "l_returnflag",
+        F.lit(skipped.count()).cast("bigint").alias("skipped_files"), "broken_row",
     )
 
 
-def _add_empty_file(spark, path):
-    """An empty file among the corpus files, as left by a broken download."""
-    jvm = spark.sparkContext._jvm
-    empty = jvm.org.apache.hadoop.fs.Path(f"{path}/broken.csv")
-    system = empty.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    system.create(empty).close()
+def _add_file(spark, path, text):
+    """A file of given text among the corpus files."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    stream = system.create(target)
+    stream.write(bytearray(text, "utf-8"))
+    stream.close()
 
 
 @query("feedback_store", f"""{WITH_FEEDBACK} select model_name, packet_id, prediction, actual,

@@ -92,7 +92,7 @@ def test_csv_corpus(spark, tmp_path):
     (tmp_path / "c.csv").write_text("")
     (tmp_path / "notes.txt").write_text("x,y\n9,9\n")
     df, skipped = corpus.read_csv_corpus(spark, str(tmp_path))
-    assert [s.rsplit("/", 1)[1] for s in skipped] == ["c.csv"]
+    assert [(r["path"].rsplit("/", 1)[1], r["reason"]) for r in skipped.collect()] == [("c.csv", "no header")]
     rows = sorted((r["x"], r["y"], r["z"]) for r in df.na.fill(0).na.fill("").collect())
     assert rows == [(0, 3, "w"), (0, 4, "v"), (1, 2, "")]
     given, _ = corpus.read_csv_corpus(spark, str(tmp_path), {"x,y": "x string, y int"})
@@ -102,6 +102,44 @@ def test_csv_corpus(spark, tmp_path):
         corpus.read_csv_corpus(spark, str(tmp_path / "none"))
 
 
+def test_csv_files_that_cannot_be_used(spark, tmp_path):
+    (tmp_path / "a b%20.csv").write_text("x,y\r\n1,2\r\n")
+    (tmp_path / "blank.csv").write_text("  \n1,2\n")
+    (tmp_path / "bytes.csv").write_bytes(b"\xff\xfe,y\n1,2\n")
+    (tmp_path / "long.csv").write_text("x" * (corpus.HEADER_BYTES + 5))
+    (tmp_path / "wide.csv").write_text(",".join(f"c{i}" for i in range(9_000)))  # more than one chunk, no rows
+    found = {r["path"].rsplit("/", 1)[1]: r for r in corpus.csv_headers(spark, str(tmp_path)).collect()}
+    assert found["a b%20.csv"]["header"] == "x,y" and found["a b%20.csv"]["reason"] is None
+    assert found["wide.csv"]["header"].endswith(",c8999")
+    assert "longer" in found["long.csv"]["reason"] and found["blank.csv"]["reason"] == "no header"
+    assert "utf-8" in found["bytes.csv"]["reason"]
+    with pytest.raises(ValueError, match="no CSV files"):
+        corpus.read_csv_corpus(spark, str(tmp_path / "absent"))
+
+
+def test_broken_csv_rows_are_reported(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n3\n4,5,6\n7,\n")
+    (tmp_path / "b.csv").write_text("y,z\n8,w\n")
+    df, skipped = corpus.read_csv_corpus(spark, str(tmp_path), broken="bad")
+    assert skipped.count() == 0
+    rows = {(r["x"], r["y"], r["z"], r["bad"]) for r in df.collect()}
+    assert rows == {(1, 2, None, None), (3, None, None, "3"), (4, 5, None, "4,5,6"), (7, None, None, None), (None, 8, "w", None)}
+    typed, _ = corpus.read_csv_corpus(spark, str(tmp_path), {"y,z": "y int, z int"}, broken="bad")
+    assert [(r["y"], r["z"], r["bad"]) for r in typed.where("y = 8").collect()] == [(8, None, "8,w")]
+    with pytest.raises(ValueError, match="column x"):
+        corpus.read_csv_corpus(spark, str(tmp_path), broken="x")
+
+
+def test_many_files_with_many_headers(spark, tmp_path):
+    for i in range(600):
+        (tmp_path / f"{i}.csv").write_text(f"id,c{i % 12}\n{i},{i * 2}\n")
+    (tmp_path / "empty.csv").write_text("")
+    schemas = {f"id,c{i}": f"id int, c{i} int" for i in range(12)}
+    df, skipped = corpus.read_csv_corpus(spark, str(tmp_path), schemas)
+    got = {r["id"]: [v for k, v in r.asDict().items() if k != "id" and v is not None] for r in df.collect()}
+    assert got == {i: [i * 2] for i in range(600)} and skipped.count() == 1
+
+
 def test_training_on_the_small_corpus(spark, tmp_path):
     for i in range(10):
         (tmp_path / f"{i}.csv").write_text(LABELLED)
