@@ -8,6 +8,7 @@ from flowlens.operators import filters, stats
 from flowlens.operators.filters import Rule
 from flowlens.plans.catalogue import query
 from flowlens.plans.views import WITH_PACKETS, packets, table
+from flowlens.session import materialized
 
 RULES = [Rule("ip", "src_ip", "192.168.1.1"), Rule("port", "dst_port", 53)]
 PACKET_COLUMNS = (
@@ -89,6 +90,23 @@ def scan_suspects(spark, folder):
     return stats.scan_suspects(packets(spark, folder), threshold=10).select("src_ip", "dst_ip")
 
 
+def _rolled_sql(name, length_us):
+    return f"""select '{name}' as span, make_timestamp(t_us // {length_us} * {length_us}) as window_start, protocol,
+  src_ip, dst_ip, count(*) as packets, count(distinct nullif(dst_port, 0)) as n_ports from packets group by all"""
+
+
+@query("scan_sketches", f"""{WITH_PACKETS} {_rolled_sql("hour", 3_600_000_000)}
+  union all {_rolled_sql("day", 86_400_000_000)}""")
+def scan_sketches(spark, folder):
+    """Ports per hour and day, from stored sketches per minute: hours from minutes, days from hours."""
+    timed = packets(spark, folder).withColumn("timestamp", F.timestamp_micros("t_us"))
+    minutes = materialized(stats.port_sketches(timed), "minute-sketches")
+    hours = materialized(stats.rolled_up(minutes, "1 hour"), "hour-sketches")
+    spans = [hours.withColumn("span", F.lit("hour")), stats.rolled_up(hours, "1 day").withColumn("span", F.lit("day"))]
+    counted = stats.port_counts(spans[0].unionByName(spans[1])).drop("ports")
+    return counted.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 @query("distinct_ports",
        f"{WITH_PACKETS} select distinct dst_port from packets where dst_port <> 0")
 def distinct_ports(spark, folder):

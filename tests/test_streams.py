@@ -142,3 +142,35 @@ def test_open_flows_of_another_stream_are_refused(spark, tmp_path):
     feeds.run_available(once, "once", checkpoint=checkpoint)
     with pytest.raises(ValueError, match="no sessions"):
         stream_flows.open_flows(spark, checkpoint)
+
+
+def test_port_sketches_of_a_stream_equal_those_of_all_packets(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from flowlens.operators import stats
+
+    schema = "packet_id bigint, t_us bigint, protocol string, src_ip string, dst_ip string, dst_port bigint"
+    rows = [
+        (i, BASE + i * S // 2, "tcp", "a", "b" if i % 3 else "c", [80, 0, None, 5_000 + i % 400][i % 4]) for i in range(4_000)
+    ]
+    rows += [(5_000, BASE, "tcp", None, "b", 1), (5_001, BASE, None, "a", "b", 1)]
+    for i in range(3):
+        spark.createDataFrame(rows[i::3], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
+    timed = reader.parquet(f"{tmp_path}/in").withColumn("timestamp", F.timestamp_micros("t_us"))
+    changes = feeds.run_available(stats.port_sketches(timed.withWatermark("timestamp", "1 hour")), "sketches", mode="update")
+    newest = changes.groupBy("window_start", "protocol", "src_ip", "dst_ip").agg(F.max_by(F.struct("packets", "ports"), "batch").alias("x"))
+    newest = newest.select("window_start", "protocol", "src_ip", "dst_ip", "x.*")
+    batch = spark.createDataFrame(rows, schema).withColumn("timestamp", F.timestamp_micros("t_us"))
+
+    def hours(sketches):
+        counted = stats.port_counts(stats.rolled_up(sketches, "1 hour")).drop("ports")
+        return sorted(map(repr, counted.collect()))
+
+    assert hours(newest) == hours(stats.port_sketches(batch))
+    exact = {}
+    for _, t, protocol, src, dst, port in rows:
+        if src and protocol and port:
+            exact.setdefault((t // (3600 * S), dst), set()).add(port)
+    got = {r["dst_ip"]: r["n_ports"] for r in stats.port_counts(stats.rolled_up(newest, "1 day")).collect()}
+    assert sum(got.values()) == sum(len(set().union(*[p for (_, d), p in exact.items() if d == dst])) for dst in ("b", "c"))
