@@ -2,15 +2,18 @@
 
 The new words of a slice are put one after another; their suffixes are sorted as deep as the
 longest piece, every piece is found in them by binary search, and its occurrences become
-edges sorted by position. Then the edges are relaxed in the model's order: all words step
-together, and each takes its best edge over two neighbouring symbols until none is left.
-A word is a run of blanks and what follows it; no piece reaches over its border.
+edges sorted by position. A word is a run of blanks and what follows it; no piece reaches
+over its border. A word is cut further wherever no edge crosses, which changes nothing.
+Then the edges are relaxed in the model's order: short parts step together, each taking its
+best edge over two neighbouring symbols until none is left; a long part, such as a page
+without a blank, keeps its edges in a heap, so its time grows with n log n.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +25,10 @@ from flowlens.llm import batches as B
 
 #: Bytes of text encoded together.
 SLICE_BYTES = 1 << 20
-#: Symbols matched at a time, words a worker remembers, and ids decoded at a time.
-MATCHED, REMEMBERED, DECODED = 150_000, 200_000, 300_000
+#: Symbols matched at a time, words and ids a worker remembers, and ids decoded at a time.
+MATCHED, REMEMBERED, REMEMBERED_IDS, DECODED = 150_000, 200_000, 2_000_000, 300_000
+#: Parts of more symbols than this are relaxed by a heap.
+STEPPED = 48
 BLANK = "▁"
 _NONE = np.iinfo(np.int64).max
 
@@ -130,16 +135,88 @@ def edges(symbols: np.ndarray, vocab: Vocabulary) -> np.ndarray:
     return table
 
 
-def _relaxed(table: np.ndarray, start: np.ndarray, end: np.ndarray, word: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spans of the final symbols. Every word takes its edge of best rank, the leftmost of equals, in each step."""
+def edge_table(symbols: np.ndarray, vocab: Vocabulary) -> np.ndarray:
+    """``edges`` of any number of symbols, matched in blocks that overlap by the longest piece."""
+    if len(symbols) <= 2 * MATCHED:
+        return edges(symbols, vocab)
+    table = np.full((len(symbols), vocab.longest + 1), -1, np.int32)
+    for at in range(0, len(symbols), MATCHED):
+        block = symbols[at : at + MATCHED + vocab.longest]
+        table[at : at + MATCHED] = edges(block, vocab)[:MATCHED]
+    return table
+
+
+def uncrossed(table: np.ndarray) -> np.ndarray:
+    """The part of each position: parts meet where no edge crosses, so no edge of one changes another."""
+    reach = np.ones(len(table), np.int64)
+    for size in range(2, table.shape[1]):
+        reach[table[:, size] >= 0] = size
+    reach = np.maximum.accumulate(reach + np.arange(len(table)))
+    return np.r_[0, np.cumsum(reach[:-1] <= np.arange(1, len(table)))]
+
+
+def _relaxed(table: np.ndarray, place: np.ndarray, part: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of the final symbols, in order. Each part takes its edge of best rank, the leftmost of equals, again and again."""
+    first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    count = np.diff(np.r_[first, len(part)])
+    short = np.repeat(count <= STEPPED, count)
+    found = [_stepped(table, place[short], part[short], ranks)]
+    if not short.all():
+        by_piece = ranks.tolist()
+        for at in np.flatnonzero(count > STEPPED).tolist():
+            begin = int(place[first[at]])
+            found.append(_heaped(table[begin : begin + count[at]], begin, ranks, by_piece))
+    start, end = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(start)
+    return start[order], end[order]
+
+
+def _heaped(table: np.ndarray, begin: int, ranks: np.ndarray, by_piece: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of one part, whose edges wait in a heap by rank and place; an edge that no longer fits is passed over."""
+    n, width = table.shape
+    piece_of = memoryview(np.ascontiguousarray(table).reshape(-1))
+    piece = table[: n - 1, 2] if width > 2 else np.full(n - 1, -1)
+    at = np.flatnonzero(piece >= 0)
+    heap = np.sort(ranks[piece[at]] << 32 | at).tolist()
+    size = [1] * n
+    before = list(range(-1, n - 1))
+    while heap:
+        key = heappop(heap)
+        i = key & 0xFFFFFFFF
+        j = i + size[i]
+        if not size[i] or j >= n:
+            continue
+        total = size[i] + size[j]
+        found = piece_of[i * width + total] if total < width else -1
+        if found < 0 or by_piece[found] != key >> 32:
+            continue
+        size[i], size[j] = total, 0
+        after, ahead = i + total, before[i]
+        if after < n:
+            before[after] = i
+            joined = total + size[after]
+            if joined < width and (found := piece_of[i * width + joined]) >= 0:
+                heappush(heap, by_piece[found] << 32 | i)
+        if ahead >= 0:
+            joined = size[ahead] + total
+            if joined < width and (found := piece_of[ahead * width + joined]) >= 0:
+                heappush(heap, by_piece[found] << 32 | ahead)
+    sizes = np.array(size)
+    start = np.flatnonzero(sizes)
+    return start + begin, start + begin + sizes[start]
+
+
+def _stepped(table: np.ndarray, start: np.ndarray, part: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of many parts, which take one edge each at a time."""
     longest = table.shape[1] - 1
-    done_start, done_end = [], []
+    end = start + 1
+    done_start, done_end = [start[:0]], [start[:0]]
     while len(start):
         size = np.r_[end[1:], 0] - start
-        pair = np.r_[word[1:] == word[:-1], False] & (size <= longest)
+        pair = np.r_[part[1:] == part[:-1], False] & (size <= longest)
         piece = np.where(pair, table[start, np.where(pair, size, 0)], -1)
         rank = np.where(piece >= 0, ranks[piece] << 32 | np.arange(len(start)), _NONE)
-        first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         best = np.minimum.reduceat(rank, first)
         ended = np.repeat(best == _NONE, np.diff(np.r_[first, len(start)]))
         done_start.append(start[ended])
@@ -148,10 +225,8 @@ def _relaxed(table: np.ndarray, start: np.ndarray, end: np.ndarray, word: np.nda
         end[taken] = end[taken + 1]
         keep = ~ended
         keep[taken + 1] = False
-        start, end, word = start[keep], end[keep], word[keep]
-    start, end = np.concatenate(done_start), np.concatenate(done_end)
-    order = np.argsort(start)
-    return start[order], end[order]
+        start, end, part = start[keep], end[keep], part[keep]
+    return np.concatenate(done_start), np.concatenate(done_end)
 
 
 def encode_words(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -170,8 +245,8 @@ def encode_words(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.
         shown = np.insert(own, border, 0)
         word = np.repeat(np.arange(stop - at), sizes[at:stop])
         place = np.arange(len(own)) + word
-        table = edges(symbols, vocab)
-        start, end = _relaxed(table, place, place + 1, word, vocab.ranks)
+        table = edge_table(symbols, vocab)
+        start, end = _relaxed(table, place, uncrossed(table)[place], vocab.ranks)
         piece = table[start, end - start]
         owner = np.searchsorted(border + np.arange(stop - at), start, side="right")
         width = np.ones(len(piece), np.int64)
@@ -201,7 +276,7 @@ class _Known:
         self.ids = np.zeros(0, np.int32)
 
     def add(self, prints: np.ndarray, ids: np.ndarray, at: np.ndarray) -> None:
-        if len(self.prints) + len(prints) > REMEMBERED:
+        if len(self.prints) + len(prints) > REMEMBERED or len(self.ids) + len(ids) > REMEMBERED_IDS:
             self.__init__()
         counts = np.r_[np.diff(self.at), np.diff(at)]
         begin = np.r_[self.at[:-1], at[:-1] + len(self.ids)]

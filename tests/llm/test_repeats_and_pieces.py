@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -107,6 +108,46 @@ def test_pieces_match_the_library():
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [library.encode(t or "") for t in part]
 
 
+def unbroken_texts(n):
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    signs = "日本語的是不了人我在有中国这個漢字をはにのがと한글"
+    return {
+        "base64": "".join(rng.choices(letters, k=n)),
+        "signs": "".join(rng.choices(signs, k=n)),
+        "one letter": "a" * n,
+        "repeated": ("internationalisation" * n)[:n],
+        "blanks": " " * n,
+        "mixed": "".join(rng.choices(["the", "ing", "日", "é", "1", "aa", "_", "😀"], k=n // 2)),
+    }
+
+
+def test_long_words_match_the_library():
+    library = SentencePieceProcessor(model_file=PIECES)
+    for size in (49, 4_000, 50_000):
+        texts = list(unbroken_texts(size).values())
+        ids, at = pieces.encoded_texts(pa.array(texts, pa.string()), PIECES)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [library.encode(t) for t in texts]
+
+
+def test_a_million_characters_without_a_blank():
+    library = SentencePieceProcessor(model_file=PIECES)
+    texts = unbroken_texts(1_000_000)
+    for name in ("base64", "signs"):
+        began = time.process_time()
+        ids, _ = pieces.encoded_texts(pa.array([texts[name]], pa.string()), PIECES)
+        assert time.process_time() - began < 60
+        assert ids.tolist() == library.encode(texts[name])
+
+
+def test_words_remembered_stay_bounded(monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED_IDS", 1_000)
+    library = SentencePieceProcessor(model_file=PIECES)
+    for text in (unbroken_texts(700 + k)["base64"] for k in range(6)):
+        assert pieces.encoded_texts(pa.array([text]), PIECES)[0].tolist() == library.encode(text)
+        assert len(pieces._known[PIECES].ids) <= 1_000
+
+
 def test_pieces_round_trip(spark):
     docs = edges.frame(spark).withColumnRenamed("source", "ids")
     back = pieces.decode(pieces.encode(docs, PIECES), PIECES)
