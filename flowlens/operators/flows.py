@@ -3,8 +3,10 @@
 A flow is the traffic under one bidirectional key; a pause of more than the timeout ends
 a session. Sessions need the packets of a key in time order, so the plain form is a
 window per key. One busy key would then land in one task, so the rows of *hot* keys are
-first cut into time slices: windows run per (key, slice), and a small table with one row
-per hot slice carries the open session from slice to slice.
+first cut into slices of about equal rows, at quantiles of their times (and of their packet
+numbers, where many packets share one instant): windows run once per (key, slice), their
+result is kept as a table, and a small table with one row per hot slice carries the open
+session from slice to slice.
 """
 
 from __future__ import annotations
@@ -15,13 +17,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.numeric import sum_of_squares_sd
-from flowlens.session import materialized
+from flowlens.session import broadcast_if_small, materialized
 
 TIMEOUT_S = 60.0
 HOT_ROWS = 10_000_000
 # A list of up to this many hot keys is broadcast; a longer one is joined by shuffle.
 HOT_KEYS = 10_000
-SLICE_S = 60.0
+# Rows of a slice; a key of more than MAX_SLICES times as many gets larger slices.
+SLICE_ROWS = 2_000_000
+MAX_SLICES = 1024
+# Sketches hold this many values per slice: their rank error is then below a third of a slice.
+SKETCHED = 16
+# Keys whose cut points (up to MAX_SLICES numbers each) are broadcast.
+CUT_KEYS = 1_000
 # Rows without a key belong to no flow; they are spread over this many groups.
 KEYLESS_GROUPS = 4096
 
@@ -31,19 +39,19 @@ CARRY = ["n", "bytes", "squares", "low", "high", "start", "last"]
 def hot_keys(
     packets: DataFrame, hot_rows: int = HOT_ROWS, limit: int = HOT_KEYS
 ) -> DataFrame | None:
-    """The flow keys of more than ``hot_rows`` rows each, with a broadcast hint up to ``limit`` keys.
+    """The flow keys of more than ``hot_rows`` rows and their ``_rows``, with a broadcast hint up to ``limit`` keys.
 
     Found by a job of its own, a count that is combined before its shuffle, so that a
     table without such keys gets the plain plan. None where there are none.
     """
     counts = packets.where(F.col("flow_key").isNotNull()).groupBy("flow_key").count()
-    busy = counts.where(F.col("count") > hot_rows).select("flow_key", F.lit(True).alias("_hot"))
+    busy = counts.where(F.col("count") > hot_rows).select("flow_key", F.col("count").alias("_rows"))
     keys = [tuple(row) for row in busy.limit(limit + 1).collect()]
     if not keys:
         return None
     if len(keys) > limit:
         return materialized(busy, "hot-keys")
-    return F.broadcast(packets.sparkSession.createDataFrame(keys, "flow_key string, _hot boolean"))
+    return F.broadcast(packets.sparkSession.createDataFrame(keys, "flow_key string, _rows bigint"))
 
 
 def running_flows(
@@ -51,18 +59,21 @@ def running_flows(
     size: Column | None = None,
     timeout_s: float = TIMEOUT_S,
     hot_rows: int | None = HOT_ROWS,
-    slice_s: float = SLICE_S,
+    slice_s: float | None = None,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Each packet with the statistics of its flow session so far.
 
     Needs ``flow_key``, ``t_us``, ``packet_id``; order is ``(t_us, packet_id)``. Adds
     ``flow_session`` (1, 2, ... per key) and the nine ``flow_*`` features, all NULL where
     the key is NULL. ``hot_rows=None`` skips the search for hot keys, for tables known to
-    have none.
+    have none. A hot key is cut into slices of about ``slice_rows`` rows, however unevenly
+    its packets lie in time, or into spans of ``slice_s`` seconds where that is given. The
+    rows of hot keys are then written to the shared folder once.
     """
     x = F.col("packet_size") if size is None else size
     rows = packets.withColumns({"_open": F.lit(False), **_one_packet(x)})
-    merged = _merge(rows, timeout_s, hot_rows, slice_s)
+    merged = _merge(rows, timeout_s, hot_rows, slice_s, slice_rows)
     return _with_features(merged, packets.columns)
 
 
@@ -71,7 +82,8 @@ def continue_flows(
     open_flows: DataFrame,
     timeout_s: float = TIMEOUT_S,
     hot_rows: int | None = HOT_ROWS,
-    slice_s: float = SLICE_S,
+    slice_s: float | None = None,
+    slice_rows: int = SLICE_ROWS,
     held: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Running statistics of further packets of flows, and the sessions then open.
@@ -91,7 +103,7 @@ def continue_flows(
         *[F.col(name).alias(f"_w_{c}") for name, c in zip(OPEN_STATS, CARRY, strict=True)],
     )
     merged = _merge(
-        rows.unionByName(before, allowMissingColumns=True), timeout_s, hot_rows, slice_s
+        rows.unionByName(before, allowMissingColumns=True), timeout_s, hot_rows, slice_s, slice_rows
     )
     if held is not None:
         merged = held(merged)
@@ -144,27 +156,30 @@ def _one_packet(size: Column) -> dict[str, Column]:
 
 
 def _merge(
-    rows: DataFrame, timeout_s: float, hot_rows: int | None, slice_s: float
+    rows: DataFrame, timeout_s: float, hot_rows: int | None, slice_s: float | None, slice_rows: int
 ) -> DataFrame:
     """Rows with the running statistics ``_n`` ... ``_last`` and ``_session``."""
     timeout_us = round(timeout_s * 1_000_000)
-    slice_us = round(slice_s * 1_000_000)
     keyless = F.pmod(F.xxhash64("packet_id"), F.lit(KEYLESS_GROUPS))
     no_slice = F.when(F.col("flow_key").isNull(), keyless).otherwise(F.lit(0).cast("bigint"))
+    result = [*rows.columns, *[f"_{c}" for c in CARRY], "_session"]
 
     hot = None if hot_rows is None else hot_keys(rows, hot_rows)
+    plain = rows if hot is None else rows.join(hot, "flow_key", "left_anti")
+    local = _local_stats(plain.withColumn("_slice", no_slice), timeout_us)
+    local = local.withColumn("_session", F.col("_seg") + 1)
     if hot is None:
-        local = _local_stats(rows.withColumn("_slice", no_slice), timeout_us)
-        return local.withColumn("_session", F.col("_seg") + 1)
+        return local
 
+    busy = rows.join(hot.select("flow_key"), "flow_key", "left_semi")
+    if slice_s is not None:
+        sliced = busy.withColumn("_slice", F.expr(f"t_us div {round(slice_s * 1_000_000)}"))
+    else:
+        sliced = cut_by_rows(busy, hot, slice_rows)
     # The entry of an open session comes before all slices of its key.
-    time_slice = F.when(F.col("_open"), -(2**62)).otherwise(F.expr(f"t_us div {slice_us}"))
-    sliced = rows.join(hot, "flow_key", "left").withColumn(
-        "_slice", F.when(F.col("_hot"), time_slice).otherwise(no_slice)
-    )
-    hot_rows_only = rows.join(hot, "flow_key").withColumn("_slice", time_slice)
-    carry = _carried(_local_stats(hot_rows_only, timeout_us), timeout_us)
-    joined = _local_stats(sliced, timeout_us).join(carry, ["flow_key", "_slice"], "left")
+    first = F.when(F.col("_open"), -(2**62)).otherwise(F.coalesce("_slice", F.lit(-(2**61))))
+    kept = materialized(_local_stats(sliced.withColumn("_slice", first), timeout_us), "hot-flows")
+    joined = kept.join(_carried(kept, timeout_us), ["flow_key", "_slice"], "left")
 
     # Only the first segment of a slice continues the session carried into it.
     continues = F.coalesce((F.col("_seg") == 0) & F.col("_in_n").isNotNull(), F.lit(False))
@@ -174,8 +189,77 @@ def _merge(
         )
         for c, combine in _COMBINE.items()
     }
-    base = F.coalesce(F.col("_base"), F.lit(1).cast("bigint"))
-    return joined.withColumns({**merged, "_session": base + F.col("_seg")})
+    joined = joined.withColumns({**merged, "_session": F.col("_base") + F.col("_seg")})
+    return local.select(*result).unionByName(joined.select(*result))
+
+
+def cut_by_rows(rows: DataFrame, keys: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """The rows of ``keys`` (``flow_key``, ``_rows``) with a ``_slice`` of about ``slice_rows`` rows of one key each.
+
+    Slices follow the order ``(t_us, packet_id)``. Cut points are quantiles of a sketch of the
+    times of each key. A time that is a cut point more than once holds more rows than a slice:
+    it becomes slices of its own, cut at quantiles of a second sketch, of its packet numbers.
+    Null times come first. Rows equal in both stay in one slice.
+    """
+    wanted = F.least(F.lit(MAX_SLICES), F.ceil(F.col("_rows") / slice_rows)).cast("int")
+    most = keys.agg(F.max(wanted)).first()[0] or 1
+    if most < 2:
+        return rows.withColumn("_slice", F.lit(0).cast("bigint"))
+    cuts = rows.groupBy("flow_key").agg(_quantiles("t_us", most).alias("_grid")).join(keys, "flow_key")
+    cuts = cuts.select("flow_key", _spread(wanted, 4 * most).alias("_all"))
+    cuts = materialized(
+        cuts.select(
+            "flow_key",
+            F.array_distinct("_all").alias("_cuts"),
+            F.expr("map_from_entries(transform(array_distinct(filter(_all, (c, i) -> i > 0 and c = _all[i - 1])), "
+                   "c -> struct(c, size(filter(_all, d -> d = c)) + 1)))").alias("_instants"),
+        ),
+        "flow-cuts",
+    )
+    below = _count_below("_cuts", "t_us")
+    placed = rows.join(broadcast_if_small(cuts, CUT_KEYS), "flow_key")
+    is_instant = F.map_contains_key("_instants", F.coalesce("t_us", F.lit(0)))
+    placed = placed.withColumn("_instant", F.col("t_us").isNotNull() & is_instant)
+    placed = placed.withColumn("_slice", (2 * below + F.col("_instant").cast("bigint")) * MAX_SLICES)
+
+    full = cuts.select("flow_key", F.explode("_instants").alias("t_us", "_parts"))
+    most = full.agg(F.max("_parts")).first()[0]
+    if most is None:
+        return placed.select(*rows.columns, "_slice")
+    same = placed.where("_instant").groupBy("flow_key", "t_us").agg(_quantiles("packet_id", most).alias("_grid"))
+    same = same.join(full, ["flow_key", "t_us"])
+    same = materialized(
+        same.select("flow_key", "t_us", F.array_distinct(_spread(F.col("_parts"), 4 * most)).alias("_numbers")),
+        "flow-instants",
+    )
+    placed = placed.join(broadcast_if_small(same, CUT_KEYS), ["flow_key", "t_us"], "left")
+    within = F.coalesce(_count_below("_numbers", "packet_id"), F.lit(0))
+    return placed.withColumn("_slice", F.col("_slice") + within).select(*rows.columns, "_slice")
+
+
+def _quantiles(column: str, parts: int) -> Column:
+    """Quantiles of a column at 4 * parts - 1 equal steps, from a sketch that is merged across tasks."""
+    size = min(65_535, max(200, SKETCHED * parts))
+    steps = [i / (4 * parts) for i in range(1, 4 * parts)]
+    return F.kll_sketch_get_quantile_bigint(F.kll_sketch_agg_bigint(column, F.lit(size)), F.lit(steps))
+
+
+def _spread(parts: Column, steps: int) -> Column:
+    """The ``parts`` - 1 values of ``_grid``, the quantiles at ``steps`` equal steps, that cut into equal parts."""
+    nth = F.transform(
+        F.sequence(F.lit(1), F.greatest(parts, F.lit(2)) - 1),
+        lambda i: F.get("_grid", (F.floor(i * steps / parts) - 1).cast("int")),
+    )
+    return F.when(parts > 1, nth).otherwise(F.array().cast("array<bigint>"))
+
+
+def _count_below(cuts: str, value: str) -> Column:
+    """How many of the ascending ``cuts`` lie below a value, by halving; 0 for a null value."""
+    halves = F.array(*[F.lit(2**k) for k in reversed(range(MAX_SLICES.bit_length()))])
+    step = lambda at, half: F.when(
+        (at + half <= F.size(cuts)) & (F.get(cuts, at + half - 1) < F.col(value)), at + half
+    ).otherwise(at)
+    return F.aggregate(halves, F.lit(0), step).cast("bigint")
 
 
 def _local_stats(rows: DataFrame, timeout_us: int) -> DataFrame:

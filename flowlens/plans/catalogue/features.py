@@ -102,6 +102,12 @@ def flow_running_sliced(spark, folder):
     return running(spark, folder, hot_rows=3, slice_s=50.0)
 
 
+@query("flow_running_by_rows", RUNNING_SQL)
+def flow_running_by_rows(spark, folder):
+    """The same, with flows of more than 3 packets cut into slices of about 4 rows."""
+    return running(spark, folder, hot_rows=3, slice_rows=4)
+
+
 SUMMARY_COLUMNS = """min(t_us) as start_us, max(t_us) as end_us, count(*) as flow_packets,
   cast(sum(packet_size) as bigint) as flow_bytes,
   greatest(0.001e0, (max(t_us) - min(t_us)) / 1e6) as flow_duration,

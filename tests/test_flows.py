@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import pytest
 
@@ -73,6 +74,55 @@ def test_skewed_flows_equal_brute_force(spark, seed):
         assert spark_result(flows.running_flows(df, hot_rows=100, slice_s=width)) == want
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_slices_by_rows_equal_brute_force(spark, seed):
+    """Bursts, equal times, equal rows and pauses in two busy flows beside small ones and rows without a key."""
+    rng = random.Random(seed)
+    rows, t = [], -50_000_000
+    for pid in range(900):
+        t += rng.choice([0, 0, 0, 1, 500_000, 59_000_000, 61_000_000 if pid % 9 == 0 else 7])
+        at = t if pid % 5 else 1_000_000  # a fifth of all rows at one instant
+        rows.append((pid, rng.choice(["hot", "hot", "warm", None, f"k{pid % 25}"]), at, rng.choice([40, 1500, 65535])))
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), SCHEMA).repartition(5)
+    want = brute_force(rows)
+    for size in (7, 40, 10_000):
+        assert spark_result(flows.running_flows(df, hot_rows=100, slice_rows=size)) == want
+    none = flows.running_flows(df.limit(0), hot_rows=0, slice_rows=1)
+    assert none.count() == 0
+
+
+def test_slices_by_rows_are_even(spark):
+    """90 % of a flow in one second, half of that at one instant; a second flow of a quarter of the rows."""
+    rng = random.Random(3)
+    n, size = 40_000, 500
+    rows = [(i, "a", 5_000_000 if i % 2 else 5_000_000 + rng.randrange(1_000_000), 40) for i in range(n * 9 // 10)]
+    rows += [(i, "a", rng.randrange(10**12), 40) for i in range(n * 9 // 10, n)]
+    rows += [(n + i, "b", i, 40) for i in range(n // 4)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(8)
+    keys = df.groupBy("flow_key").agg({"*": "count"}).toDF("flow_key", "_rows")
+    cut = flows.cut_by_rows(df, keys, size).select("flow_key", "_slice", "t_us", "packet_id").collect()
+    per_slice, spans = Counter((r[0], r[1]) for r in cut), {}
+    assert len(cut) == len(rows) and max(per_slice.values()) <= 2 * size
+    assert len(per_slice) <= 2 * len(rows) / size
+    for key, number, t, pid in cut:
+        low, high = spans.get((key, number), ((t, pid), (t, pid)))
+        spans[key, number] = min(low, (t, pid)), max(high, (t, pid))
+    ordered = sorted((k, *v) for k, v in spans.items())
+    assert all(a[2] < b[1] for a, b in zip(ordered, ordered[1:], strict=False) if a[0][0] == b[0][0])
+
+
+def test_open_flows_continue_by_rows(spark):
+    """Two batches, the second cut into slices, give what one run over all packets gives."""
+    rows = [(i, "ab"[i % 5 == 0], (i // 3) * 9_000_000 + (70_000_000 if i > 70 else 0), 40 + i) for i in range(120)]
+    want = brute_force(rows)
+    early, late = (spark.createDataFrame(part, SCHEMA) for part in (rows[:60], rows[60:]))
+    none = spark.createDataFrame([], flows.OPEN_FLOW)
+    first, after = flows.continue_flows(early, none, hot_rows=5, slice_rows=6)
+    second, _ = flows.continue_flows(late, after, hot_rows=5, slice_rows=6)
+    got = {**spark_result(first), **spark_result(second)}
+    assert {k: v[1:] for k, v in got.items()} == {k: v[1:] for k, v in want.items()}
+
+
 def test_summary_agrees_with_the_last_running_row(spark):
     rows = [(i, f"k{i % 3}", i * 25_000_000, 40 + i) for i in range(60)]
     df = spark.createDataFrame(rows, SCHEMA)
