@@ -39,19 +39,23 @@ CARRY = ["n", "bytes", "squares", "low", "high", "start", "last"]
 def hot_keys(
     packets: DataFrame, hot_rows: int = HOT_ROWS, limit: int = HOT_KEYS
 ) -> DataFrame | None:
-    """The flow keys of more than ``hot_rows`` rows and their ``_rows``, with a broadcast hint up to ``limit`` keys.
+    """The flow keys of more than ``hot_rows`` rows, with a broadcast hint up to ``limit`` keys.
+
+    Beside them stand their ``_rows`` and ``_open_end``, the end of the session that was open before.
 
     Found by a job of its own, a count that is combined before its shuffle, so that a
     table without such keys gets the plain plan. None where there are none.
     """
-    counts = packets.where(F.col("flow_key").isNotNull()).groupBy("flow_key").count()
-    busy = counts.where(F.col("count") > hot_rows).select("flow_key", F.col("count").alias("_rows"))
+    counts = packets.where(F.col("flow_key").isNotNull()).groupBy("flow_key").agg(
+        F.count(F.lit(1)).alias("_rows"), F.max(F.when(F.col("_open"), F.col("t_us"))).alias("_open_end")
+    )
+    busy = counts.where(F.col("_rows") > hot_rows)
     keys = [tuple(row) for row in busy.limit(limit + 1).collect()]
     if not keys:
         return None
     if len(keys) > limit:
         return materialized(busy, "hot-keys")
-    return F.broadcast(packets.sparkSession.createDataFrame(keys, "flow_key string, _rows bigint"))
+    return F.broadcast(packets.sparkSession.createDataFrame(keys, "flow_key string, _rows bigint, _open_end bigint"))
 
 
 def running_flows(
@@ -171,11 +175,11 @@ def _merge(
     if hot is None:
         return local
 
-    busy = rows.join(hot.select("flow_key"), "flow_key", "left_semi")
+    busy = rows.join(hot.select("flow_key", "_open_end"), "flow_key")
     if slice_s is not None:
         sliced = busy.withColumn("_slice", F.expr(f"t_us div {round(slice_s * 1_000_000)}"))
     else:
-        sliced = cut_by_rows(busy, hot, slice_rows)
+        sliced = cut_by_rows(busy, hot.select("flow_key", "_rows"), slice_rows)
     # The entry of an open session comes before all slices of its key.
     first = F.when(F.col("_open"), -(2**62)).otherwise(F.coalesce("_slice", F.lit(-(2**61))))
     kept = materialized(_local_stats(sliced.withColumn("_slice", first), timeout_us), "hot-flows")
@@ -268,7 +272,11 @@ def _local_stats(rows: DataFrame, timeout_us: int) -> DataFrame:
     ordered = Window.partitionBy("flow_key", "_slice").orderBy(*order)
     so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    gap = F.col("t_us") - F.max("t_us").over(earlier)
+    end = F.max("t_us").over(earlier)
+    if "_open_end" in rows.columns:
+        # The session open before may end later than the late packets of this slice.
+        end = F.when(end.isNotNull(), F.greatest(end, "_open_end"))
+    gap = F.col("t_us") - end
     rows = rows.withColumn("_new", F.when(gap > timeout_us, 1).otherwise(0))
     rows = rows.withColumn("_seg", F.sum("_new").over(so_far))
     run = (

@@ -123,6 +123,21 @@ def test_open_flows_continue_by_rows(spark):
     assert {k: v[1:] for k, v in got.items()} == {k: v[1:] for k, v in want.items()}
 
 
+@pytest.mark.parametrize("options", [{"slice_rows": 2}, {"slice_rows": 100}, {"slice_s": 60.0}, {"slice_s": 1000.0}])
+def test_late_packets_behind_an_open_flow(spark, options):
+    """Packets before the end of the open session count, and the next pause is measured from that end."""
+    s = 1_000_000
+    before = spark.createDataFrame([("a", 2, 30, 500, 10, 20, 100 * s, 130 * s)], flows.OPEN_FLOW.replace("decimal(28,0)", "bigint"))
+    late = [(9, "a", 20 * s, 5), (10, "a", 115 * s, 7), (11, "a", 190 * s, 9), (12, "a", 251 * s, 11), (13, "a", 252 * s, 1)]
+    batch = spark.createDataFrame(late, SCHEMA)
+    for hot_rows in (None, 1):
+        running, after = flows.continue_flows(batch, before, hot_rows=hot_rows, **options)
+        got = {r.packet_id: (r.flow_session, r.flow_packets, r.flow_bytes) for r in running.collect()}
+        assert got == {9: (1, 3, 35), 10: (1, 4, 42), 11: (1, 5, 51), 12: (2, 1, 11), 13: (2, 2, 12)}
+        end = after.first()
+        assert (end["start_us"], end["last_us"], end["packets"], end["low"]) == (251 * s, 252 * s, 2, 1)
+
+
 def test_summary_agrees_with_the_last_running_row(spark):
     rows = [(i, f"k{i % 3}", i * 25_000_000, 40 + i) for i in range(60)]
     df = spark.createDataFrame(rows, SCHEMA)
