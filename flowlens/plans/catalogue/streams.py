@@ -27,7 +27,7 @@ from flowlens.plans.catalogue.features import (
 from flowlens.plans.views import WITH_PACKETS, WITH_VOTES, packets_of, table
 from flowlens.schemas import FLOW_FEATURES
 from flowlens.session import work_path
-from flowlens.streaming import feeds
+from flowlens.streaming import feeds, timings
 from flowlens.streaming import flows as stream_flows
 from flowlens.sources.packets import stream_packets
 
@@ -180,6 +180,38 @@ def stream_counters(spark, folder):
     )
 
 
+OPERATIONS = ("addBatch", "commitOffsets", "getBatch", "latestOffset", "queryPlanning", "triggerExecution", "walCommit")
+
+
+@query("stream_timings", f"""{WITH_VOTES}, batches as (select packet_id % 4 as batch_id, count(*) as rows,
+    count(*) filter (is_alert) as alerts from detections group by 1)
+  select batch_id::bigint as batch_id, name, rows, rows as packets, alerts, true as timed
+  from batches cross join (values {", ".join(f"('{o}')" for o in OPERATIONS)}) o(name)""")
+def stream_timings(spark, folder):
+    """Packets in four deliveries, one per micro-batch: a row per batch and operation, with what was counted in it."""
+    arrived, log = work_path(spark, "timed-in"), work_path(spark, "stream-timings")
+    events = table(spark, folder, "events")
+    for number in range(4):
+        events.where(F.col("event_id") % 4 == number).coalesce(1).write.parquet(f"{arrived}/{number}")
+    stream = stream_packets(spark, arrived, "parquet", events.schema, recursiveFileLookup="true", maxFilesPerTrigger=1)
+    found = _detect(packets_of(stream)).observe(
+        "counters", F.count(F.lit(1)).alias("packets"), F.count_if("is_alert").alias("alerts")
+    )
+    with timings.recorded(spark, log) as recorder:
+        writer = found.writeStream.format("parquet").option("path", work_path(spark, "timed-out"))
+        writer = writer.option("checkpointLocation", work_path(spark, "timed-checkpoint")).queryName("timed")
+        running = writer.trigger(availableNow=True).start()
+        running.awaitTermination()
+        recorder.settled(running)
+    progress = timings.progress(spark, log).where(F.col("query_id") == str(running.id))
+    rows = timings.operations(progress).where(F.col("name").isin(*OPERATIONS))
+    seen = timings.observed_counters(progress).groupBy("batch_id").pivot("counter", ["packets", "alerts"]).agg(F.first("value"))
+    return rows.join(seen, "batch_id").select(
+        "batch_id", "name", "rows", *[F.col(c).cast("bigint").alias(c) for c in ("packets", "alerts")],
+        (F.col("duration") >= 0).alias("timed"),
+    )
+
+
 @query("stream_retrain_check", f"""{WITH_FEEDBACK} select model_name, count(*) as n,
   count(*) >= 10 and model_name <> 'm2' as due from feedback group by model_name""")
 def stream_retrain_check(spark, folder):

@@ -11,7 +11,7 @@ from flowlens.operators.features import extract_features
 from flowlens.operators.prep import Preprocessor
 from flowlens.plans.detection import score_and_vote
 from flowlens.session import work_path
-from flowlens.sources import versions
+from flowlens.sources import files, versions
 from flowlens.streaming import live
 
 SCHEMA = "packet_id long, t_us long, src_ip string, dst_ip string, src_port int, dst_port int, protocol string, packet_size long"
@@ -141,7 +141,7 @@ def test_versions_are_whole_and_append_only(spark):
     assert versions.newest(spark, folder) == [two]
     assert versions.choose(spark, folder, choice) == [one]  # a repeat uses what the first try used
     assert versions.manifest(spark, folder).count() == 2
-    assert not versions._put_new(spark, f"{folder}/{versions.MANIFEST}/m-000002.json", "{}")
+    assert not files.put(spark, f"{folder}/{versions.MANIFEST}/m-000002.json", "{}")
     loaded = versions.Loaded()
     assert [v.version for v, _ in loaded.get([one])] == [1]
     assert loaded.get([one])[0][1] is loaded.models[one.path]
