@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowlens.session import materialized
+
 RULE_TABLE_BROADCAST_ROWS = 100_000
 RULE_FIELDS = ("src_ip", "dst_ip", "src_port", "dst_port", "protocol")
 
@@ -72,29 +74,47 @@ def rule_filter(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 def rule_table_filter(
     packets: DataFrame, rules: DataFrame, broadcast_rows: int = RULE_TABLE_BROADCAST_ROWS
 ) -> DataFrame:
-    """Packets matching any row of a ``(type, field, value)`` text table.
-
-    One look-up join per packet field, so no packet row is multiplied and, while the rule
-    table is small, none is shuffled. Values are compared as text.
+    """Packets matching any row of a ``(type, field, value)`` text table; values are compared as text.
+
+    The rules are computed once and kept as a table. An empty table means that all packets pass, one
+    without any rule that can match that none does. Fields are looked up by broadcast, those of few
+    rules first, while their rules together are at most ``broadcast_rows``; then no packet is
+    shuffled. The values of the other fields meet the rules in one join: of the packets only the
+    distinct combinations of these fields go there, as (field, value) pairs, and the combinations
+    found choose the packets in a second join. No packet row is multiplied.
     """
-    size = rules.limit(broadcast_rows + 1).count()
-    if size == 0:
-        return packets
+    fields = [name for name in RULE_FIELDS if name in packets.columns]
     field = F.when(F.col("type") == "protocol", F.lit("protocol")).otherwise(F.col("field"))
-    known = rules.where(F.col("type").isin("ip", "port", "protocol"))
-    known = known.select(field.alias("_field"), F.col("value").alias("_value")).distinct()
-    kept, flags = packets, []
-    for name in RULE_FIELDS:
-        if name not in packets.columns:
+    field = F.when(F.col("type").isin("ip", "port", "protocol") & field.isin(fields), field)
+    known = materialized(rules.select(field.alias("_field"), F.col("value").alias("_value")).distinct(), "rules")
+    sizes = {r["_field"]: r["n"] for r in known.groupBy("_field").agg(F.count("_value").alias("n")).collect()}
+    if not sizes:
+        return packets
+    known = known.where(F.col("_field").isNotNull() & F.col("_value").isNotNull())
+    kept, hits, room, large = packets, [], broadcast_rows, []
+    for name in sorted((f for f in fields if sizes.get(f)), key=lambda f: sizes[f]):
+        room -= sizes[name]
+        if room < 0:
+            large.append(name)
             continue
-        flag = f"_hit_{name}"
-        side = known.where(F.col("_field") == name).select(
-            F.col("_value").alias(f"_value_{name}"), F.lit(True).alias(flag)
-        )
-        side = F.broadcast(side) if size <= broadcast_rows else side
-        kept = kept.join(side, F.col(name).cast("string") == F.col(f"_value_{name}"), "left")
-        flags.append(F.col(flag).isNotNull())
-    return kept.where(reduce(or_, flags)).select(*packets.columns)
+        side = known.where(F.col("_field") == name).select(F.col("_value").alias(f"_value_{name}"))
+        kept = kept.join(F.broadcast(side), F.col(name).cast("string") == F.col(f"_value_{name}"), "left")
+        hits.append(F.col(f"_value_{name}").isNotNull())
+    if large:
+        found = _matching_combinations(packets.select(*large), known)
+        same = reduce(and_, [F.col(name).eqNullSafe(F.col(f"_of_{name}")) for name in large])
+        kept = kept.join(found, same, "left")
+        hits.append(F.col("_found").isNotNull())
+    return kept.where(reduce(or_, hits, F.lit(False))).select(*packets.columns)
+
+
+def _matching_combinations(packets: DataFrame, known: DataFrame) -> DataFrame:
+    """The distinct rows of which some field's text is among the known ``(_field, _value)``, marked."""
+    names = packets.columns
+    pairs = [F.struct(F.lit(c).alias("_field"), F.col(c).cast("string").alias("_value")) for c in names]
+    apart = packets.distinct().select("*", F.inline(F.array(*pairs)))
+    found = apart.join(known, ["_field", "_value"], "left_semi").select(*names).distinct()
+    return found.select(*[F.col(c).alias(f"_of_{c}") for c in names], F.lit(True).alias("_found"))
 
 
 def has_flag(df: DataFrame, name: str, bit: int) -> Column:

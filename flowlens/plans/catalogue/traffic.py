@@ -132,9 +132,7 @@ def rule_edit(spark, folder):
     return filters.rule_filter(packets(spark, folder), rules).select(*PACKET_COLUMNS)
 
 
-@query(
-    "rule_semi_join",
-    f"""{WITH_PACKETS}, rules as (
+RULE_TABLE_SQL = f"""{WITH_PACKETS}, rules as (
       select 'ip' as type, 'src_ip' as field, src_ip as value from packets
       where protocol = 'udp' and src_ip like '10.%' group by src_ip having count(*) > 11
       union all select 'port', 'dst_port', '80'),
@@ -142,16 +140,28 @@ def rule_edit(spark, folder):
       unnest([src_ip, dst_ip, cast(src_port as varchar), cast(dst_port as varchar), protocol])
       as value from packets)
     select {COLUMNS_SQL} from packets where packet_id in
-      (select packet_id from facts join rules using (field, value))""",
-)
-def rule_semi_join(spark, folder):
+      (select packet_id from facts join rules using (field, value))"""
+
+
+def busy_rules(spark, folder):
+    """Packets and a rule table made of them."""
     df = packets(spark, folder)
     busy = df.where((F.col("protocol") == "udp") & F.col("src_ip").like("10.%"))
     busy = busy.groupBy("src_ip").count().where(F.col("count") > 11)
     rules = busy.select(F.lit("ip").alias("type"), F.lit("src_ip").alias("field"),
                         F.col("src_ip").alias("value"))
-    port = spark.createDataFrame([("port", "dst_port", "80")], rules.schema)
-    return filters.rule_table_filter(df, rules.union(port)).select(*PACKET_COLUMNS)
+    return df, rules.union(spark.createDataFrame([("port", "dst_port", "80")], rules.schema))
+
+
+@query("rule_semi_join", RULE_TABLE_SQL)
+def rule_semi_join(spark, folder):
+    return filters.rule_table_filter(*busy_rules(spark, folder)).select(*PACKET_COLUMNS)
+
+
+@query("rule_semi_join_large", RULE_TABLE_SQL)
+def rule_semi_join_large(spark, folder):
+    """As for a rule table too large to be broadcast."""
+    return filters.rule_table_filter(*busy_rules(spark, folder), broadcast_rows=0).select(*PACKET_COLUMNS)
 
 
 @query(

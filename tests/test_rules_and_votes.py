@@ -49,6 +49,51 @@ def test_rule_table(spark, packets):
     assert ids(filters.rule_table_filter(packets, table.limit(0))) == [1, 2, 3, 4]
 
 
+def rule_cases(spark):
+    """Packets with gaps, copies and a third of the rows alike, and rules on every field."""
+    def row(i):
+        if i % 3 == 0:
+            return (i, "10.0.0.1", "10.0.0.2", 1000, 80, "tcp")
+        return (i, None if i % 7 == 0 else f"10.1.0.{i % 40}", f"10.2.0.{i % 9}", i % 50, None if i % 5 == 0 else i % 30, "udp" if i % 2 else None)
+
+    schema = "packet_id int, src_ip string, dst_ip string, src_port int, dst_port int, protocol string"
+    packets = spark.createDataFrame([row(i) for i in range(600)], schema)
+    rules = [("ip", "src_ip", f"10.1.0.{i}") for i in range(12)] + [("port", "dst_port", str(p)) for p in (3, 17, 80)]
+    rules += [("port", "src_port", None), ("mac", "dst_ip", "10.2.0.1"), ("ip", "no_such", "10.2.0.1"), ("ip", "dst_ip", "10.2.0.8")]
+    return packets, rules
+
+
+@pytest.mark.parametrize("broadcast_rows", [100_000, 14, 3, 1, 0])
+def test_rule_table_joins_agree(spark, broadcast_rows):
+    packets, rules = rule_cases(spark)
+    table = spark.createDataFrame(rules * 2, "type string, field string, value string")
+    known = {(field, value) for kind, field, value in rules if kind != "mac" and value is not None}
+    want = [r["packet_id"] for r in packets.collect()
+            if any((f, str(r[f])) in known for f in filters.RULE_FIELDS if r[f] is not None)]
+    twice = packets.union(packets.where("packet_id < 30"))
+    got = filters.rule_table_filter(twice, table, broadcast_rows=broadcast_rows)
+    assert got.columns == packets.columns
+    assert ids(got) == sorted(want + [i for i in want if i < 30])
+
+
+def test_rules_that_cannot_match_let_nothing_pass(spark):
+    packets, _ = rule_cases(spark)
+    table = spark.createDataFrame([("mac", "src_ip", "10.0.0.1"), ("ip", "src_ip", None)], "type string, field string, value string")
+    for rows in (100, 0):
+        assert ids(filters.rule_table_filter(packets, table, broadcast_rows=rows)) == []
+
+
+def test_large_rule_tables_join_packets_once(spark, tmp_path):
+    packets, rules = rule_cases(spark)
+    packets.write.parquet(str(tmp_path / "packets"))
+    spark.createDataFrame(rules, "type string, field string, value string").write.parquet(str(tmp_path / "rules"))
+    packets, rules = spark.read.parquet(str(tmp_path / "packets")), spark.read.parquet(str(tmp_path / "rules"))
+    plan = filters.rule_table_filter(packets, rules, broadcast_rows=0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftSemi") == 1 and plan.count("Join ") == 2
+    small = filters.rule_table_filter(packets, rules)
+    assert "Exchange hashpartitioning" not in small._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rule_lists():
     rule = Rule("ip", "src_ip", "a")
     assert filters.add_rule([], rule) == [rule]
