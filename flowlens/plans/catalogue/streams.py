@@ -109,13 +109,13 @@ def deliveries(spark, folder):
 @query("stream_scan_counters", f"""{WITH_PACKETS} select
   make_timestamp(t_us // 300000000 * 300000000) as window_start, protocol, src_ip, dst_ip,
   count(*) filter (protocol = 'tcp' and tcp_flags & 2 <> 0 and tcp_flags & 16 = 0) as syn_packets,
-  true as tried from packets where protocol in ('tcp', 'udp') group by all""")
+  count(distinct nullif(dst_port, 0)) as n_ports from packets where protocol in ('tcp', 'udp') group by all""")
 def stream_scan_counters(spark, folder):
-    """The port count is a sketch, so only its presence is compared."""
+    """Few ports are tried here per pair and window, so the sketches count them exactly."""
     stream = feeds.scan_counter_stream(packet_stream(spark, folder), width="5 minutes")
     changes = feeds.run_available(stream, "stream-scans", mode="update")
     newest = changes.groupBy("window_start", "protocol", "src_ip", "dst_ip").agg(
-        F.max("syn_packets").alias("syn_packets"), (F.max("n_ports") > 0).alias("tried")
+        F.max("syn_packets").alias("syn_packets"), F.max("n_ports").alias("n_ports")
     )
     return newest.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from flowlens.operators.filters import alerts, syn_only
-from flowlens.operators.stats import traffic_over_time
+from flowlens.operators.stats import SKETCH_BITS, traffic_over_time
 from flowlens.session import work_path
 
 
@@ -21,22 +21,25 @@ def without_duplicates(packets: DataFrame, time: str = "timestamp", delay: str =
 def scan_counter_stream(
     packets: DataFrame, time: str = "timestamp", width: str = "1 hour", delay: str = "10 minutes"
 ) -> DataFrame:
-    """SYN counts and about how many ports each source tried per target and window.
+    """SYN counts and how many ports each source tried per target and window.
 
-    The port sketch has a fixed size, so state grows with active pairs, not with ports.
+    The ports are kept as the sketch of :func:`stats.port_sketches`, which comes along as ``ports``
+    and can be merged with stored ones: exact for some hundreds of ports, about 1.6 % off beyond.
+    Its size is bounded, so state grows with active pairs, not with ports.
     """
     named = [F.col(c).isNotNull() & (F.col(c) != "") for c in ("src_ip", "dst_ip")]
     seen = packets.withWatermark(time, delay).where(F.col("protocol").isin("tcp", "udp"))
     seen = seen.where(named[0] & named[1])
+    port = F.nullif(F.col("dst_port").cast("bigint"), F.lit(0).cast("bigint"))
     return (
         seen.groupBy(F.window(time, width).alias("bucket"), "protocol", "src_ip", "dst_ip")
         .agg(
-            F.approx_count_distinct(F.nullif(F.col("dst_port"), F.lit(0))).alias("n_ports"),
+            F.hll_sketch_agg(port, SKETCH_BITS).alias("ports"),
             F.count_if(syn_only(packets)).alias("syn_packets"),
         )
         .select(
             F.col("bucket.start").alias("window_start"), "protocol", "src_ip", "dst_ip",
-            "n_ports", "syn_packets",
+            F.hll_sketch_estimate("ports").alias("n_ports"), "syn_packets", "ports",
         )
     )
 
