@@ -139,6 +139,15 @@ def basic_features(spark, folder):
     return X.basic_features(packets(spark, folder)).select("packet_id", *BASIC_FEATURES)
 
 
+@query("payload_features", f"""{WITH_PACKETS} select packet_id, cast(packet_id % 5 not in (0, 1) and length(event_type) > 0 as integer) as has_payload
+  from packets""")
+def payload_features(spark, folder):
+    """Packets with bytes, without any, and with an empty payload."""
+    which = F.col("packet_id") % 5
+    data = F.when(which == 0, None).when(which == 1, F.lit(b"")).otherwise(F.col("event_type").cast("binary"))
+    return X.basic_features(packets(spark, folder).withColumn("data", data)).select("packet_id", "has_payload")
+
+
 @query("time_features", f"{WITH_PACKETS} select packet_id, {TIME_COLUMNS} from packets")
 def time_features(spark, folder):
     from flowlens.schemas import TIME_FEATURES
@@ -252,6 +261,28 @@ def generate_all_features(spark, folder):
     return made
 
 
+_WHOLE_SQL = ", ".join(f"cast(floor(round({c}, 6)) as bigint) % 97" for c in ALL_FEATURES)
+_WIDE = ALL_FEATURES + [f"{c}_squared" for c in ALL_FEATURES] + [f"{c}_cubed" for c in ALL_FEATURES]
+_WIDE_SQL = ", ".join(f"'{c}'" for c in _WIDE)
+
+
+@query("generate_all_wide", f"""with f as ({EXTRACT_SQL}), v as (select [{_WHOLE_SQL}] as x from f),
+  w as (select list_concat(x, [i * i for i in x], [i * i * i for i in x]) as p from v),
+  names as (select [{_WIDE_SQL}] as n),
+  places as (select unnest(range(1, {len(_WIDE) + 1})) as i),
+  totals as (select n[i] as name, sum(p[i]) as total from w cross join places cross join names group by all
+    union all select n[a.i] || '_x_' || n[b.i], sum(p[a.i] * p[b.i]) from w cross join places a join places b on a.i < b.i
+    cross join names group by all)
+  select name, total::bigint as total from totals""")
+def generate_all_wide(spark, folder):
+    """Sums of all 2,415 generated columns, over features made whole numbers below 97, so that they are exact."""
+    whole = [F.pmod(F.floor(F.round(F.col(c), 6)).cast("bigint"), F.lit(97)).cast("double").alias(c) for c in ALL_FEATURES]
+    made = extracted(spark, folder).select(*whole).select(F.posexplode(X.generated_vector(ALL_FEATURES)).alias("place", "value"))
+    totals = made.groupBy("place").agg(F.sum(F.col("value").cast("bigint")).alias("total"))
+    names = F.array(*[F.lit(n) for n in X.generated_names(ALL_FEATURES)])
+    return totals.select(F.get(names, F.col("place")).alias("name"), "total")
+
+
 # --- text checks ------------------------------------------------------------------------
 
 HOST_SQL = "regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)"
