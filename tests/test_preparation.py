@@ -252,3 +252,17 @@ def test_nearest_equals_differences():
 def test_one_class_is_left_alone(spark):
     df = spark.createDataFrame([(1, 0, [1.0])], "id bigint, label int, features array<double>")
     assert oversample.balance_classes(df, "label").count() == 1
+
+
+def test_the_number_of_classes_has_a_limit_that_can_be_raised(spark):
+    from flowlens.operators.oversample import balance_classes
+    from flowlens.operators.split import stratified_split
+
+    rows = [(i, i % 12, [float(i), 0.0]) for i in range(130)]
+    df = spark.createDataFrame(rows, "id long, label int, features array<double>")
+    for refused in (lambda: stratified_split(df, "label", "id", max_classes=11), lambda: balance_classes(df, "label", max_classes=11)):
+        with pytest.raises(ValueError, match="more than 11 classes"):
+            refused()
+    assert stratified_split(df, "label", "id", max_classes=12).count() == 130
+    balanced = balance_classes(df, "label", k=2, cell_rows=4, max_classes=12)
+    assert {r["count"] for r in balanced.groupBy("label").count().collect()} == {11}
