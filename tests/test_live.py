@@ -203,3 +203,35 @@ def test_retraining_publishes_or_leaves_the_version_before(spark):
 
     shares = [r[0] for r in scored.select(attack_probability("probability", 3)).collect()]
     assert shares[0] < 0.5 < min(shares[1:])
+
+
+def test_many_flows_are_advanced_in_one_call():
+    """A group's flows in one call as each on its own, over several batches, with pauses and late packets."""
+    import numpy as np
+    import pandas as pd
+
+    from flowlens.streaming import flows
+
+    rng = random.Random(5)
+    S = 1_000_000
+    whole, alone = flows.open_table(None), {}
+    for number in range(4):
+        rows = [(rng.choice("abcdef"), i, number * 60 * S + rng.randrange(90) * S, rng.choice([0, 40, 1500, 3_000_000_000])) for i in range(60)]
+        batch = pd.DataFrame(rows, columns=["flow_key", "packet_id", "t_us", "packet_size"])
+        out, whole = flows.advance_flows(batch, whole, 60 * S)
+        assert (batch["packet_id"].to_numpy()[out.index] == out["packet_id"]).all()
+        for key, own in batch.groupby("flow_key"):
+            want, alone[key] = flows._advance(own.reset_index(drop=True), alone.get(key), 60 * S)
+            got = out[out["flow_key"] == key]
+            for c in want.columns.drop("flow_key"):
+                assert np.array_equal(got[c], want[c], equal_nan=True), c
+    keys, *columns = flows.state_row(whole)
+    assert {k: v for k, *v in zip(keys, *columns, strict=True)} == {k: list(v) for k, v in alone.items()}
+
+
+def test_one_call_takes_many_flows(spark):
+    """The number of groups, and of Python calls, doesn't grow with the flows."""
+    from flowlens.streaming import flows
+
+    keys = spark.range(50_000).select(F.col("id").cast("string").alias("k"))
+    assert keys.select(flows.flow_group("k")).distinct().count() <= flows.FLOW_GROUPS < 50_000
