@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -166,3 +169,46 @@ def generated_vector(columns: list[str]) -> Column:
             p, F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n - 2)), lambda i: products(i, p)))
         ),
     )[0]
+
+
+#: Rows whose generated vectors are made at a time.
+VECTOR_ROWS = 256
+
+
+def with_generated(df: DataFrame, columns: list[str], found: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]]) -> DataFrame:
+    """Add DOUBLE columns computed from every row's :func:`generated_vector`, made by blocks of rows.
+
+    For many inputs, where a product at a time on the row takes most of a job, and moving the vectors
+    the rest. Each function gets a block's vectors as the columns of a matrix, and
+    which of its entries are NULL.
+    """
+    made = df.select("*", F.array(*[F.col(c).cast("double") for c in columns]).alias("_given"))
+    out = T.StructType([*df.schema.fields, *[T.StructField(name, T.DoubleType()) for name in found]])
+    wide = 3 * len(columns)
+
+    def widened(powers: np.ndarray, join: np.ufunc) -> np.ndarray:
+        """A row per power, then one per pair of them."""
+        values, at = np.empty((wide + wide * (wide - 1) // 2, powers.shape[1]), dtype=powers.dtype), wide
+        values[:wide] = powers
+        for i in range(wide - 1):
+            join(powers[i], powers[i + 1 :], out=values[at : at + wide - 1 - i])
+            at += wide - 1 - i
+        return values
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, VECTOR_ROWS):
+                batch = whole.slice(start, VECTOR_ROWS)
+                flat = batch.column("_given").flatten()
+                given = flat.fill_null(0.0).to_numpy(zero_copy_only=False).reshape(-1, len(columns)).T
+                with np.errstate(all="ignore"):
+                    values = widened(np.concatenate([given, given * given, given * given * given]), np.multiply)
+                if flat.null_count:
+                    gaps = flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, len(columns)).T
+                    none = widened(np.concatenate([gaps, gaps, gaps]), np.logical_or)
+                else:
+                    none = np.zeros(values.shape, dtype=bool)
+                more = [pa.array(np.asarray(f(values, none), dtype=float)) for f in found.values()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], names=out.names)
+
+    return made.mapInArrow(blocks, out)

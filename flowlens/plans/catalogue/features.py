@@ -251,14 +251,12 @@ def generate_all_features(spark, folder):
 
     The sum of all products of pairs is half of (sum squared minus sum of squares).
     """
-    made = extracted(spark, folder).select(
+    made = X.with_generated(extracted(spark, folder), ALL_FEATURES, {"n": lambda values, none: (~none).sum(axis=0)})
+    return made.select(
         "packet_id",
         F.aggregate(X.generated_vector(SMALL), F.lit(0.0), lambda t, v: t + v).alias("small_sum"),
-        F.size(F.filter(X.generated_vector(ALL_FEATURES), lambda v: v.isNotNull())).alias(
-            "n_columns"
-        ),
+        F.col("n").cast("int").alias("n_columns"),
     )
-    return made
 
 
 _WHOLE_SQL = ", ".join(f"cast(floor(round({c}, 6)) as bigint) % 97" for c in ALL_FEATURES)

@@ -266,3 +266,21 @@ def test_the_number_of_classes_has_a_limit_that_can_be_raised(spark):
     assert stratified_split(df, "label", "id", max_classes=12).count() == 130
     balanced = balance_classes(df, "label", k=2, cell_rows=4, max_classes=12)
     assert {r["count"] for r in balanced.groupBy("label").count().collect()} == {11}
+
+
+def test_generated_vectors_by_blocks_equal_those_by_row(spark):
+    from flowlens.operators import features as X
+
+    rows = [(i, float(i % 7) - 3, None if i % 5 == 0 else i / 3, float("nan") if i % 11 == 0 else 1e200, i) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, d long").repartition(2)
+    names = ["a", "b", "c", "d"]
+    found = {"n": lambda values, none: (~none).sum(axis=0), "last": lambda values, none: values[-1], "sum": lambda values, none: np.where(none, 0, values).sum(axis=0)}
+    made = X.with_generated(df, names, found).withColumn("want", X.generated_vector(names))
+    given = 0
+    for r in made.collect():
+        present = [v for v in r["want"] if v is not None]
+        assert (len(r["want"]), r["n"]) == (78, len(present)) and np.isclose(r["last"], r["want"][-1], equal_nan=True)
+        assert np.isclose(r["sum"], sum(present), equal_nan=True)
+        given += 1
+    assert given == 600
+    assert X.with_generated(df.where("false"), names, found).count() == 0
