@@ -284,3 +284,16 @@ def test_generated_vectors_by_blocks_equal_those_by_row(spark):
         given += 1
     assert given == 600
     assert X.with_generated(df.where("false"), names, found).count() == 0
+
+
+def test_a_fit_of_importances_reads_bounded_partitions(spark, monkeypatch):
+    """A task of the forest holds a row for every tree, so partitions don't grow with the table."""
+    monkeypatch.setattr(selection, "FIT_ROWS", 100)
+    df = spark.range(5_000).coalesce(1).selectExpr("id % 7 as a", "id % 3 as b", "cast(id % 2 as double) as y")
+    fitted = []
+    fit = selection.RandomForestClassifier.fit
+    monkeypatch.setattr(selection.RandomForestClassifier, "fit", lambda self, rows: fitted.append(rows) or fit(self, rows))
+    scores = selection.importance_scores(df, ["a", "b"], "y", trees=3)
+    assert scores.count() == 2
+    sizes = [r["count"] for r in fitted[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 5_000 and max(sizes) <= 200
