@@ -60,7 +60,7 @@ def stream_flow_running(spark, folder):
 
 @query("stream_flow_state", STREAM_RUNNING_SQL)
 def stream_flow_state(spark, folder):
-    """Open flows in Spark's state store, one Python call per flow and micro-batch."""
+    """Open flows in Spark's state store, one Python call per group of flows and micro-batch."""
     stream = stream_flows.running_flow_stream(with_flow_key(packet_stream(spark, folder)))
     out = feeds.run_available(stream, "stream-flows")
     return rounded(out.select("packet_id", "flow_key", *FLOW_FEATURES), REAL_FLOW)
