@@ -363,10 +363,11 @@ def repeated_spans(
         return frame.mapInArrow(placed, T.StructType([*frame.schema.fields, T.StructField("bucket", T.IntegerType())]))
 
     marks = materialized(_settled(_sent(texts, window, buckets), buckets), "repeat-marks")
-    found = _found(_pieces(with_bucket(texts), marks, window, buckets), window, buckets)
+    others = [f for f in df.schema.fields if f.name != text]
+    # Pieces and spans meet the same rows, each text in them once, so that one shuffle serves both.
+    rows = with_bucket(df.select(F.struct(*[f.name for f in others]).alias("row"), number.alias("id"), tie.alias("tie"), F.col(text).alias("text")))
+    found = _found(_pieces(rows, marks, window, buckets), window, buckets)
     seen = marks.where(F.col("kind") == SEEN).unionByName(found)
-    own = [f for f in df.schema.fields if keep_text or f.name != text]
-    rows = df.select(F.struct(*[f.name for f in own]).alias("row"), number.alias("id"), tie.alias("tie"), F.col(text).alias("text"))
     result = T.StructType([
         T.StructField("n_bytes", T.LongType()),
         T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
@@ -396,11 +397,14 @@ def repeated_spans(
             spans = [{"start": x, "end": y} for x, y in zip(begins, ends, strict=True)]
             hits.append({"n_bytes": b - a, "spans": spans, "kept_sha256": hashlib.sha256(kept).hexdigest()})
         kind = pa.struct([("n_bytes", pa.int64()), ("spans", pa.list_(span)), ("kept_sha256", pa.string())])
-        return pa.Table.from_arrays([left.column("row"), pa.array(hits, kind)], ["row", out])
-
-    schema = T.StructType([T.StructField("row", T.StructType(own)), T.StructField(out, result)])
-    ended = with_bucket(rows).groupBy("bucket").cogroup(seen.groupBy("bucket")).applyInArrow(finish, schema)
-    return ended.select(*[F.col("row")[f.name].alias(f.name) for f in own], out)
+        kept = ["row", "text"] if keep_text else ["row"]
+        return pa.Table.from_arrays([*(left.column(c) for c in kept), pa.array(hits, kind)], [*kept, "found"])
+
+    texts_kept = [rows.schema["text"]] if keep_text else []
+    schema = T.StructType([T.StructField("row", T.StructType(others)), *texts_kept, T.StructField("found", result)])
+    ended = rows.groupBy("bucket").cogroup(seen.groupBy("bucket")).applyInArrow(finish, schema)
+    own = {f.name: F.col("text") if f.name == text else F.col("row")[f.name] for f in df.schema.fields if keep_text or f.name != text}
+    return ended.select(*[column.alias(c) for c, column in own.items()], F.col("found").alias(out))
 
 
 def _alike(texts: _Texts) -> list[np.ndarray]:

@@ -57,6 +57,14 @@ def test_repeats_of_rows_with_one_id_and_of_nothing(spark):
     assert repeats.repeated_spans(edges.frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("keep_text", [True, False])
+def test_one_shuffle_of_the_texts_serves_pieces_and_spans(spark, keep_text):
+    found = repeats.repeated_spans(edges.frame(spark), keep_text=keep_text)
+    assert len(found.collect()) == len(edges.documents())
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("ReusedExchange") == 1
+
+
 def test_levels_halve():
     levels = repeats.Levels(4)
     rng = random.Random(1)
