@@ -230,6 +230,28 @@ def test_neighbours_of_twenty_thousand_vectors(spark):
         assert got[tuple(vectors[i])][0] == pytest.approx(list(np.sqrt(far[1:])), abs=1e-9)
 
 
+@pytest.mark.parametrize("block_rows", [1, 60, 32_768])
+def test_neighbours_do_not_depend_on_the_blocks(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(nearest, "ROUGH", 1_000)
+    rng = np.random.default_rng(9)
+    vectors = np.unique(np.r_[rng.normal(size=(200, 3)), rng.integers(0, 4, size=(60, 3)) + 9], axis=0)
+    rows = np.where(rng.random(len(vectors)) < 0.2, 3, 1)
+    got = _neighbour_distances(spark, vectors, rows, 5, 16)
+    for v, expected in zip(vectors, _brute(vectors, rows, 5), strict=True):
+        assert got[tuple(v)][0] == pytest.approx(list(expected), abs=1e-9)
+
+
+def test_a_class_of_one_block_meets_only_itself(spark, monkeypatch):
+    """Vectors without structure in 40 cells: every cell would meet every other one."""
+    pairs = []
+    kept = nearest._pairs
+    monkeypatch.setattr(nearest, "_pairs", lambda *a: pairs.append(kept(*a)) or pairs[-1])
+    vectors = np.random.default_rng(2).normal(size=(600, 30))
+    _neighbour_distances(spark, vectors, np.ones(600, dtype=int), 5, 16)
+    assert [p.count() for p in pairs] == [1]
+
+
 def test_synthetic_rows_are_the_same_for_any_cells(spark):
     rng = np.random.default_rng(4)
     data = [(i, int(i % 4 == 0), [float(x) for x in rng.normal(size=3)]) for i in range(400)]
