@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -427,14 +428,16 @@ def without_repeats(found: DataFrame, *, text: str = "text", repeats: str = "rep
     schema = T.StructType([f for f in found.schema.fields if f.name != repeats])
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in parts:
-            texts, keep = rows.column(text).to_pylist(), []
-            for i, hit in enumerate(rows.column(repeats).to_pylist()):
-                if not hit["spans"]:
-                    keep.append(True)
-                    continue
+        for rows in B.slices(parts, text):
+            hits = rows.column(repeats)
+            sizes = pc.list_value_length(pc.struct_field(hits, "spans"))
+            hit = np.asarray(pc.fill_null(sizes, 0)) > 0
+            own = np.flatnonzero(hit)
+            texts, keep = rows.column(text).take(pa.array(own)).to_pylist(), np.ones(len(hit), bool)
+            spans_of = pc.struct_field(hits.take(pa.array(own)), "spans").to_pylist()
+            for i, spans in enumerate(spans_of):
                 data, pieces, at = texts[i].encode(), [], 0
-                for s in hit["spans"]:
+                for s in spans:
                     start, end = s["start"], s["end"]
                     while start < end and data[start] & 0xC0 == 0x80:
                         start += 1
@@ -443,8 +446,10 @@ def without_repeats(found: DataFrame, *, text: str = "text", repeats: str = "rep
                     pieces.append(data[at:start])
                     at = end
                 texts[i] = b"".join([*pieces, data[at:]]).decode()
-                keep.append(bool(texts[i].strip()))
-            columns = [pa.array(texts, pa.string()) if c == text else rows.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
+                keep[own[i]] = bool(texts[i].strip())
+            columns = {c: rows.column(c) for c in names}
+            if texts:
+                columns[text] = pc.replace_with_mask(columns[text], pa.array(hit), pa.array(texts, columns[text].type))
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names).filter(pa.array(keep))
 
     return found.mapInArrow(cut, schema)
