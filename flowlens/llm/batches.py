@@ -73,6 +73,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
 
 def release() -> None:
     """Give unused memory back: workers live on between tasks and share an executor's memory."""
+    Fingerprints.forget()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
         ctypes.CDLL(None).malloc_trim(0)
@@ -125,6 +126,12 @@ class Fingerprints:
             values = values[fold]
         self.sums = np.zeros(n + 1, U64)
         np.cumsum(values[data] * self._powers[:n], dtype=U64, out=self.sums[1:])
+        self._inverse = self._inverse  # its own reference, whatever the class forgets
+
+    @classmethod
+    def forget(cls) -> None:
+        """Drop the tables of powers, which take 16 bytes per byte of the longest array so far."""
+        cls._powers = cls._inverse = np.ones(1, U64)
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * self._inverse[start]

@@ -11,7 +11,7 @@ import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from flowlens.llm import pieces, repeats, tokens
+from flowlens.llm import batches, pieces, repeats, tokens
 from tests.llm import edges
 
 PIECES, BPE = (public_tokenizers.path(f) for f in ("piece_bpe_32k.model", "byte_bpe_50k.json"))
@@ -65,6 +65,16 @@ def test_one_shuffle_of_the_texts_serves_pieces_and_spans(spark, keep_text):
     assert plan.count("ReusedExchange") == 1
 
 
+def test_released_workers_keep_no_tables_of_powers():
+    data, at = np.random.default_rng(1).integers(0, 256, 500_000).astype(np.uint8), np.array([3])
+    held = batches.Fingerprints(data)
+    want = held.spans(at, at + 400_000).tolist()
+    batches.release()
+    assert len(batches.Fingerprints._powers) == len(batches.Fingerprints._inverse) == 1
+    assert held.spans(at, at + 400_000).tolist() == want
+    assert batches.Fingerprints(data[:450_000]).spans(at, at + 400_000).tolist() == want
+
+
 def test_levels_halve():
     levels = repeats.Levels(4)
     rng = random.Random(1)
