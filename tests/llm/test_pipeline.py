@@ -1,6 +1,7 @@
 """The stages one by one against plain Python, on the table of edge cases."""
 
 import public_tokenizers
+import pyarrow as pa
 from sentencepiece import SentencePieceProcessor
 
 import corpus_pipeline as pipeline
@@ -72,3 +73,30 @@ def test_no_row_has_a_language(spark):
     kept = pipeline.one_language(spark, edges.frame(spark, rows), "")
     assert kept.columns == edges.frame(spark).columns
     assert {r.doc_id: r.text for r in kept.collect()} == want
+
+
+def test_stages_bound_the_batches_of_workers(spark):
+    before = {key: spark.conf.get(key) for key in pipeline.LIMITS}
+    most = pipeline.LIMITS["spark.sql.execution.arrow.maxBytesPerBatch"]
+    docs = spark.range(0, 64, 1, 1).selectExpr("id as doc_id", "repeat(concat('word ', id, ' '), 20000) as text", "'en' as lang")
+
+    def sizes(parts):
+        for rows in parts:
+            yield pa.RecordBatch.from_arrays([pa.array([rows.nbytes])], ["size"])
+
+    try:
+        for label, stage in pipeline.STAGES:
+            if label in ("language", "pieces"):
+                for key, value in before.items():
+                    spark.conf.set(key, value)
+                stage(spark, docs, "")
+                found = [r.size for r in docs.mapInArrow(sizes, "size long").collect()]
+                assert sum(found) > 4 * most
+                assert max(found) < most + 400_000, label
+        lower = str(most // 4)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", lower)
+        pipeline.encoded(spark, docs, "")
+        assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").startswith(lower)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
